@@ -55,8 +55,12 @@ def word_tokens(col: Column, full_unaccent: bool = False) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """The n-grams of a token array, words joined by one space."""
+def bound(col: Column, use) -> Column:
+    """``use(col)`` with the value computed once, also where ``use`` reads it inside a lambda."""
+    return F.transform(F.array(col), use)[0]
+
+
+def _grams(tokens: Column, n: int) -> Column:
     if n == 1:
         return tokens
     starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(
@@ -65,9 +69,9 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
 
 
-def ngram_terms(tokens: Column, low: int = 1, high: int = 2) -> Column:
-    """All n-grams for low <= n <= high in one array."""
-    return F.concat(*[ngrams(tokens, n) for n in range(low, high + 1)])
+def ngram_terms(tokens: Column, *sizes: int) -> Column:
+    """The n-grams of a token array, words joined by one space, for each given size in turn."""
+    return bound(tokens, lambda t: F.concat(*[_grams(t, n) for n in sizes or (1, 2)]))
 
 
 def whitespace_words(col: Column) -> Column:

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankflow.functions.hashing import seeded_key
-from rankflow.functions.ordering import top_per_group
-from rankflow.functions.text import clean_text, ngrams, whitespace_words
+from rankflow.functions.text import clean_text, ngram_terms, whitespace_words
 
 # Ordered category rules; the first one whose words occur in the title wins.
 CATEGORY_RULES = [
@@ -87,7 +85,7 @@ def generate_queries(
     if strategy != "ngram":
         raise ValueError(f"unknown query strategy: {strategy}")
     words = whitespace_words(clean_text(F.col("title")))
-    grams = F.array_distinct(reduce(lambda a, b: F.concat(a, b), [ngrams(words, n) for n in ngram_sizes]))
+    grams = F.array_distinct(ngram_terms(words, *ngram_sizes))
     grams = F.when(F.size(grams) > 0, grams).otherwise(F.array(F.array_join(words, " ")))
     keyed = F.array_sort(
         F.transform(grams, lambda g: F.struct(seeded_key(seed, F.col("product_id"), g).alias("k"), g.alias("g")))

@@ -44,7 +44,7 @@ def popularity_ranking(train: DataFrame, k: int = 200) -> DataFrame:
 
 def term_counts(df: DataFrame, key: str, text: Column, low: int = 1, high: int = 2) -> DataFrame:
     """(key, term, tf) of the n-grams of every text."""
-    terms = df.select(key, F.explode(ngram_terms(word_tokens(text), low, high)).alias("term"))
+    terms = df.select(key, F.explode(ngram_terms(word_tokens(text), *range(low, high + 1))).alias("term"))
     return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -149,7 +149,7 @@ def score_candidates(index: TextIndex, candidates: DataFrame, text_col: str = "q
         pairs.join(q, "_clean")
         .join(index.postings, ["product_id", "term"])
         .groupBy(text_col, "product_id")
-        .agg(F.sum(F.col("wq") * F.col("weight")).alias("tfidf_score"))
+        .agg(F.round(F.sum(F.col("wq") * F.col("weight")), 9).alias("tfidf_score"))
     )
     return candidates.join(scores, [text_col, "product_id"], "left").fillna(0.0, ["tfidf_score"])
 
