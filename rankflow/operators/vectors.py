@@ -75,17 +75,18 @@ def block_topk(queries: DataFrame, catalog: DataFrame, k: int, metric: str = "ip
     """
     if metric not in ("ip", "l2"):
         raise ValueError(f"unknown metric: {metric}")
-    nq = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("qb"))
-    nc = catalog.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CATALOG_BLOCK).cast("int").alias("cb"))
+    nq = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("long").alias("qb"))
+    nc = catalog.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CATALOG_BLOCK).cast("long").alias("cb"))
     grid = nq.join(nc, "cell")
+    zero = F.lit(0).cast("long")
     q = queries.join(grid, "cell").select(
         "query_key", "vec", "cell",
         F.pmod(F.xxhash64("query_key"), F.col("qb")).alias("qblock"),
-        F.explode(F.sequence(F.lit(0), F.col("cb") - 1)).cast("long").alias("cblock"),
+        F.explode(F.sequence(zero, F.col("cb") - 1)).alias("cblock"),
     )
     c = catalog.join(grid, "cell").select(
         "item_id", "vec", "cell",
-        F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).cast("long").alias("qblock"),
+        F.explode(F.sequence(zero, F.col("qb") - 1)).alias("qblock"),
         F.pmod(F.xxhash64("item_id"), F.col("cb")).alias("cblock"),
     )
     keys = ["cell", "qblock", "cblock"]

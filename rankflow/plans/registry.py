@@ -27,4 +27,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from rankflow.plans import data, text  # noqa: F401
+    from rankflow.plans import data, text, vector  # noqa: F401
