@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 POSITIVE, NEGATIVE, NEUTRAL = 1, 0, -1
 
 COPIES_PER_TASK = 1_000_000
+SMALL_BUCKET = 100_000
 
 
 def assign_labels(
@@ -42,27 +43,51 @@ def filter_active_entities(df: DataFrame, min_user_interactions: int = 2, min_pr
     return keep(keep(df, "user_id", min_user_interactions), "product_id", min_product_reviews)
 
 
-def _boundary(df: DataFrame, levels: Sequence[Column], position: int) -> tuple[list, int]:
-    """Smallest prefix of sort levels that holds ``position`` (a 1-based row number).
+def _locate(hist: Sequence, left: int) -> tuple:
+    """(value, rows in it, position inside it) of the ``left``-th row of an ordered histogram."""
+    for h in hist:
+        if left <= h["n"]:
+            return h["v"], h["n"], left
+        left -= h["n"]
+    raise ValueError("position beyond the last row")
 
-    Returns its values and how many of its rows belong to the left side. Each step groups only the
-    rows of the prefix found so far, and a step's histogram is bounded by its level (days, seconds
-    of a day, md5 digits), so the driver reads little and no row is ever sorted.
+
+def _histogram(df: DataFrame, value: Column) -> list:
+    return df.groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()
+
+
+def _narrow(df: DataFrame, levels: Sequence[Column], value, size: int, left: int) -> tuple[list, int, bool]:
+    """Narrow one boundary inside the first level's ``value`` (``size`` rows).
+
+    Returns the sort prefix of the boundary, how many rows of that prefix belong to the left side,
+    and whether that is all of them. Each step groups only the rows of the prefix found so far; its
+    histogram is bounded by the level (seconds of a day, md5 digits) or by SMALL_BUCKET, so the
+    driver reads little and no row is ever sorted.
     """
-    prefix: list = []
-    left = position
-    rows = df
-    for level in levels:
-        hist = rows.groupBy(level.alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()
-        for h in hist:
-            if left <= h["n"]:
-                prefix.append(h["v"])
-                break
-            left -= h["n"]
-        if left == h["n"]:
-            return prefix, left
-        rows = rows.where(level == F.lit(prefix[-1]))
-    return prefix, left
+    prefix, rows = [value], df
+    for i in range(1, len(levels)):
+        if left == size:
+            break
+        rows = rows.where(levels[i - 1] == F.lit(prefix[-1]))
+        if size <= SMALL_BUCKET:
+            rest = F.struct(*[c.alias(f"l{j}") for j, c in enumerate(levels[i:])])
+            last, size, left = _locate(_histogram(rows, rest), left)
+            return prefix + list(last), left, left == size
+        last, size, left = _locate(_histogram(rows, levels[i]), left)
+        prefix.append(last)
+    return prefix, left, left == size
+
+
+def _compare(ts: Column, key: Column, prefix: list) -> tuple[Column, Column]:
+    """(rows before the boundary prefix, rows that share it) as short comparisons."""
+    if len(prefix) == 1:
+        start = prefix[0] * 86400
+        return ts < start, (ts >= start) & (ts < start + 86400)
+    if len(prefix) == 2:
+        return ts < prefix[1], ts == prefix[1]
+    at, digits = ts == prefix[1], prefix[-1]
+    # "g" sorts after every hex digit.
+    return (ts < prefix[1]) | (at & (key < digits)), at & (key >= digits) & (key < digits + "g")
 
 
 def time_split(
@@ -92,26 +117,19 @@ def time_split(
         F.substring(key, 1, 9),
         key,
     ]
-    n = df.count()
-    cuts = [n * parts[0].numerator // parts[0].denominator]
-    both = parts[0] + parts[1]
-    cuts.append(n * both.numerator // both.denominator)
-
+    first = _histogram(df, levels[0])
+    n = sum(h["n"] for h in first)
+    shares = [parts[0], parts[0] + parts[1]]
     sides: list[Column] = []
     runs: dict[tuple, dict] = {}
-    for i, cut in enumerate(cuts):
+    for i, cut in enumerate(n * s.numerator // s.denominator for s in shares):
         if cut == 0:
             sides.append(F.lit(False))
             continue
-        prefix, left = _boundary(df, levels, cut)
-        before, same = F.lit(False), F.lit(True)
-        for level, value in zip(levels, prefix):
-            before = before | (same & (level < F.lit(value)))
-            same = same & (level == F.lit(value))
-        if len(prefix) < len(levels) or left == df.where(same).count():
-            sides.append(before | same)
-        else:
-            sides.append(before)
+        prefix, left, whole = _narrow(df, levels, *_locate(first, cut))
+        before, same = _compare(F.col(time_col), key, prefix)
+        sides.append(before | same if whole else before)
+        if not whole:
             runs.setdefault(tuple(prefix), {"same": same, "names": names[i:], "bounds": []})["bounds"].append(left)
 
     tag = F.when(sides[0], names[0]).when(sides[1], names[1]).otherwise(names[2])

@@ -26,7 +26,7 @@ def c2(spark, sf):
 
 @query("c3_rich_catalog", sql("SELECT product_id, title, brand, cleaned_text, category_id, review_count FROM catalog", "catalog"))
 def c3(spark, sf):
-    return V.rich_catalog(spark, sf)
+    return V.catalog_plan(spark, sf)
 
 
 @query("c4_keyword_category", f"SELECT {category_case('p_name')} AS category, count(*) AS n FROM part GROUP BY 1")
@@ -203,7 +203,7 @@ def d4_documents(spark, sf):
 )
 def d5(spark, sf):
     cat = V.rich_catalog(spark, sf)
-    ranked = D.retrieve_for_users(V.text_index(spark, sf), V.one_split(spark, sf, "train"), cat, 10)
+    ranked = D.retrieve_for_users(V.text_index(spark, sf), V.stored_split(spark, sf, "train"), cat, 10)
     return ranked.select("user_id", "rank", "item_id", r6("score"))
 
 
@@ -219,7 +219,7 @@ def d5(spark, sf):
 )
 def d6(spark, sf):
     # Candidates: the products a user met in val, for the query texts of the same user in test.
-    s = V.splits(spark, sf)
+    s = V.split_table(spark, sf)
     q = V.title_queries(spark, sf).select("product_id", "query_text")
     asked = s.where("split = 'test' AND label = 1").join(q, "product_id").select("user_id", "query_text").distinct()
     met = s.where("split = 'val'").select("user_id", "product_id").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,35 +17,79 @@ from rankflow.operators import rerank as H
 from rankflow.operators import text_index as D
 from rankflow.operators import vectors as E
 from rankflow.sources import fixtures
+from rankflow.sources.scratch import materialize
 
 CANDIDATE_K = 30
 BROAD_ENTROPY = 2.2
 
 
+_stages: dict[tuple, DataFrame] = {}
+
+
+def stage(build):
+    """Build a stage once per query: its plan (and the split search behind it) is shared."""
+
+    @wraps(build)
+    def shared(spark: SparkSession, sf: str, *args):
+        key = (build.__name__, id(spark), sf, args)
+        if key not in _stages:
+            _stages[key] = build(spark, sf, *args)
+        return _stages[key]
+
+    return shared
+
+
+def new_query() -> None:
+    _stages.clear()
+
+
 def r6(name: str, alias: str | None = None):
     return F.round(F.col(f"`{name}`"), 6).alias(alias or name)
 
 
+@stage
 def labeled(spark: SparkSession, sf: str) -> DataFrame:
     return B.assign_labels(fixtures.interactions(spark, sf))
 
 
+@stage
 def splits(spark: SparkSession, sf: str) -> DataFrame:
     return B.time_split(labeled(spark, sf), tie_key="row_key")
 
 
+@stage
+def split_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The splits as a stored table, for pipelines that read them several times."""
+    return materialize(splits(spark, sf), "splits", "split")
+
+
+@stage
 def one_split(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return splits(spark, sf).where(F.col("split") == name)
 
 
-def rich_catalog(spark: SparkSession, sf: str) -> DataFrame:
+@stage
+def stored_split(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return split_table(spark, sf).where(F.col("split") == name)
+
+
+@stage
+def catalog_plan(spark: SparkSession, sf: str) -> DataFrame:
     return C.build_rich_catalog(fixtures.interactions(spark, sf), fixtures.brands(spark, sf))
 
 
+@stage
+def rich_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalog as a stored table: it feeds queries, index, features and priors."""
+    return materialize(catalog_plan(spark, sf), "catalog")
+
+
+@stage
 def title_queries(spark: SparkSession, sf: str) -> DataFrame:
     return C.generate_queries(rich_catalog(spark, sf), "title")
 
 
+@stage
 def rich_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Longer queries of three words: part type and title."""
     part = fixtures.table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), "p_type")
@@ -55,22 +101,27 @@ def rich_queries(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@stage
 def text_index(spark: SparkSession, sf: str) -> D.TextIndex:
     return D.fit(rich_catalog(spark, sf))
 
 
+@stage
 def text_top(spark: SparkSession, sf: str, k: int = 100) -> DataFrame:
     return D.retrieve_texts(text_index(spark, sf), title_queries(spark, sf), "query_text", k)
 
 
+@stage
 def product_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return fixtures.product_vectors(spark, sf)
 
 
+@stage
 def vector_items(spark: SparkSession, sf: str) -> DataFrame:
     return product_vectors(spark, sf).select(F.col("product_id").alias("item_id"), F.col("embedding").alias("vec"))
 
 
+@stage
 def title_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Query vector of a title text: normalized mean vector of the products with that title."""
     pv = product_vectors(spark, sf)
@@ -78,48 +129,55 @@ def title_vectors(spark: SparkSession, sf: str) -> DataFrame:
     mean = sum_vectors(
         pv.join(text, "product_id"), ["query_text"], "embedding", "vec", vector_dim(pv, "embedding"), mean=True
     )
-    return mean.select("query_text", l2_normalize(F.col("vec")).alias("vec"))
+    return materialize(mean.select("query_text", l2_normalize(F.col("vec")).alias("vec")), "title-vectors")
 
 
+@stage
 def label_centroids(spark: SparkSession, sf: str) -> DataFrame:
     pv = product_vectors(spark, sf)
     mean = sum_vectors(pv, ["label"], "embedding", "vec", vector_dim(pv, "embedding"), mean=True)
     return mean.select(F.col("label").alias("cell"), l2_normalize(F.col("vec")).alias("vec"))
 
 
+@stage
 def requests(spark: SparkSession, sf: str, *names: str) -> DataFrame:
     """Evaluation requests of the given splits, numbered by time within each split."""
-    rows = splits(spark, sf).where(F.col("split").isin(list(names)))
+    rows = split_table(spark, sf).where(F.col("split").isin(list(names)))
     cat = rich_catalog(spark, sf)
     evald = C.eval_queries(rows, C.generate_queries(cat, "title"), cat)
     keep = evald.select("split", "user_id", "product_id", "query_text", "category", "timestamp", "row_key")
-    return bucketed_rank(keep, "query_idx", ["split"], time_levels("timestamp", "row_key"), [F.col("row_key")])
+    ranked = bucketed_rank(keep, "query_idx", ["split"], time_levels("timestamp", "row_key"), [F.col("row_key")])
+    return materialize(ranked, "requests")
 
 
+@stage
 def title_candidates(spark: SparkSession, sf: str, k: int = CANDIDATE_K) -> DataFrame:
     """Exact nearest products per distinct title text."""
     q = title_vectors(spark, sf).withColumnRenamed("query_text", "query_key")
     top = E.exact_topk(q, vector_items(spark, sf), k)
-    return top.withColumnRenamed("query_key", "query_text")
+    return materialize(top.withColumnRenamed("query_key", "query_text"), "title-candidates")
 
 
+@stage
 def candidates(spark: SparkSession, sf: str, *names: str) -> DataFrame:
     return H.candidate_frame(requests(spark, sf, *names), title_candidates(spark, sf), ["split"])
 
 
+@stage
 def features(spark: SparkSession, sf: str, *names: str) -> DataFrame:
-    train = one_split(spark, sf, "train")
+    train = stored_split(spark, sf, "train")
     cat = rich_catalog(spark, sf)
     return H.add_features(
         candidates(spark, sf, *names), H.product_features(train, cat), H.user_category_affinity(train, cat)
     )
 
 
+@stage
 def explore_frame(spark: SparkSession, sf: str, *names: str) -> DataFrame:
     """Features with query cluster, cluster entropy and base score (normalized similarity)."""
     rich = rich_queries(spark, sf)
     cat = rich_catalog(spark, sf)
-    entropy = C.cluster_entropy(one_split(spark, sf, "train"), rich, cat)
+    entropy = C.cluster_entropy(stored_split(spark, sf, "train"), rich, cat)
     text = C.query_lookup(rich).select(F.col("product_id").alias("target_product_id"), "query_text")
     frame = features(spark, sf, *names).drop("query_text").join(text, "target_product_id")
     frame = frame.withColumn("query_cluster_id", C.query_cluster_id(F.col("query_text")))
@@ -127,10 +185,12 @@ def explore_frame(spark: SparkSession, sf: str, *names: str) -> DataFrame:
     return O.normalized_similarity(frame)
 
 
+@stage
 def popularity(spark: SparkSession, sf: str) -> DataFrame:
-    return one_split(spark, sf, "train").groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
+    return stored_split(spark, sf, "train").groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@stage
 def text_truth(spark: SparkSession, sf: str) -> DataFrame:
     """Positives of the test split per title text, with their number as gain."""
     pos = one_split(spark, sf, "test").where(F.col("label") == 1)
@@ -140,6 +200,7 @@ def text_truth(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@stage
 def text_relations(spark: SparkSession, sf: str):
     """(ranked, relevant, queries) of the title texts."""
     ranked = text_top(spark, sf).select(F.col("query_text").alias("query_id"), "rank", "item_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -19,9 +19,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/rankflow/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df, name: str):
-    """Write a stage's result to the shared folder and read it back, so later stages do not redo it."""
+def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Write a stage's result to the shared folder and read it back, so later stages do not redo it.
+
+    Files there outlive a lost executor, so only the reading task is repeated.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
