@@ -36,4 +36,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from rankflow.plans import data, personal, ranking, text, vector  # noqa: F401
+    from rankflow.plans import data, evaluation, personal, ranking, text, vector  # noqa: F401
