@@ -79,13 +79,14 @@ def block_topk(queries: DataFrame, catalog: DataFrame, k: int, metric: str = "ip
     nc = catalog.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CATALOG_BLOCK).cast("long").alias("cb"))
     grid = nq.join(nc, "cell")
     zero = F.lit(0).cast("long")
+    # Aliases give each side columns of its own, also where both come from one table.
     q = queries.join(grid, "cell").select(
-        "query_key", "vec", "cell",
+        "query_key", F.col("vec").alias("vec"), "cell",
         F.pmod(F.xxhash64("query_key"), F.col("qb")).alias("qblock"),
         F.explode(F.sequence(zero, F.col("cb") - 1)).alias("cblock"),
     )
     c = catalog.join(grid, "cell").select(
-        "item_id", "vec", "cell",
+        "item_id", F.col("vec").alias("vec"), F.col("cell").alias("cell"),
         F.explode(F.sequence(zero, F.col("qb") - 1)).alias("qblock"),
         F.pmod(F.xxhash64("item_id"), F.col("cb")).alias("cblock"),
     )

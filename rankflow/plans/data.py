@@ -182,12 +182,12 @@ def a10(spark, sf):
     return back.select("product_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x"))
 
 
-@query("a11_text_index_store", sql("SELECT query_text, rank, item_id, round(score,6) AS score FROM text_top WHERE rank <= 20", "text_top"))
+@query("a11_text_index_store", sql("SELECT query_text, rank, item_id, score FROM text_top WHERE rank <= 20", "text_top"))
 def a11(spark, sf):
     path = scratch_path(spark, "index")
     V.text_index(spark, sf).save(path)
     loaded = V.D.TextIndex.load(spark, path)
-    return V.D.retrieve_texts(loaded, V.title_queries(spark, sf), "query_text", 20).withColumn("score", r6("score"))
+    return V.D.retrieve_texts(loaded, V.title_queries(spark, sf), "query_text", 20)
 
 
 @query(

@@ -43,13 +43,13 @@ def h2(spark, sf):
 @query(
     "h3_candidate_frame",
     sql(
-        """SELECT query_idx, user_id, target_product_id, query_category, candidate_product_id, retrieval_rank, round(similarity_score,6) AS similarity_score,
+        """SELECT query_idx, user_id, target_product_id, query_category, candidate_product_id, retrieval_rank, similarity_score,
         CAST(label AS INTEGER) AS label FROM candidates WHERE split='test'""",
         "candidates",
     ),
 )
 def h3(spark, sf):
-    return V.candidates(spark, sf, "test").select(*FRAME, "query_category", r6("similarity_score"), "label")
+    return V.candidates(spark, sf, "test").select(*FRAME, "query_category", "similarity_score", "label")
 
 
 @query(

@@ -153,13 +153,13 @@ def d3_capped(spark, sf):
 @query(
     "d4_text_retrieval",
     sql(
-        "SELECT query_id, rank, item_id, round(score,6) AS score FROM title_queries JOIN text_top USING (query_text) WHERE rank <= 20",
+        "SELECT query_id, rank, item_id, score FROM title_queries JOIN text_top USING (query_text) WHERE rank <= 20",
         "title_queries", "text_top",
     ),
 )
 def d4(spark, sf):
     ranked = V.text_top(spark, sf, 20)
-    return V.title_queries(spark, sf).join(ranked, "query_text").select("query_id", "rank", "item_id", r6("score"))
+    return V.title_queries(spark, sf).join(ranked, "query_text").select("query_id", "rank", "item_id", "score")
 
 
 DOC_TERMS = f"""dt AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({grams('t')}) AS term
@@ -177,7 +177,7 @@ ITEM_WEIGHTS = f"""q AS MATERIALIZED (SELECT item_id, term, w / sqrt(sum(w*w) OV
     "d4_text_retrieval_documents",
     f"WITH {DOC_TERMS}, {DOC_IDF}, {DOC_POSTINGS}, {ITEM_WEIGHTS}, s AS (SELECT q.item_id AS query_id, doc_id AS item_id, "
     f"round(sum(q.weight*dp.weight),9) AS score FROM q JOIN dp USING (term) GROUP BY 1,2) "
-    f"SELECT query_id, rank, item_id, round(score,6) AS score FROM ({topk('s', 'query_id', 20)})",
+    f"SELECT query_id, rank, item_id, score FROM ({topk('s', 'query_id', 20)})",
 )
 def d4_documents(spark, sf):
     docs = fixtures.table(spark, sf, "documents")
@@ -185,7 +185,7 @@ def d4_documents(spark, sf):
     index = D.TextIndex(index.terms, index.postings.withColumnRenamed("doc_id", "product_id"))
     bench = fixtures.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     ranked = D.retrieve_texts(index, bench, "query_text", 20)
-    return bench.join(ranked, "query_text").select("query_id", "rank", "item_id", r6("score"))
+    return bench.join(ranked, "query_text").select("query_id", "rank", "item_id", "score")
 
 
 @query(
@@ -197,20 +197,20 @@ def d4_documents(spark, sf):
           SELECT user_id, term, (1.0+ln(count(*)))*any_value(idf) AS w FROM (SELECT user_id, unnest({grams('t')}) AS term
             FROM (SELECT user_id, {tokens('txt')} AS t FROM h)) JOIN idf USING (term) GROUP BY 1,2)),
         s AS MATERIALIZED (SELECT user_id, p.product_id AS item_id, round(sum(w.weight*p.weight),9) AS score FROM w JOIN postings p USING (term) GROUP BY 1,2)
-        SELECT user_id, rank, item_id, round(score,6) AS score FROM ({topk('s', 'user_id', 10)})""",
+        SELECT user_id, rank, item_id, score FROM ({topk('s', 'user_id', 10)})""",
         "splits", "catalog", "idf", "postings",
     ).replace(")\n,", "),\n"),
 )
 def d5(spark, sf):
     cat = V.rich_catalog(spark, sf)
     ranked = D.retrieve_for_users(V.text_index(spark, sf), V.stored_split(spark, sf, "train"), cat, 10)
-    return ranked.select("user_id", "rank", "item_id", r6("score"))
+    return ranked.select("user_id", "rank", "item_id", "score")
 
 
 @query(
     "d6_score_candidates",
     sql(
-        """SELECT c.query_text, c.product_id, round(coalesce(score,0.0),6) AS tfidf_score FROM
+        """SELECT c.query_text, c.product_id, coalesce(score,0.0) AS tfidf_score FROM
         (SELECT DISTINCT query_text, h.product_id FROM splits t JOIN title_queries q USING (product_id)
            JOIN splits h ON h.user_id = t.user_id AND h.split='val' WHERE t.split='test' AND t.label=1) c
         LEFT JOIN text_scores x ON x.query_text = c.query_text AND x.item_id = c.product_id""",
@@ -224,7 +224,7 @@ def d6(spark, sf):
     asked = s.where("split = 'test' AND label = 1").join(q, "product_id").select("user_id", "query_text").distinct()
     met = s.where("split = 'val'").select("user_id", "product_id").distinct()
     pairs = asked.join(met, "user_id").select("query_text", "product_id").distinct()
-    return D.score_candidates(V.text_index(spark, sf), pairs).withColumn("tfidf_score", r6("tfidf_score"))
+    return D.score_candidates(V.text_index(spark, sf), pairs)
 
 
 @query(

@@ -136,7 +136,7 @@ def title_vectors(spark: SparkSession, sf: str) -> DataFrame:
 def label_centroids(spark: SparkSession, sf: str) -> DataFrame:
     pv = product_vectors(spark, sf)
     mean = sum_vectors(pv, ["label"], "embedding", "vec", vector_dim(pv, "embedding"), mean=True)
-    return mean.select(F.col("label").alias("cell"), l2_normalize(F.col("vec")).alias("vec"))
+    return materialize(mean.select(F.col("label").alias("cell"), l2_normalize(F.col("vec")).alias("vec")), "centroids")
 
 
 @stage
