@@ -173,9 +173,9 @@ def split_ranges(df: DataFrame, time_col: str = "timestamp") -> DataFrame:
         edge(F.max, "val").alias("val_max"),
         edge(F.min, "test").alias("test_min"),
     )
-    ordered = F.coalesce(F.col("train_max") <= F.col("val_min"), F.lit(True)) & F.coalesce(
-        F.col("val_max") <= F.col("test_min"), F.lit(True)
-    )
+    ordered = F.lit(True)
+    for early, late in (("train_max", "val_min"), ("val_max", "test_min"), ("train_max", "test_min")):
+        ordered = ordered & F.coalesce(F.col(early) <= F.col(late), F.lit(True))
     return row.withColumn("no_leakage", ordered)
 
 
