@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankflow.functions.hashing import seeded_int, seeded_key
 from rankflow.functions.ordering import bucketed_rank
 
+NUMBER_BUCKET = 65536
+
 
 def positive_pairs(interactions: DataFrame, queries: DataFrame) -> DataFrame:
     """distinct (user_id, product_id, query_text) of positive interactions and their queries."""
@@ -45,8 +46,9 @@ def hard_negatives(pairs: DataFrame, catalog: DataFrame, seed: int = 42) -> Data
     mine = pairs.select("user_id", "product_id").distinct().join(
         numbered.select("product_id", "category_id", "no"), "product_id"
     )
-    w = W.partitionBy("user_id", "category_id").orderBy("no")
-    runs = mine.withColumn("run", F.col("no") - F.row_number().over(w))
+    chunk = [F.floor(F.col("no") / NUMBER_BUCKET)]
+    place = bucketed_rank(mine, "place", ["user_id", "category_id"], chunk, [F.col("no")])
+    runs = place.withColumn("run", F.col("no") - F.col("place"))
     ends = runs.groupBy("user_id", "category_id", "run").agg(F.max("no").alias("end"))
     taken = runs.join(ends, ["user_id", "category_id", "run"]).select("user_id", "category_id", "no", "end")
 

@@ -14,8 +14,9 @@ from rankflow.functions.ordering import top_per_group
 from rankflow.functions.text import word_tokens
 from rankflow.functions.vecmath import l2_normalize
 
-QUERY_BLOCK = 2048
-CATALOG_BLOCK = 8192
+# Vector elements per block: about 32 MB of doubles on the catalog side.
+QUERY_ELEMENTS = 1_000_000
+CATALOG_ELEMENTS = 4_000_000
 SCORE_DIGITS = 9
 
 
@@ -75,8 +76,12 @@ def block_topk(queries: DataFrame, catalog: DataFrame, k: int, metric: str = "ip
     """
     if metric not in ("ip", "l2"):
         raise ValueError(f"unknown metric: {metric}")
-    nq = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("long").alias("qb"))
-    nc = catalog.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CATALOG_BLOCK).cast("long").alias("cb"))
+
+    def blocks(elements: int) -> F.Column:
+        return F.ceil(F.count(F.lit(1)) * F.max(F.size("vec")) / elements).cast("long")
+
+    nq = queries.groupBy("cell").agg(blocks(QUERY_ELEMENTS).alias("qb"))
+    nc = catalog.groupBy("cell").agg(blocks(CATALOG_ELEMENTS).alias("cb"))
     grid = nq.join(nc, "cell")
     zero = F.lit(0).cast("long")
     # Aliases give each side columns of its own, also where both come from one table.

@@ -210,20 +210,14 @@ def d5(spark, sf):
 @query(
     "d6_score_candidates",
     sql(
-        """SELECT c.query_text, c.product_id, coalesce(score,0.0) AS tfidf_score FROM
-        (SELECT DISTINCT query_text, h.product_id FROM splits t JOIN title_queries q USING (product_id)
-           JOIN splits h ON h.user_id = t.user_id AND h.split='val' WHERE t.split='test' AND t.label=1) c
-        LEFT JOIN text_scores x ON x.query_text = c.query_text AND x.item_id = c.product_id""",
-        "splits", "title_queries", "text_scores",
+        """SELECT c.query_text, c.item_id AS product_id, coalesce(x.score,0.0) AS tfidf_score FROM title_candidates c
+        LEFT JOIN text_scores x ON x.query_text = c.query_text AND x.item_id = c.item_id""",
+        "title_candidates", "text_scores",
     ),
 )
 def d6(spark, sf):
-    # Candidates: the products a user met in val, for the query texts of the same user in test.
-    s = V.split_table(spark, sf)
-    q = V.title_queries(spark, sf).select("product_id", "query_text")
-    asked = s.where("split = 'test' AND label = 1").join(q, "product_id").select("user_id", "query_text").distinct()
-    met = s.where("split = 'val'").select("user_id", "product_id").distinct()
-    pairs = asked.join(met, "user_id").select("query_text", "product_id").distinct()
+    # The vector candidates of every title text get their text score, as a reranker would ask for.
+    pairs = V.title_candidates(spark, sf).select("query_text", F.col("item_id").alias("product_id"))
     return D.score_candidates(V.text_index(spark, sf), pairs)
 
 

@@ -87,8 +87,8 @@ def vectors(spark, m, name):
 
 @pytest.mark.parametrize("metric", ["ip", "l2"])
 def test_block_search_equals_brute_force_with_ties(spark, monkeypatch, metric):
-    monkeypatch.setattr(E, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(E, "CATALOG_BLOCK", 11)
+    monkeypatch.setattr(E, "QUERY_ELEMENTS", 7 * 4)
+    monkeypatch.setattr(E, "CATALOG_ELEMENTS", 11 * 4)
     rng = np.random.default_rng(0)
     q, c = rng.integers(-2, 3, (25, 4)).astype(float), rng.integers(-2, 3, (60, 4)).astype(float)
     got = E.exact_topk(vectors(spark, q, "query_key"), vectors(spark, c, "item_id"), 8, metric).collect()
@@ -102,7 +102,7 @@ def test_block_search_equals_brute_force_with_ties(spark, monkeypatch, metric):
 
 
 def test_ivf_is_exact_when_all_cells_are_probed(spark, monkeypatch):
-    monkeypatch.setattr(E, "CATALOG_BLOCK", 9)
+    monkeypatch.setattr(E, "CATALOG_ELEMENTS", 9 * 5)
     rng = np.random.default_rng(2)
     m = rng.normal(size=(80, 5))
     m /= np.linalg.norm(m, axis=1, keepdims=True)
@@ -132,7 +132,8 @@ def test_encoders_give_unit_vectors(spark, docs):
     assert E.encode_corpus(docs.where(F.lit(False)), "product_id", "cleaned_text", load).count() == 0
 
 
-def test_hard_negatives_against_brute_force(spark):
+def test_hard_negatives_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(FP, "NUMBER_BUCKET", 2)
     rng = random.Random(8)
     products = [(f"p{i}", f"text {i}", f"c{i % 3}") for i in range(12)]
     # u0 has every product of c0, so it needs the fallback.
