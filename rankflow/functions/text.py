@@ -31,20 +31,21 @@ def _latin_folding() -> tuple[str, str]:
     return "".join(src), "".join(dst)
 
 
-@F.pandas_udf(T.StringType())
-def _nfkd(s: pd.Series) -> pd.Series:
-    """Full compatibility folding, for text outside the Latin blocks."""
+def _nfkd():
+    """Full compatibility folding, for text outside the Latin blocks; a closure, so it ships by value."""
 
-    def fold(t):
-        return t and "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    def fold(s: pd.Series) -> pd.Series:
+        import unicodedata as u
 
-    return s.map(fold)
+        return s.map(lambda t: t and "".join(c for c in u.normalize("NFKD", t) if not u.combining(c)))
+
+    return F.pandas_udf(fold, T.StringType())
 
 
 def unaccent(col: Column, full: bool = False) -> Column:
     """Drop accents. The default covers the Latin blocks without leaving the JVM."""
     if full:
-        return _nfkd(col)
+        return _nfkd()(col)
     src, dst = _latin_folding()
     return F.regexp_replace(F.translate(col, src, dst), r"\p{Mn}", "")
 

@@ -2,6 +2,8 @@
 
 import os
 import re
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -41,3 +43,23 @@ def test_every_operator_is_registered():
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.columns == ["split", "metric", "value"] and df.count() > 0
+
+
+def test_python_stages_run_without_the_package_on_the_workers(tmp_path):
+    """Executors may not have the package: run the Python stages from another folder."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(entry.__file__).parent)!r})
+import __spark_entry__ as e
+from rankflow.session import local_session
+from rankflow.functions.text import unaccent
+from pyspark.sql import functions as F
+s = local_session("2", 2)
+for n in ("e2_pluggable_encoder", "e3_exact_topk_inner_product", "o4_explore_exploit"):
+    assert e.queries()[n](s, {SF!r}).count() > 0
+assert s.range(1).select(unaccent(F.lit("é"), full=True)).collect()[0][0] == "e"
+print("done")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "done" in out.stdout, out.stderr[-2000:]
