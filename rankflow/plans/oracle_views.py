@@ -66,7 +66,6 @@ def metric_columns(recall=(1, 5, 10, 20, 50), ndcg=(5, 10, 20), hit=(5, 10, 20),
     for k in recall:
         out.append((f"recall@{k}", f'avg(CASE WHEN n_rel > 0 THEN "h@{k}" / n_rel ELSE 0.0 END)'))
     for k in ndcg:
-        ideal = f"(SELECT sum(1/log2(i+1)) FROM range(1, least(n_rel,{k})::BIGINT+1) t(i))"
         ideal = f"list_sum(list_transform(range(1, least(n_rel,{k})::BIGINT+1), lambda i: 1/log2(i+1)))"
         out.append((f"ndcg@{k}", f'avg(CASE WHEN n_rel > 0 THEN "d@{k}" / {ideal} ELSE 0.0 END)'))
     out.append(("mrr", f"avg(CASE WHEN first_rank <= {mrr_k} THEN 1.0/first_rank ELSE 0.0 END)"))
