@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "rankflow") -> SparkSession:
-    """A local session; on a cluster the submitter's own session is used instead."""
+def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "rankflow", shared: str | None = None) -> SparkSession:
+    """A local session; on a cluster the submitter's own session is used instead. shared: its checkpoint folder."""
+    builder = SparkSession.builder
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")

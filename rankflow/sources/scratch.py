@@ -7,15 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Application id -> folder, only for local masters without a configured one.
+_local_folders: dict[str, str] = {}
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; a temporary folder only for a local master."""
+    """A fresh path under ``spark.checkpoint.dir``; a temporary folder only for a local master without one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the executors")
-        base = tempfile.mkdtemp(prefix="rankflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _local_folders.setdefault(app, "") or tempfile.mkdtemp(prefix="rankflow-")
+        _local_folders[app] = base
     return f"{base.rstrip('/')}/rankflow/{name}-{uuid.uuid4().hex}"
 
 

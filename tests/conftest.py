@@ -11,8 +11,6 @@ from rankflow.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    s = local_session("8", shuffle_partitions=4, app="rankflow-tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    s = local_session("8", shuffle_partitions=4, app="rankflow-tests", shared=str(tmp_path_factory.mktemp("shared")))
     yield s
     s.stop()
