@@ -73,14 +73,14 @@ def segment_masks(n: int) -> list[int]:
     return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _segment_part(mask: int) -> Column:
+def _segment_part(name: str, mask: int) -> Column:
     """The pivot coordinates of one segment, as one number."""
-    parts = (F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p))).bitwiseAND(F.lit(_signed(mask)))) for p in PIVOTS[:KEY_PIVOTS])
+    parts = (F.bit_count(F.col(name).bitwiseXOR(F.lit(_signed(p))).bitwiseAND(F.lit(_signed(mask)))) for p in PIVOTS[:KEY_PIVOTS])
     return F.xxhash64(*parts)
 
 
-def near_rows(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of equal key within the radius; rows are sorted by key."""
+def near_rows(key: np.ndarray, fp: np.ndarray, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of equal key within the radius, and within wide_radius of the wide prints; rows are sorted by key."""
     n = len(key)
     table = [np.bitwise_count(fp ^ np.uint64(p)).astype(np.int8) for p in PIVOTS]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.zeros(0, np.int64)
@@ -95,6 +95,8 @@ def near_rows(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray,
             if not len(i):
                 break
         i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= radius]
+        if wide is not None and len(i):
+            i = i[np.bitwise_count(wide[i] ^ wide[i + step]).sum(1) <= wide_radius]
         found_a.append(i)
         found_b.append(i + step)
         step += 1
@@ -103,45 +105,56 @@ def near_rows(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray,
     return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
 
 
-def _link_task(radius: int):
+def _link_task(radius: int, wide_radius: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def links(key, node, fp) -> pa.RecordBatch:
-            a, b = near_rows(key, fp, radius)
+        def links(key, node, fp, *wide) -> pa.RecordBatch:
+            words = np.frombuffer(b"".join(wide[0]), np.uint64).reshape(len(key), -1) if wide else None
+            a, b = near_rows(key, fp.view(np.uint64), radius, words, wide_radius)
             root = star_forest(len(key), a, b)
             at = np.flatnonzero(root != np.arange(len(key)))
             return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[root[at]])], names=["a", "b"])
 
         for batch in batches:
-            key, node, fp = (batch.column(i).to_numpy() for i in range(3))
-            if held:
-                key, node, fp = (np.concatenate(x) for x in zip(held, (key, node, fp), strict=True))
-            if not len(key):
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+            if not len(held[0]):
                 continue
-            cut = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
-            yield links(key[:cut], node[:cut], fp[:cut].view(np.uint64))
-            held = [key[cut:], node[cut:], fp[cut:]]
-        if held:
-            yield links(held[0], held[1], held[2].view(np.uint64))
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last bucket may go on
+            if cut:
+                yield links(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if held and len(held[0]):
+            yield links(*held)
 
     return run
 
 
-def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """Links (a, b) between rows (id, fp) of distinct fingerprints that join all within the radius."""
+def near_links(fps: DataFrame, radius: int = 3, prints: list[str] = ("fp",), wide: str | None = None, wide_radius: int | None = None) -> DataFrame:
+    """Links (a, b) between distinct rows (id, prints...) that join all within the radius in one of the prints.
+
+    wide: a column of longer prints; then pairs must also be within wide_radius there.
+    """
     masks = segment_masks(radius + 2)
-    parts = fps.select("id", "fp", *(_segment_part(m).alias(f"s{i}") for i, m in enumerate(masks)))
-    keys = [F.xxhash64(F.lit(i), F.lit(j), F.col(f"s{i}"), F.col(f"s{j}")) for i, j in combinations(range(len(masks)), 2)]
-    rows = parts.select("id", "fp", F.explode(F.array(*keys)).alias("key"))
+    parts = fps.select("id", *prints, *(_segment_part(p, m).alias(f"{p}_{i}") for p in prints for i, m in enumerate(masks)))
+    keys = [
+        F.struct(F.xxhash64(F.lit(n), F.lit(i), F.lit(j), F.col(f"{p}_{i}"), F.col(f"{p}_{j}")).alias("key"), F.col(p).alias("fp"))
+        for n, p in enumerate(prints)
+        for i, j in combinations(range(len(masks)), 2)
+    ]
+    rows = parts.select("id", F.inline(F.array(*keys)))
     shared = rows.groupBy("key").count().where("count > 1")
     blocks = rows.join(shared, "key").withColumn("n", F.ceil(F.col("count") / BLOCK).cast("int"))
+    if wide:
+        blocks = blocks.join(fps.select("id", F.col(wide).alias("wide")), "id")
+    extra = ["wide"] if wide else []
     block = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least(block, j) * F.col("n") + F.greatest(block, j))
-    dealt = blocks.select("key", "id", "fp", F.explode(pairs).alias("pair"))
-    dealt = dealt.select(F.when(F.col("pair") == 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key"), "id", "fp")
-    sorted_rows = dealt.repartition("key").sortWithinPartitions("key")
-    return sorted_rows.mapInArrow(_link_task(radius), "a long, b long")
+    dealt = blocks.select("key", "id", "fp", *extra, F.explode(pairs).alias("pair"))
+    key = F.when(F.col("pair") == 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key")
+    sorted_rows = dealt.select(key, "id", "fp", *extra).repartition("key").sortWithinPartitions("key")
+    return sorted_rows.mapInArrow(_link_task(radius, wide_radius), "a long, b long")
 
 
 def near_duplicates(
@@ -169,3 +182,66 @@ def components_of(fps: DataFrame, links: DataFrame) -> DataFrame:
 
 def fingerprint_hex(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
+
+
+#: Search prints over the set of words: an edited word changes one feature there but ``shingle`` shingles.
+SEARCH_PRINTS = 8
+SEARCH_RADIUS = 3
+WIDE_PRINTS = 4
+
+
+def print_of(hashes: np.ndarray, number: int) -> int:
+    """SimHash of already hashed features; each number mixes them into other 64 bits."""
+    if number:
+        hashes = (hashes ^ np.uint64(number)) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        hashes ^= hashes >> np.uint64(32)
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = np.ascontiguousarray(hashes[at : at + (1 << 16)]).view(np.uint8).reshape(-1, 8)
+        count += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return int(np.packbits(count * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def search_and_wide_prints(text: bytes, shingle: int) -> tuple[list[int], bytes]:
+    words = text.lower().split()
+    digest = xxhash.xxh64_intdigest
+    own = np.array([digest(w, SEED) for w in dict.fromkeys(words)], np.uint64)
+    shingles = [b" ".join(words)] if len(words) <= shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    long = np.array(list({digest(s, SEED) for s in shingles}), np.uint64)
+    search = [print_of(own, i) for i in range(SEARCH_PRINTS)]
+    return search, np.array([print_of(long, i) for i in range(WIDE_PRINTS)], np.uint64).tobytes()
+
+
+def wide_radius(similarity: float) -> int:
+    """Differing wide bits of two sets of that Jaccard similarity, with one standard deviation, so that it is found."""
+    bits = 64 * WIDE_PRINTS
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * share + np.sqrt(bits * share * (1 - share)))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component) per row with an id: documents linked by a similarity of their ``shingle``-word sets.
+
+    Radius 3 in one print of five-word shingles would only find pairs of similarity 0.97 or more. So pairs are
+    searched by pivot tables over several prints of the word sets, and verified by wide prints of the shingle
+    sets, whose differing bits estimate the similarity. Equal texts are always linked. Rows without id are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            found = [search_and_wide_prints(t, shingle) for t in batch.column(1).to_pylist()]
+            search = np.array([f[0] for f in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(search[:, i]) for i in range(SEARCH_PRINTS)), pa.array([f[1] for f in found], pa.binary())], names=["id", *prints, "wide"]
+            )
+
+    prints = [f"p{i}" for i in range(SEARCH_PRINTS)]
+    schema = "id long, " + ", ".join(f"{p} long" for p in prints) + ", wide binary"
+    rows = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long"), text_bytes(text_col))
+    rows = materialize(rows.mapInArrow(run, schema), "prints")
+    known = rows.groupBy("wide", *prints).agg(F.min("id").alias("node"))
+    nodes = materialize(known.withColumnRenamed("node", "id"), "distinct-prints")
+    found = connected_components(near_links(nodes, SEARCH_RADIUS, prints, "wide", wide_radius(similarity)))
+    nodes = nodes.join(found, F.col("id") == F.col("node"), "left").select("wide", *prints, F.coalesce("component", "id").alias("component"))
+    return rows.join(nodes, ["wide", *prints]).select("id", "component").distinct()
