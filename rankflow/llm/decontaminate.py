@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankflow.llm.common import offsets, ragged, sliced, text_bytes
@@ -175,10 +175,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return out
 
 
-def without_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[Column | str] | None = None) -> DataFrame:
-    """The rows of docs (or the kept columns of them) whose text overlaps no benchmark item."""
-    keep = keep or [F.col(f"`{c}`") for c in docs.columns]
+def without_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text overlaps no benchmark item. Null and empty texts stay."""
+    keep = [F.col(f"`{c}`") for c in docs.columns]
     schema = docs.select(*keep).schema
+    kept = [F.col(f"`{c}`") for c in schema.names]
 
     def task(seeds: SeedTable):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,5 +192,5 @@ def without_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "tex
 
     out = docs.select(text_bytes(text_col), *keep)
     for seeds in benchmark_blocks(benchmark):
-        out = out.mapInArrow(task(seeds), schema).select(text_bytes(text_col), *schema.names)
-    return out.select(*[F.col(f"`{c}`") for c in schema.names])
+        out = out.mapInArrow(task(seeds), schema).select(text_bytes(text_col), *kept)
+    return out.select(*kept)
