@@ -182,7 +182,7 @@ def permutation_importance(
     """
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
-    evaluator = BinaryClassificationEvaluator(rawPredictionCol="probability", metricName="areaUnderROC")
+    evaluator = BinaryClassificationEvaluator(rawPredictionCol="probability", metricName="areaUnderROC", numBins=0)
     ids = [F.col("query_idx"), F.col("candidate_product_id")]
 
     def number(df: DataFrame, out: str, tag: str) -> DataFrame:

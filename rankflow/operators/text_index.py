@@ -60,13 +60,16 @@ def _weighted(counts: DataFrame, key: str, terms: DataFrame) -> DataFrame:
 def fit(
     catalog: DataFrame,
     text_col: str = "cleaned_text",
-    max_features: int | None = 50_000,
+    max_features: int | None = None,
     min_df: int = 1,
     low: int = 1,
     high: int = 2,
     id_col: str = "product_id",
 ) -> TextIndex:
-    """D3: vocabulary (capped by total term count, ties alphabetical), idf and document postings."""
+    """D3: vocabulary, idf and document postings.
+
+    max_features keeps the terms of the largest total count, ties alphabetical; by default all are kept.
+    """
     counts = term_counts(catalog.select(id_col, text_col), id_col, F.col(text_col), low, high)
     stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     if min_df > 1:

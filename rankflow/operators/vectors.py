@@ -20,7 +20,7 @@ CATALOG_ELEMENTS = 4_000_000
 SCORE_DIGITS = 9
 
 
-def _block_search(k: int, metric: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _block_search(k: int, metric: str, by_cell: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Top k of one query block against one catalog block. Both blocks have bounded size."""
 
     def search(queries: pa.Table, catalog: pa.Table) -> pa.Table:
@@ -54,56 +54,66 @@ def _block_search(k: int, metric: str) -> Callable[[pa.Table, pa.Table], pa.Tabl
         rows_q = np.concatenate(out_q) if out_q else np.empty(0, np.int64)
         rows_c = np.concatenate(out_c) if out_c else np.empty(0, np.int64)
         score = np.concatenate(out_s) if out_s else np.empty(0)
-        return pa.table(
-            {
-                "query_key": queries.column("query_key").take(pa.array(rows_q)),
-                "item_id": catalog.column("item_id").take(pa.array(rows_c)),
-                "score": pa.array(-score if metric == "l2" else score),
-            }
-        )
+        out = {
+            "query_key": queries.column("query_key").take(pa.array(rows_q)),
+            "item_id": catalog.column("item_id").take(pa.array(rows_c)),
+            "score": pa.array(-score if metric == "l2" else score),
+        }
+        if by_cell:
+            out["cell"] = catalog.column("cell").take(pa.array(rows_c))
+        return pa.table(out)
 
     return search
 
 
-def block_topk(queries: DataFrame, catalog: DataFrame, k: int, metric: str = "ip") -> DataFrame:
-    """Exact top k per query within each cell.
+def _blocks(elements: int) -> F.Column:
+    return F.ceil(F.count(F.lit(1)) * F.max(F.size("vec")) / elements).cast("long")
 
-    ``queries`` (query_key, cell, vec) and ``catalog`` (item_id, cell, vec), where cell is a bounded
-    set of ids (one constant cell for exhaustive search). Both sides of a cell are cut into blocks by
-    hash of their unique ids; every query block meets every catalog block of its cell in its own
-    task group, which sends on at most k rows per query. A cell of any size is thus many bounded
-    groups, neither side is broadcast, and no pair is ever a row.
+
+def block_topk(queries: DataFrame, catalog: DataFrame, k: int, metric: str = "ip", by_cell: bool = True) -> DataFrame:
+    """Exact top k per query and cell: (query_key, item_id, score), with ``cell`` if by_cell.
+
+    ``queries`` (query_key, vec) and ``catalog`` (item_id, vec), both with a column cell if by_cell:
+    then only rows of one cell meet. Both sides are cut into blocks by hash of their unique ids; every
+    query block meets every catalog block (of its cell) in its own task group, which sends on at most
+    k rows per query. The numbers of blocks are scalars, or one row per cell joined by cell; which
+    side of that join is broadcast is left to Spark's size check. No pair is ever a row.
     """
     if metric not in ("ip", "l2"):
         raise ValueError(f"unknown metric: {metric}")
-
-    def blocks(elements: int) -> F.Column:
-        return F.ceil(F.count(F.lit(1)) * F.max(F.size("vec")) / elements).cast("long")
-
-    nq = queries.groupBy("cell").agg(blocks(QUERY_ELEMENTS).alias("qb"))
-    nc = catalog.groupBy("cell").agg(blocks(CATALOG_ELEMENTS).alias("cb"))
-    grid = nq.join(nc, "cell")
     zero = F.lit(0).cast("long")
+    cells = ["cell"] if by_cell else []
+    if by_cell:
+        nq = queries.groupBy("cell").agg(_blocks(QUERY_ELEMENTS).alias("qb"))
+        nc = catalog.groupBy("cell").agg(_blocks(CATALOG_ELEMENTS).alias("cb"))
+        grid = nq.join(nc, "cell")
+        q, c = queries.join(grid, "cell"), catalog.join(grid, "cell")
+    else:
+        qb = queries.agg(_blocks(QUERY_ELEMENTS).alias("qb")).scalar()
+        cb = catalog.agg(_blocks(CATALOG_ELEMENTS).alias("cb")).scalar()
+        q, c = (df.withColumn("qb", qb).withColumn("cb", cb) for df in (queries, catalog))
     # Aliases give each side columns of its own, also where both come from one table.
-    q = queries.join(grid, "cell").select(
-        "query_key", F.col("vec").alias("vec"), "cell",
+    cell = [F.col("cell").alias("cell")] if by_cell else []
+    q = q.select(
+        "query_key", F.col("vec").alias("vec"), *cell,
         F.pmod(F.xxhash64("query_key"), F.col("qb")).alias("qblock"),
         F.explode(F.sequence(zero, F.col("cb") - 1)).alias("cblock"),
     )
-    c = catalog.join(grid, "cell").select(
-        "item_id", F.col("vec").alias("vec"), F.col("cell").alias("cell"),
+    c = c.select(
+        "item_id", F.col("vec").alias("vec"), *cell,
         F.explode(F.sequence(zero, F.col("qb") - 1)).alias("qblock"),
         F.pmod(F.xxhash64("item_id"), F.col("cb")).alias("cblock"),
     )
-    keys = ["cell", "qblock", "cblock"]
-    schema = T.StructType(
-        [
-            T.StructField("query_key", queries.schema["query_key"].dataType),
-            T.StructField("item_id", catalog.schema["item_id"].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(_block_search(k, metric), schema)
+    keys = [*cells, "qblock", "cblock"]
+    fields = [
+        T.StructField("query_key", queries.schema["query_key"].dataType),
+        T.StructField("item_id", catalog.schema["item_id"].dataType),
+        T.StructField("score", T.DoubleType()),
+    ]
+    if by_cell:
+        fields.append(T.StructField("cell", catalog.schema["cell"].dataType))
+    task = _block_search(k, metric, by_cell)
+    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(task, T.StructType(fields))
 
 
 def _best(partial: DataFrame, k: int, metric: str) -> DataFrame:
@@ -118,32 +128,52 @@ def exact_topk(queries: DataFrame, catalog: DataFrame, k: int = 100, metric: str
     Inputs: (query_key, vec) and (item_id, vec) with ARRAY<DOUBLE> vectors. Score ties (equal to 9
     digits) go to the smaller id.
     """
-    one = F.lit(0)
-    partial = block_topk(queries.withColumn("cell", one), catalog.withColumn("cell", one), k, metric)
-    return _best(partial, k, metric)
+    q, c = queries.select("query_key", "vec"), catalog.select("item_id", "vec")
+    return _best(block_topk(q, c, k, metric, by_cell=False), k, metric)
 
 
-def assign_cells(items: DataFrame, centroids: DataFrame, key: str = "item_id") -> DataFrame:
-    """Nearest centroid (by inner product) of every vector: (key, cell, vec)."""
+def assign_cells(items: DataFrame, centroids: DataFrame, key: str = "item_id", metric: str = "ip") -> DataFrame:
+    """Nearest centroid of every vector, by the search's own metric: (key, vec, cell)."""
     q = items.select(F.col(key).alias("query_key"), "vec")
     c = centroids.select(F.col("cell").alias("item_id"), "vec")
-    near = exact_topk(q, c, 1).select(F.col("query_key").alias(key), F.col("item_id").alias("cell"))
+    near = exact_topk(q, c, 1, metric).select(F.col("query_key").alias(key), F.col("item_id").alias("cell"))
     return items.join(near, key)
 
 
-def ivf_topk(queries: DataFrame, catalog: DataFrame, centroids: DataFrame, k: int = 100, nprobe: int = 16) -> DataFrame:
-    """E5: each query searches the cells of its nprobe nearest centroids only.
+def ivf_partial(queries: DataFrame, catalog: DataFrame, centroids: DataFrame, k: int, nprobe: int, metric: str = "ip") -> DataFrame:
+    """(query_key, probe_rank, item_id, score): the k best of each cell among a query's nprobe nearest.
 
-    ``centroids`` (cell, vec) is the coarse quantizer: label means, or ``train_centroids``.
+    The list for any smaller nprobe is the best of its rows up to that probe rank (``ivf_lists``), so a
+    recall curve over nprobe costs one search.
     """
     if nprobe < 1:
         raise ValueError("nprobe must be >= 1")
     c = centroids.select(F.col("cell").alias("item_id"), "vec")
-    probes = exact_topk(queries.select("query_key", "vec"), c, nprobe)
-    q = queries.select("query_key", "vec").join(
-        probes.select("query_key", F.col("item_id").alias("cell")), "query_key"
-    )
-    return _best(block_topk(q, assign_cells(catalog.select("item_id", "vec"), centroids), k), k, "ip")
+    probes = exact_topk(queries.select("query_key", "vec"), c, nprobe, metric)
+    probes = probes.select("query_key", F.col("item_id").alias("cell"), F.col("rank").alias("probe_rank"))
+    q = queries.select("query_key", "vec").join(probes.drop("probe_rank"), "query_key")
+    found = block_topk(q, assign_cells(catalog.select("item_id", "vec"), centroids, metric=metric), k, metric)
+    return found.join(probes, ["query_key", "cell"]).select("query_key", "probe_rank", "item_id", "score")
+
+
+def ivf_lists(partial: DataFrame, k: int, nprobe: int, metric: str = "ip") -> DataFrame:
+    return _best(partial.where(F.col("probe_rank") <= nprobe), k, metric)
+
+
+def ivf_topk(
+    queries: DataFrame, catalog: DataFrame, centroids: DataFrame, k: int = 100, nprobe: int = 16, metric: str = "ip"
+) -> DataFrame:
+    """E5: each query searches the cells of its nprobe nearest centroids only.
+
+    ``centroids`` (cell, vec) is the coarse quantizer: label means, ``sample_centroids`` or ``train_centroids``.
+    """
+    return ivf_lists(ivf_partial(queries, catalog, centroids, k, nprobe, metric), k, nprobe, metric)
+
+
+def sample_centroids(catalog: DataFrame, nlist: int) -> DataFrame:
+    """Coarse centroids: the nlist vectors with the smallest md5 of their id (all, if there are fewer)."""
+    picked = catalog.orderBy(F.md5(F.col("item_id").cast("string")), "item_id").limit(max(1, int(nlist)))
+    return picked.select(F.col("item_id").alias("cell"), "vec")
 
 
 def train_centroids(catalog: DataFrame, nlist: int, seed: int = 42, max_iter: int = 20) -> DataFrame:

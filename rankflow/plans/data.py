@@ -12,7 +12,7 @@ from rankflow.plans.oracle_views import bucket, sql
 from rankflow.plans.registry import query
 from rankflow.plans.views import r6
 from rankflow.sources import fixtures, logs, records, tables
-from rankflow.sources.scratch import scratch_path
+from rankflow.sources.scratch import materialize, scratch_path
 
 REVIEW_COLS = ["user_id", "product_id", "score", "timestamp", "title", "summary"]
 
@@ -142,8 +142,8 @@ def _flat(df):
 def a7(spark, sf):
     # Written in two appends: the log grows, it is not replaced.
     path = scratch_path(spark, "log")
-    built = logs.build_impressions(*_served_pages(spark, sf))
-    clicks = F.col("query_text") == "click"
+    built = materialize(logs.build_impressions(*_served_pages(spark, sf)), "impressions")
+    clicks = F.coalesce(F.col("query_text") == "click", F.lit(False))
     logs.append_impressions(built.where(clicks), path)
     logs.append_impressions(built.where(~clicks), path)
     return _flat(logs.read_impressions(spark, path))
@@ -182,12 +182,12 @@ def a10(spark, sf):
     return back.select("product_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x"))
 
 
-@query("a11_text_index_store", sql("SELECT query_text, rank, item_id, score FROM text_top WHERE rank <= 20", "text_top"))
+@query("a11_text_index_store", sql("SELECT query_text, rank, item_id, score FROM text_top", "text_top"))
 def a11(spark, sf):
     path = scratch_path(spark, "index")
     V.text_index(spark, sf).save(path)
     loaded = V.D.TextIndex.load(spark, path)
-    return V.D.retrieve_texts(loaded, V.title_queries(spark, sf), "query_text", 20)
+    return V.D.retrieve_texts(loaded, V.title_queries(spark, sf), "query_text", 200)
 
 
 @query(

@@ -150,7 +150,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "idf": (
         ["doc_terms", "catalog"],
         """SELECT term, count(*) AS df, ln((1.0+(SELECT count(*) FROM catalog))/(1.0+count(*)))+1.0 AS idf
-        FROM doc_terms GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 50000""",
+        FROM doc_terms GROUP BY 1""",
     ),
     "postings": (
         ["doc_terms", "idf"],
@@ -170,7 +170,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         """SELECT query_text, p.product_id AS item_id, round(sum(q.weight*p.weight),9) AS score
         FROM text_weights q JOIN postings p USING (term) GROUP BY 1,2""",
     ),
-    "text_top": (["text_scores"], topk("text_scores", "query_text", 100)),
+    "text_top": (["text_scores"], topk("text_scores", "query_text", 200)),
     "pv": ([], "SELECT vec_id AS product_id, embedding::DOUBLE[] AS e, label FROM embeddings"),
     "title_vectors": (
         ["pv", "catalog"],
@@ -187,7 +187,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         ["pv"],
         "SELECT a.product_id AS query_key, b.product_id AS item_id, round(list_dot_product(a.e,b.e),9) AS score FROM pv a, pv b",
     ),
-    "self_top": (["self_scores"], topk("self_scores", "query_key", 10)),
+    "self_top": (["self_scores"], topk("self_scores", "query_key", 100)),
     "requests": (
         ["splits", "title_queries", "catalog"],
         """SELECT s.split, row_number() OVER (PARTITION BY s.split ORDER BY s.timestamp, s.row_key) AS query_idx,
@@ -196,7 +196,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     ),
     "title_candidates": (
         ["title_vectors", "pv"],
-        "SELECT * FROM (" + topk("(SELECT query_text, product_id AS item_id, round(list_dot_product(q.e,p.e),9) AS score FROM title_vectors q, pv p)", "query_text", 30) + ")",
+        "SELECT * FROM (" + topk("(SELECT query_text, product_id AS item_id, round(list_dot_product(q.e,p.e),9) AS score FROM title_vectors q, pv p)", "query_text", 200) + ")",
     ),
     "candidates": (
         ["requests", "title_candidates"],

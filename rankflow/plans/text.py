@@ -153,19 +153,19 @@ def d3_capped(spark, sf):
 @query(
     "d4_text_retrieval",
     sql(
-        "SELECT query_id, rank, item_id, score FROM title_queries JOIN text_top USING (query_text) WHERE rank <= 20",
+        "SELECT query_id, rank, item_id, score FROM title_queries JOIN text_top USING (query_text) WHERE rank <= 200",
         "title_queries", "text_top",
     ),
 )
 def d4(spark, sf):
-    ranked = V.text_top(spark, sf, 20)
+    ranked = V.text_top(spark, sf, 200)
     return V.title_queries(spark, sf).join(ranked, "query_text").select("query_id", "rank", "item_id", "score")
 
 
 DOC_TERMS = f"""dt AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({grams('t')}) AS term
     FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)) GROUP BY 1,2)"""
 DOC_IDF = """di AS MATERIALIZED (SELECT term, ln((1.0+(SELECT count(*) FROM documents))/(1.0+count(*)))+1.0 AS idf FROM dt
-    GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 50000)"""
+    GROUP BY 1)"""
 DOC_POSTINGS = """dp AS MATERIALIZED (SELECT doc_id, term, w / sqrt(sum(w*w) OVER (PARTITION BY doc_id)) AS weight
     FROM (SELECT doc_id, term, (1.0+ln(tf))*idf AS w FROM dt JOIN di USING (term)))"""
 ITEM_WEIGHTS = f"""q AS MATERIALIZED (SELECT item_id, term, w / sqrt(sum(w*w) OVER (PARTITION BY item_id)) AS weight FROM (
@@ -177,14 +177,14 @@ ITEM_WEIGHTS = f"""q AS MATERIALIZED (SELECT item_id, term, w / sqrt(sum(w*w) OV
     "d4_text_retrieval_documents",
     f"WITH {DOC_TERMS}, {DOC_IDF}, {DOC_POSTINGS}, {ITEM_WEIGHTS}, s AS (SELECT q.item_id AS query_id, doc_id AS item_id, "
     f"round(sum(q.weight*dp.weight),9) AS score FROM q JOIN dp USING (term) GROUP BY 1,2) "
-    f"SELECT query_id, rank, item_id, score FROM ({topk('s', 'query_id', 20)})",
+    f"SELECT query_id, rank, item_id, score FROM ({topk('s', 'query_id', 200)})",
 )
 def d4_documents(spark, sf):
     docs = fixtures.table(spark, sf, "documents")
     index = D.fit(docs, "text", id_col="doc_id")
     index = D.TextIndex(index.terms, index.postings.withColumnRenamed("doc_id", "product_id"))
     bench = fixtures.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    ranked = D.retrieve_texts(index, bench, "query_text", 20)
+    ranked = D.retrieve_texts(index, bench, "query_text", 200)
     return bench.join(ranked, "query_text").select("query_id", "rank", "item_id", "score")
 
 
@@ -197,13 +197,13 @@ def d4_documents(spark, sf):
           SELECT user_id, term, (1.0+ln(count(*)))*any_value(idf) AS w FROM (SELECT user_id, unnest({grams('t')}) AS term
             FROM (SELECT user_id, {tokens('txt')} AS t FROM h)) JOIN idf USING (term) GROUP BY 1,2)),
         s AS MATERIALIZED (SELECT user_id, p.product_id AS item_id, round(sum(w.weight*p.weight),9) AS score FROM w JOIN postings p USING (term) GROUP BY 1,2)
-        SELECT user_id, rank, item_id, score FROM ({topk('s', 'user_id', 10)})""",
+        SELECT user_id, rank, item_id, score FROM ({topk('s', 'user_id', 200)})""",
         "splits", "catalog", "idf", "postings",
     ).replace(")\n,", "),\n"),
 )
 def d5(spark, sf):
     cat = V.rich_catalog(spark, sf)
-    ranked = D.retrieve_for_users(V.text_index(spark, sf), V.stored_split(spark, sf, "train"), cat, 10)
+    ranked = D.retrieve_for_users(V.text_index(spark, sf), V.stored_split(spark, sf, "train"), cat, 200)
     return ranked.select("user_id", "rank", "item_id", "score")
 
 

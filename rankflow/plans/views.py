@@ -19,7 +19,7 @@ from rankflow.operators import vectors as E
 from rankflow.sources import fixtures
 from rankflow.sources.scratch import materialize
 
-CANDIDATE_K = 30
+CANDIDATE_K = 200
 BROAD_ENTROPY = 2.2
 
 
@@ -107,7 +107,7 @@ def text_index(spark: SparkSession, sf: str) -> D.TextIndex:
 
 
 @stage
-def text_top(spark: SparkSession, sf: str, k: int = 100) -> DataFrame:
+def text_top(spark: SparkSession, sf: str, k: int = 200) -> DataFrame:
     return D.retrieve_texts(text_index(spark, sf), title_queries(spark, sf), "query_text", k)
 
 
