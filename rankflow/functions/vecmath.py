@@ -34,9 +34,12 @@ def blend(q: Column, u: Column, alpha: Column) -> Column:
 
 
 def vector_dim(df: DataFrame, vec: str) -> int:
-    """Dimension of a vector column, from one row."""
-    row = df.where(F.col(vec).isNotNull()).select(F.size(vec).alias("d")).limit(1).collect()
-    return row[0]["d"] if row else 0
+    """The one dimension of a vector column; 0 without vectors. Vectors of several lengths are an error."""
+    size = F.size(F.col(vec))
+    row = df.where(F.col(vec).isNotNull()).agg(F.min(size).alias("low"), F.max(size).alias("high")).collect()[0]
+    if row["low"] != row["high"]:
+        raise ValueError(f"vectors of {row['low']} to {row['high']} elements in one column")
+    return row["low"] or 0
 
 
 def sum_vectors(

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rankflow.functions.quantiles import order_statistics
+
 # Label codes.
 POSITIVE, NEGATIVE, NEUTRAL = 1, 0, -1
 
 COPIES_PER_TASK = 1_000_000
-SMALL_BUCKET = 100_000
 
 
 def assign_labels(
@@ -52,44 +53,20 @@ def _locate(hist: Sequence, left: int) -> tuple:
     raise ValueError("position beyond the last row")
 
 
-def _histogram(df: DataFrame, value: Column) -> list:
-    return df.groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()
-
-
-def _narrow(df: DataFrame, levels: Sequence[Column], value, size: int, left: int) -> tuple[list, int, bool]:
-    """Narrow one boundary inside the first level's ``value`` (``size`` rows).
+def _narrow(df: DataFrame, key: Column, size: int, left: int) -> tuple[str, int, bool]:
+    """Narrow a boundary inside rows of one time by the md5 key, three hex digits at a time.
 
-    Returns the sort prefix of the boundary, how many rows of that prefix belong to the left side,
-    and whether that is all of them. Each step groups only the rows of the prefix found so far; its
-    histogram is bounded by the level (seconds of a day, md5 digits) or by SMALL_BUCKET, so the
-    driver reads little and no row is ever sorted.
+    Returns the key prefix of the boundary, how many of its rows belong to the left side, and whether
+    that is all of them. Each step is one histogram of at most 4096 rows, so no row is ever sorted.
     """
-    prefix, rows = [value], df
-    for i in range(1, len(levels)):
-        if left == size:
-            break
-        rows = rows.where(levels[i - 1] == F.lit(prefix[-1]))
-        if size <= SMALL_BUCKET:
-            rest = F.struct(*[c.alias(f"l{j}") for j, c in enumerate(levels[i:])])
-            last, size, left = _locate(_histogram(rows, rest), left)
-            return prefix + list(last), left, left == size
-        last, size, left = _locate(_histogram(rows, levels[i]), left)
-        prefix.append(last)
+    prefix = ""
+    while left < size and len(prefix) < 32:
+        rows = df.where(key.startswith(prefix)) if prefix else df
+        hist = rows.groupBy(F.substring(key, 1, len(prefix) + 3).alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy("v").collect()
+        prefix, size, left = _locate(hist, left)
     return prefix, left, left == size
 
 
-def _compare(ts: Column, key: Column, prefix: list) -> tuple[Column, Column]:
-    """(rows before the boundary prefix, rows that share it) as short comparisons."""
-    if len(prefix) == 1:
-        start = prefix[0] * 86400
-        return ts < start, (ts >= start) & (ts < start + 86400)
-    if len(prefix) == 2:
-        return ts < prefix[1], ts == prefix[1]
-    at, digits = ts == prefix[1], prefix[-1]
-    # "g" sorts after every hex digit.
-    return (ts < prefix[1]) | (at & (key < digits)), at & (key >= digits) & (key < digits + "g")
-
-
 def time_split(
     df: DataFrame,
     train_frac: float = 0.70,
@@ -100,37 +77,41 @@ def time_split(
 ) -> DataFrame:
     """Tag rows train/val/test by row position in (timestamp, tie key) order, with exact sizes.
 
-    The tie key is an md5 string (by default of all columns). Only the two boundary rows are
-    searched for; all rows are then tagged by comparison, without a shuffle. If a boundary falls
-    inside a run of equal rows, these copies are counted and dealt out by count.
+    Timestamps may be of any numeric type and unit, but not null. The tie key is an md5 string (by
+    default of all columns). Only the two boundary rows are searched for: the boundary times as order
+    statistics, ties by key prefix; all rows are then tagged by comparison, without a shuffle. If a
+    boundary falls inside a run of equal rows, these copies are counted and dealt out by count.
     """
     parts = [Fraction(str(x)) for x in (train_frac, val_frac, test_frac)]
     if abs(sum(parts) - 1) > Fraction(1, 10**6):
-        raise ValueError(f"fractions must sum to 1.0, got {float(sum(parts))}")
+        raise ValueError(f"train, val and test shares add up to {float(sum(parts))} instead of 1")
     names = ["train", "val", "test"]
     key = F.col(tie_key) if tie_key else F.md5(F.to_json(F.struct(*df.columns)))
-    levels = [
-        F.floor(F.col(time_col) / 86400),
-        F.col(time_col),
-        F.substring(key, 1, 3),
-        F.substring(key, 1, 6),
-        F.substring(key, 1, 9),
-        key,
-    ]
-    first = _histogram(df, levels[0])
-    n = sum(h["n"] for h in first)
-    shares = [parts[0], parts[0] + parts[1]]
+    time = F.col(time_col)
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.count(time_col).alias("known")).collect()[0]
+    n = row["n"]
+    if row["known"] < n:
+        raise ValueError(f"{n - row['known']} rows have no {time_col}")
+    cuts = [n * s.numerator // s.denominator for s in (parts[0], parts[0] + parts[1])]
+    at = order_statistics(df.select(F.lit(0).alias("all"), time.alias("v")), "all", "v", {0: [c - 1 for c in cuts if c]}) if any(cuts) else {}
     sides: list[Column] = []
     runs: dict[tuple, dict] = {}
-    for i, cut in enumerate(n * s.numerator // s.denominator for s in shares):
+    for i, cut in enumerate(cuts):
         if cut == 0:
             sides.append(F.lit(False))
             continue
-        prefix, left, whole = _narrow(df, levels, *_locate(first, cut))
-        before, same = _compare(F.col(time_col), key, prefix)
-        sides.append(before | same if whole else before)
+        value, before, size = at[0, cut - 1]
+        now, left = F.lit(value), cut - before
+        if left == size:
+            sides.append(time <= now)
+            continue
+        prefix, left, whole = _narrow(df.where(time == now), key, size, left)
+        # "g" sorts after every hex digit.
+        earlier = (time < now) | ((time == now) & (key < prefix))
+        same = (time == now) & (key >= prefix) & (key < prefix + "g")
+        sides.append(earlier | same if whole else earlier)
         if not whole:
-            runs.setdefault(tuple(prefix), {"same": same, "names": names[i:], "bounds": []})["bounds"].append(left)
+            runs.setdefault((value, prefix), {"same": same, "names": names[i:], "bounds": []})["bounds"].append(left)
 
     tag = F.when(sides[0], names[0]).when(sides[1], names[1]).otherwise(names[2])
     in_run = F.lit(False)

@@ -12,6 +12,7 @@ from rankflow.functions.hashing import seeded_key
 from rankflow.functions.ordering import bucketed_rank, top_per_group
 from rankflow.operators.catalog import category_lookup
 from rankflow.operators.metrics import discount
+from rankflow.sources.scratch import materialize
 
 # The click model's features, in order.
 FEATURES = [
@@ -30,7 +31,7 @@ def product_features(interactions: DataFrame, catalog: DataFrame, ctr_smoothing:
     prior and popularity 0.
     """
     if "product_id" not in interactions.columns:
-        raise ValueError("interactions must contain product_id")
+        raise ValueError("no product_id column to count by")
     if "score" in interactions.columns:
         raw = (F.col("score").cast("double") - 1.0) / 4.0
     else:
@@ -189,13 +190,14 @@ def permutation_importance(
         keyed = df.withColumn("_k", seeded_key(seed, F.lit(tag), *ids))
         return bucketed_rank(keyed, out, [], [F.substring("_k", 1, 3)], [F.col("_k"), *ids]).drop("_k")
 
-    base = number(frame.select("query_idx", "candidate_product_id", *features, "label"), "row_no", "rows")
+    # Read by every repeat, so numbered and stored once.
+    base = materialize(number(frame.select("query_idx", "candidate_product_id", *features, "label"), "row_no", "rows"), "importance-rows")
     full = evaluator.evaluate(model.transform(base))
     rows = []
     for f in features:
         drops = []
         for i in range(repeats):
-            other = number(frame.select("query_idx", "candidate_product_id", f), "row_no", f"{f}/{i}").select("row_no", f)
+            other = number(base.select("query_idx", "candidate_product_id", f), "row_no", f"{f}/{i}").select("row_no", f)
             drops.append(full - evaluator.evaluate(model.transform(base.drop(f).join(other, "row_no"))))
         mean = sum(drops) / repeats
         rows.append((f, float(mean), float((sum((d - mean) ** 2 for d in drops) / repeats) ** 0.5)))

@@ -182,7 +182,7 @@ def explore_frame(spark: SparkSession, sf: str, *names: str) -> DataFrame:
     frame = features(spark, sf, *names).drop("query_text").join(text, "target_product_id")
     frame = frame.withColumn("query_cluster_id", C.query_cluster_id(F.col("query_text")))
     frame = frame.join(entropy, "query_cluster_id", "left").fillna(0.0, ["query_cluster_entropy"])
-    return O.normalized_similarity(frame)
+    return O.normalized_similarity(materialize(frame, "explore-frame"))
 
 
 @stage

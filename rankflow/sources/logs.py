@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankflow.functions.hashing import assign_bucket
 from rankflow.schemas import IMPRESSIONS
-from rankflow.sources.tables import path_exists
 
 
 def build_impressions(requests: DataFrame, served: DataFrame, request_key: str = "request_key") -> DataFrame:
@@ -56,6 +56,9 @@ def append_impressions(df: DataFrame, path: str) -> None:
 
 def read_impressions(spark: SparkSession, path: str) -> DataFrame:
     """All records; a log that was never written reads as empty. Blank lines are skipped."""
-    if not path_exists(spark, path):
+    try:
+        return spark.read.schema(IMPRESSIONS).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], IMPRESSIONS)
-    return spark.read.schema(IMPRESSIONS).json(path)

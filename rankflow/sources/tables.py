@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,16 +47,22 @@ def append_report(report: DataFrame, path: str) -> None:
 
 def store_embeddings(df: DataFrame, path: str) -> None:
     """A10: (product_id, embedding); ids travel in the row."""
-    df.select("product_id", F.col("embedding").cast("array<float>").alias("embedding")).write.parquet(path)
+    df.select("product_id", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").parquet(path)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds a finished write: a failed one leaves no success mark."""
+    try:
+        spark.read.format("binaryFile").load(f"{path.rstrip('/')}/_SUCCESS").select("path").first()
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
 
 
 def load_or_store_embeddings(spark: SparkSession, path: str, build) -> DataFrame:
-    """A10: reuse stored vectors if present, otherwise build and store them first."""
-    if not path_exists(spark, path):
+    """A10: reuse stored vectors if present and complete, otherwise build and store them first."""
+    if not written(spark, path):
         store_embeddings(build(), path)
     return spark.read.parquet(path)

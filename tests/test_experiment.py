@@ -67,7 +67,7 @@ def test_arms_lift_and_guardrails(spark):
 def test_rank_discount_in_arm(spark):
     req = spark.createDataFrame([("control", 1, "b", 1.0)], "arm string, request_key long, target_product_id string, latency_ms double")
     served = spark.createDataFrame([("control", 1, 1, "a"), ("control", 1, 2, "b")], "arm string, request_key long, rank int, item_id string")
-    row = R.arm_summary(req, served, 10, 25.0, ["control"]).collect()[0]
+    row = R.arm_summary(req, served, 10, 25.0).collect()[0]
     assert row["ndcg"] == pytest.approx(1 / math.log2(3)) and row["mrr"] == 0.5
 
 
@@ -76,8 +76,6 @@ def test_request_sample_is_seeded_and_bounded(spark):
     a, b = (sorted(map(tuple, R.sample_requests(q, 10, ["user_id"], s).collect())) for s in (1, 1))
     assert a == b and len(a) == 10
     assert a != sorted(map(tuple, R.sample_requests(q, 10, ["user_id"], 2).collect()))
-    with pytest.raises(ValueError):
-        R.require_requests(q.where(F.lit(False)))
 
 
 def test_streaming_log_and_windowed_null_rate(spark):
@@ -90,3 +88,14 @@ def test_streaming_log_and_windowed_null_rate(spark):
     assert logs.read_impressions(spark, out).count() == 40
     stats = S.null_rate_by_window(logs.read_impressions(spark, out)).agg(F.sum("n_requests").alias("n"), F.max("null_result_rate").alias("m")).collect()[0]
     assert stats["n"] == 40 and 0 < stats["m"] <= 1
+
+
+def test_arms_come_from_the_data(spark):
+    req = spark.createDataFrame([(a, i, "a", ms) for a, ms in (("control", 10.0), ("variant_b", 500.0), ("variant_c", 20.0)) for i in range(5)],
+                                "arm string, request_key long, target_product_id string, latency_ms double")
+    served = req.select("arm", "request_key", F.lit(1).alias("rank"), F.lit("a").alias("item_id"))
+    rows = {r["arm"]: r for r in R.arm_summary(req, served, 10, 100.0).collect()}
+    assert rows["variant_b"]["p95_latency_ms"] == 500.0 and rows["variant_b"]["latency_alert"]
+    assert set(rows) == {"control", "variant_b", "variant_c"} and not rows["variant_c"]["latency_alert"]
+    with pytest.raises(ValueError):
+        R.arm_summary(req.where(F.lit(False)), served)

@@ -101,19 +101,34 @@ def test_coverage_long_tail_entropy(spark):
     assert e[0] == pytest.approx(-(2 / 3) * math.log2(2 / 3) - (1 / 3) * math.log2(1 / 3)) and e[1] == 0.0
 
 
-@pytest.mark.parametrize("shape", ["spread", "heavy", "constant"])
-def test_exact_quantiles_equal_numpy(spark, monkeypatch, shape):
+@pytest.mark.parametrize("bins", [2, 16, 2048])
+def test_exact_quantiles_equal_numpy(spark, monkeypatch, bins):
+    """Several groups in one pass, among them ends of the double range and very close values."""
     from rankflow.functions import quantiles
 
-    monkeypatch.setattr(quantiles, "SMALL", 50)
-    monkeypatch.setattr(quantiles, "BINS", 16)
+    monkeypatch.setattr(quantiles, "BINS", bins)
     rng = np.random.default_rng(1)
-    x = {"spread": rng.lognormal(size=3000), "heavy": np.where(rng.random(3000) < 0.4, 7.0, rng.normal(size=3000)), "constant": np.full(300, 2.5)}[shape]
-    df = spark.createDataFrame([(float(v),) for v in x], "v double")
-    got = exact_quantiles(df, "v", [0.0, 0.2, 0.5, 0.95, 0.99, 1.0])
-    for p, v in got.items():
-        assert v == pytest.approx(np.quantile(x, p), rel=1e-12)
-    assert exact_quantiles(df.where(F.lit(False)), "v", [0.5]) == {0.5: None}
+    groups = {
+        "spread": rng.lognormal(size=3000), "heavy": np.where(rng.random(3000) < 0.4, 7.0, rng.normal(size=3000)), "constant": np.full(300, 2.5),
+        "wide": np.array([-1.7e308, 1.7e308, 0.0, 1.0, 5e-324, 1e-300]), "close": 1e15 + rng.integers(0, 4, 200) / 8, "one": np.array([3.0]),
+    }
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [("heavy", None), ("none", None)], "g string, v double")
+    got = exact_quantiles(df, "g", "v", [0.0, 0.2, 0.5, 0.95, 0.99, 1.0])
+    for g, x in groups.items():
+        for p, v in got[g].items():
+            at = np.sort(x)[[math.floor((len(x) - 1) * p), math.ceil((len(x) - 1) * p)]]
+            assert at[0] <= v <= at[1] and (g == "wide" or v == pytest.approx(np.quantile(x, p), rel=1e-12))
+    assert set(got["none"].values()) == {None}
+    assert exact_quantiles(df.where(F.lit(False)), "g", "v", [0.5]) == {}
+
+
+def test_quantiles_with_infinity_and_nan(spark):
+    rows = [(float(i % 997),) for i in range(30_000)] + [(math.inf,), (-math.inf,), (math.nan,)]
+    df = spark.createDataFrame(rows, "v double").select(F.lit("a").alias("g"), "v")
+    got = exact_quantiles(df, "g", "v", [0.0, 0.5, 1.0])["a"]
+    assert got[0.0] == -math.inf and got[0.5] == 497.0 and math.isnan(got[1.0])
+    summary = P.latency_summary(df.withColumnRenamed("v", "latency_ms")).collect()[0]
+    assert summary["p50_ms"] == 497.0
 
 
 def test_latency_summary_needs_p95(spark):

@@ -119,8 +119,7 @@ def draws_of(spark, n, seed):
 def test_explore_exploit_equals_step_by_step_store(spark, monkeypatch):
     # Small buckets and chunks, so that every query sequence crosses several of them.
     monkeypatch.setattr(O, "SEQUENCE_BUCKET", 16)
-    monkeypatch.setattr(O, "COUNT_CHUNK", 8)
-    monkeypatch.setattr(O, "VANISHED", 1e-9)
+    monkeypatch.setattr(O, "CHUNK", 8)
     rng = random.Random(11)
     rows = random_frame(rng, 160, 3, 25, 12)
     frame = spark.createDataFrame(rows, SCHEMA)
@@ -129,7 +128,12 @@ def test_explore_exploit_equals_step_by_step_store(spark, monkeypatch):
         O.ExploreConfig(epsilon=0.4, alpha=0.8, top_pool_k=6, eval_k=4, max_per_category=1, exposure_decay=1.0),
         O.ExploreConfig(epsilon=1.0, alpha=0.5, top_pool_k=20, eval_k=3, max_per_category=2, exposure_decay=0.9),
         O.ExploreConfig(epsilon=0.0, alpha=0.5, top_pool_k=5, eval_k=4, max_per_category=1, exposure_decay=0.99),
+        O.ExploreConfig(epsilon=0.4, alpha=0.8, top_pool_k=6, eval_k=4, max_per_category=1, exposure_decay=0.0),
+        O.ExploreConfig(epsilon=0.4, alpha=0.8, top_pool_k=6, eval_k=4, max_per_category=1, exposure_decay=0.999999),
+        O.ExploreConfig(epsilon=0.4, alpha=0.8, top_pool_k=6, eval_k=4, max_per_category=1, exposure_decay=1e-200),
     ]
+    with pytest.raises(ValueError):
+        O.explore_exploit(frame, [O.ExploreConfig(exposure_decay=1.5)])
     got = O.explore_exploit(frame, settings, seed=7)
     draws = draws_of(spark, 160, 7)
     rows_out = got.select("setting_id", "query_idx", "candidate_product_id", "final_rank").cache()
