@@ -233,7 +233,8 @@ def repeated_spans(rows: DataFrame, kind: Windows, work: Callable[[pa.Table], pa
     work: classes of whole anchors -> rows of SHARD_SCHEMA. merge: kind-1 rows of a key range -> (row, a, b).
     """
     anchors = rows.select("row", "text").mapInArrow(_count_task(kind), "row long, anchor long")
-    repeated = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
+    # Stored, so that the join below is of two plain shuffles, whose large partitions Spark can split.
+    repeated = materialize(anchors.groupBy("anchor").count().where("count > 1").select("anchor"), "repeated-anchors")
     wanted = anchors.join(repeated, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
     packed = rows.mapInArrow(_pack, "row long, id long, packed binary")
     texts = materialize(packed.join(wanted, "row"), "candidate-texts")

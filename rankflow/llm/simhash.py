@@ -144,7 +144,8 @@ def near_links(fps: DataFrame, radius: int = 3, prints: list[str] = ("fp",), wid
         for i, j in combinations(range(len(masks)), 2)
     ]
     rows = parts.select("id", F.inline(F.array(*keys)))
-    shared = rows.groupBy("key").count().where("count > 1")
+    # Stored, so that the join below is of two plain shuffles, whose large partitions Spark can split.
+    shared = materialize(rows.groupBy("key").count().where("count > 1"), "shared-keys")
     blocks = rows.join(shared, "key").withColumn("n", F.ceil(F.col("count") / BLOCK).cast("int"))
     if wide:
         blocks = blocks.join(fps.select("id", F.col(wide).alias("wide")), "id")
