@@ -1,7 +1,7 @@
 """Operator 6: order-preserving packing of token sequences by dynamic programming.
 
 Documents of a partition form one token stream, in order. Cuts are allowed at document ends (free), at sentence
-ends (a small penalty) and, inside longer sentences, at fixed steps (a large one). A sequence of n tokens costs
+ends (a small penalty) and, inside long stretches without either, at fixed steps (a large one). A sequence of n tokens costs
 its padding, max_tokens - n, or nothing where n is a power of two (such lengths are batched unpadded). The
 cheapest chain of cuts is found for each stretch of about BLOCK_TOKENS tokens:
 
@@ -30,10 +30,14 @@ from pyspark.sql import functions as F
 from rankflow.llm.common import offsets, ragged, sliced, text_bytes
 
 BLOCK_TOKENS = 1 << 19
-SENTENCE_PENALTY = 4.0
-INSIDE_PENALTY = 64.0
+#: As shares of max_tokens: what a cut costs in tokens of padding, stretches that get cuts of their own, their step.
+SENTENCE_PENALTY = 1 / 512
+INSIDE_PENALTY = 1 / 32
+LONG_STRETCH = 1 / 16
+INSIDE_STEP = 1 / 64
 SENTENCE_SIGNS = set(".!?…。！？")
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 1_000_000
+CACHE_PARTS = 500_000
 
 
 #: A word with signs after it: letters are one pre-token, so both parts are tokenized alone. An
@@ -48,7 +52,7 @@ def _byte_letters() -> dict[int, int]:
 
 
 class ChunkTokens:
-    """Token ids of texts, with the ids of space-separated chunks kept.
+    """Token ids of texts, with the ids of chunks between spaces and line ends kept.
 
     For lower-casing BPE tokenizers of bytes whose pre-tokenizer parts letters from signs and drops spaces.
     """
@@ -72,28 +76,29 @@ class ChunkTokens:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def part(self, text: str) -> list[int]:
-        ids = self.parts.get(text)
-        if ids is None:
-            lower = text.lower()
-            if lower.isascii() and lower.isalpha():
-                ids = [t.id for t in self.tokenizer.model.tokenize(lower)]
-            elif lower.isalpha() and "Σ" not in text and is_normalized("NFC", text) and is_normalized("NFC", lower):
-                ids = [t.id for t in self.tokenizer.model.tokenize(lower.encode().decode("latin-1").translate(self.letters))]
-            else:
-                ids = self.encode(text)
-            self.parts[text] = ids
+        """Ids of a lower-cased word, or of signs."""
+        if text.isalpha() and is_normalized("NFC", text):
+            byte_letters = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.tokenizer.model.tokenize(byte_letters)]
+        else:
+            ids = self.encode(text)
+        self.parts[text] = ids
         return ids
 
-    def chunk(self, text: str) -> list[int]:
-        match = WORD_AND_SIGNS.match(text)
-        if match is None:
-            return self.encode(text)
-        word, signs = match.groups()
-        ids = self.part(word.lower() if word.isascii() else word)
-        return ids + self.part(signs) if signs else ids
-
     def learn(self, chunks: list[str]) -> None:
-        ids = list(map(self.chunk, chunks))
+        if len(self.parts) > CACHE_PARTS:
+            self.parts = {}
+        match, known, part = WORD_AND_SIGNS.match, self.parts.get, self.part
+        ids = []
+        for chunk in chunks:
+            found = match(chunk)
+            if found is None or "Σ" in chunk:  # its lower case depends on what follows
+                ids.append(self.encode(chunk))
+                continue
+            word, signs = found.groups()
+            word = word.lower()
+            own = known(word) or part(word)
+            ids.append(own + (known(signs) or part(signs)) if signs else own)
         length = np.fromiter(map(len, ids), np.int64, len(ids))
         self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True))
         self.start = np.concatenate([self.start, len(self.ids) + offsets(length)[:-1]])
@@ -108,11 +113,10 @@ class ChunkTokens:
         self.ids = self.ids[ragged(self.start[rows], length)]
         self.start, self.length = offsets(length)[:-1], length
         self.known = dict(zip(keep, range(len(keep)), strict=True))
-        self.parts = {}
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids per text)."""
-        cut = [t.split(" ") for t in texts]
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
         used = set().union(*cut)
         new = used.difference(self.known)
         if len(self.known) + len(new) > CACHE_CHUNKS:
@@ -132,15 +136,13 @@ def choose_cuts(ends: np.ndarray, sentence: np.ndarray, max_tokens: int) -> np.n
     """
     n = int(ends[-1])
     penalty = np.full(n + 1, np.inf)
-    penalty[sentence] = SENTENCE_PENALTY
+    penalty[sentence] = SENTENCE_PENALTY * max_tokens
     penalty[ends] = 0.0
     penalty[0] = 0.0
     at = np.flatnonzero(np.isfinite(penalty))
-    gap = np.diff(at)
-    step = max(1, max_tokens // 8)
-    for i in np.flatnonzero(gap > max_tokens):
-        inside = np.arange(at[i] + step, at[i + 1], step)
-        penalty[inside] = INSIDE_PENALTY
+    step = max(1, int(max_tokens * INSIDE_STEP))
+    for i in np.flatnonzero(np.diff(at) > max_tokens * LONG_STRETCH):
+        penalty[at[i] + step : at[i + 1] : step] = INSIDE_PENALTY * max_tokens
     at = np.flatnonzero(np.isfinite(penalty))
     where = np.full(n + 1, -1, np.int64)
     where[at] = np.arange(len(at))
