@@ -100,6 +100,11 @@ def box_bound(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
 
 
+def clipped(scores: np.ndarray) -> np.ndarray:
+    """Python integers, to the range of a long."""
+    return np.minimum(np.maximum(scores, -(1 << 63)), (1 << 63) - 1)
+
+
 def search(q_ids: np.ndarray, q: np.ndarray, kth: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
     """(query position, vec_id, score) of the k best of x per query that reach kth; ties go to the smaller id."""
     by_id = np.argsort(ids, kind="stable")
@@ -108,8 +113,9 @@ def search(q_ids: np.ndarray, q: np.ndarray, kth: np.ndarray, ids: np.ndarray, x
     size = np.diff(starts)
     if len(q) and np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, x.shape[1]) >= EXACT:
         q, x, low, high = (a.astype(object) for a in (np.vectorize(int, otypes=[object])(b) if b.size else b for b in (q, x, low, high)))
-        bound = np.maximum(q, 0).dot(high.T) + np.minimum(q, 0).dot(low.T)
-        kth = np.array([-(1 << 200) if v == -np.inf else int(v) for v in kth], object)
+        bound = clipped(np.maximum(q, 0).dot(high.T) + np.minimum(q, 0).dot(low.T))
+        # A score in a double may be rounded up; a lower bound is as right.
+        kth = np.array([-(1 << 200) if v == -np.inf else int(v) - (abs(int(v)) >> 30) - 1 for v in kth], object)
         none = -(1 << 200)
     else:
         bound, none = box_bound(q, low, high), -np.inf
@@ -130,7 +136,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, kth: np.ndarray, ids: np.ndarray, x
                 break
             leaf = leaf[live]
             rows = order[slot[leaf]]
-            score = np.matmul(x[rows], qc[live][:, :, None])[:, :, 0] if q.dtype != object else np.array([x[r].dot(v) for r, v in zip(rows, qc[live], strict=True)], object)
+            score = np.matmul(x[rows], qc[live][:, :, None])[:, :, 0] if q.dtype != object else clipped(np.array([x[r].dot(v) for r, v in zip(rows, qc[live], strict=True)], object))
             drop = ~real[leaf] | (ids[rows] == q_ids[c + live][:, None])
             score = np.where(drop, none, score)
             score = np.concatenate([best[live], score], axis=1)
@@ -169,6 +175,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
 
     Fewer than k candidates give fewer rows. Only vectors of the query's dimension take part; rows of the query's
     own id do not. If a query id is repeated, its smallest vector asks; a candidate id counts once for each row.
+    Scores beyond a long are clipped to it.
     """
     base = quantized(vectors, id_col, vec_col)
     n = base.count()
