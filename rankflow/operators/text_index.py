@@ -1,17 +1,25 @@
-"""TF-IDF text index as tables, and retrieval as joins over its postings."""
+"""TF-IDF text index as tables, and retrieval as block products over its postings."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankflow.functions.ordering import top_per_group
 from rankflow.functions.text import clean_text, ngram_terms, word_tokens
 
 HISTORY_BUCKET_SECONDS = 30 * 86400
+# Rows of a block of query terms and of postings, and the bounds of a task's arrays.
+QUERY_ROWS = 200_000
+POSTING_ROWS = 500_000
+DENSE_CELLS = 4_000_000
+PAIRS_AT_ONCE = 4_000_000
+SCORE_DIGITS = 9
 
 
 @dataclass
@@ -87,12 +95,88 @@ def _rank(scores: DataFrame, key: str, k: int) -> DataFrame:
     return ranked.select(key, F.col("rank").cast("int").alias("rank"), "item_id", "score")
 
 
+def _sparse_topk(key: str, k: int):
+    """Top k documents of one block of queries against one block of postings, as a sparse product."""
+    cells, pairs_at_once, digits = DENSE_CELLS, PAIRS_AT_ONCE, SCORE_DIGITS
+
+    def search(queries: pa.Table, postings: pa.Table) -> pa.Table:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        q_keys = queries.column(key).combine_chunks().dictionary_encode()
+        items, d_row = np.unique(postings.column("item_id").to_numpy(zero_copy_only=False), return_inverse=True)
+        terms = postings.column("term").combine_chunks().dictionary_encode()
+        d_term, d_weight = terms.indices.to_numpy(), postings.column("weight").to_numpy()
+        by_term = np.argsort(d_term, kind="stable")
+        d_row, d_weight = d_row[by_term], d_weight[by_term]
+        first = np.searchsorted(d_term[by_term], np.arange(len(terms.dictionary) + 1))
+        q_term = pc.fill_null(pc.index_in(queries.column("term").combine_chunks(), terms.dictionary), -1).to_numpy()
+        q_row, q_weight = q_keys.indices.to_numpy(), queries.column("weight").to_numpy()
+        order = np.argsort(q_row, kind="stable")
+        order = order[q_term[order] >= 0]
+        q_term, q_row, q_weight = q_term[order], q_row[order], q_weight[order]
+        out_q, out_d, out_s = [], [], []
+        step = max(1, cells // max(1, len(items)))
+        for low in range(0, len(q_keys.dictionary) if len(items) else 0, step):
+            a, b = np.searchsorted(q_row, [low, low + step])
+            n = min(step, len(q_keys.dictionary) - low)
+            length = first[q_term[a:b] + 1] - first[q_term[a:b]]
+            scores = np.zeros(n * len(items))
+            ends = np.cumsum(length)
+            at = 0
+            while at < b - a:  # a bounded number of products at once, one query term at least
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + pairs_at_once, "right")))
+                size = length[at:to]
+                before = np.cumsum(size) - size
+                post = np.arange(size.sum()) + np.repeat(first[q_term[a + at : a + to]] - before, size)
+                cell = np.repeat((q_row[a + at : a + to] - low) * len(items), size) + d_row[post]
+                scores += np.bincount(cell, np.repeat(q_weight[a + at : a + to], size) * d_weight[post], len(scores))
+                at = to
+            scores = np.round(scores.reshape(n, len(items)), digits)
+            for i in np.flatnonzero(scores.max(1) > 0):
+                hit = np.flatnonzero(scores[i] > 0)
+                if len(hit) > k:
+                    cut = np.partition(scores[i][hit], len(hit) - k)[len(hit) - k]
+                    hit = hit[scores[i][hit] >= cut]
+                hit = hit[np.argsort(-scores[i][hit], kind="stable")[:k]]  # items ascend, so ties go to the smaller
+                out_q.append(np.full(len(hit), low + i))
+                out_d.append(hit)
+                out_s.append(scores[i][hit])
+        rows, docs = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_q, out_d))
+        return pa.table(
+            {
+                key: q_keys.dictionary.take(pa.array(rows)),
+                "item_id": pa.array(items[docs]),
+                "score": pa.array(np.concatenate(out_s) if out_s else np.zeros(0)),
+            }
+        )
+
+    return search
+
+
 def retrieve_by_terms(index: TextIndex, counts: DataFrame, key: str, k: int = 200) -> DataFrame:
-    """Rank documents for (key, term, tf) queries: one join on term, partial sums, top k per key."""
-    q = _weighted(counts, key, index.terms).withColumnRenamed("weight", "wq")
-    d = index.postings.select("term", F.col("product_id").alias("item_id"), F.col("weight").alias("wd"))
-    scores = q.join(d, "term").groupBy(key, "item_id").agg(F.round(F.sum(F.col("wq") * F.col("wd")), 9).alias("score"))
-    return _rank(scores.where(F.col("score") > 0), key, k)
+    """Rank documents for (key, term, tf) queries.
+
+    Queries and postings are cut into blocks by hash of their ids. Every pair of blocks is one sparse
+    product in a task, which sends on at most k rows per query; a common term is split with the
+    documents, and the scores of all pairs are never rows.
+    """
+    q = _weighted(counts, key, index.terms)
+    d = index.postings.select("term", F.col("product_id").alias("item_id"), "weight")
+    zero = F.lit(0).cast("long")
+    blocks = [F.ceil(F.count(F.lit(1)) / n).cast("long").alias("n") for n in (QUERY_ROWS, POSTING_ROWS)]
+    qb, db = q.agg(blocks[0]).scalar(), d.agg(blocks[1]).scalar()
+    q, d = (df.withColumn("qb", qb).withColumn("db", db) for df in (q, d))
+    q = q.select(
+        key, "term", "weight", F.pmod(F.xxhash64(key), F.col("qb")).alias("qblock"), F.explode(F.sequence(zero, F.col("db") - 1)).alias("dblock")
+    )
+    d = d.select(
+        "item_id", "term", "weight", F.explode(F.sequence(zero, F.col("qb") - 1)).alias("qblock"), F.pmod(F.xxhash64("item_id"), F.col("db")).alias("dblock")
+    )
+    fields = [T.StructField(key, counts.schema[key].dataType), T.StructField("item_id", d.schema["item_id"].dataType), T.StructField("score", T.DoubleType())]
+    keys = ["qblock", "dblock"]
+    partial = q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInArrow(_sparse_topk(key, k), T.StructType(fields))
+    return _rank(partial, key, k)
 
 
 def retrieve_texts(index: TextIndex, texts: DataFrame, text_col: str = "query_text", k: int = 200) -> DataFrame:
