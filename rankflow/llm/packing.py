@@ -16,9 +16,9 @@ import os
 import re
 import sys
 import zlib
+from array import array
 from collections import deque
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
 from unicodedata import is_normalized
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.common import offsets, ragged, sliced, text_bytes
+from rankflow.llm.common import offsets, sliced, text_bytes
 
 BLOCK_TOKENS = 1 << 19
 #: As shares of max_tokens: what a cut costs in tokens of padding, stretches that get cuts of their own, their step.
@@ -36,8 +36,8 @@ INSIDE_PENALTY = 1 / 32
 LONG_STRETCH = 1 / 16
 INSIDE_STEP = 1 / 64
 SENTENCE_SIGNS = set(".!?…。！？")
-CACHE_CHUNKS = 1_000_000
-CACHE_PARTS = 500_000
+CACHE_CHUNKS = 200_000
+CACHE_PARTS = 250_000
 
 
 #: A word with signs after it: letters are one pre-token, so both parts are tokenized alone. An
@@ -54,7 +54,8 @@ def _byte_letters() -> dict[int, int]:
 class ChunkTokens:
     """Token ids of texts, with the ids of chunks between spaces and line ends kept.
 
-    For lower-casing BPE tokenizers of bytes whose pre-tokenizer parts letters from signs and drops spaces.
+    For lower-casing BPE tokenizers of bytes whose pre-tokenizer parts letters from signs and drops spaces. Ids
+    are held as packed bytes, so that putting a text together is joining them.
     """
 
     def __init__(self, tokenizer_file: str) -> None:
@@ -64,55 +65,46 @@ class ChunkTokens:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         vocab = self.tokenizer.get_vocab()
         self.letters = _byte_letters()
-        self.sentence_end = np.zeros(max(vocab.values()) + 1, bool)
+        size = max(vocab.values()) + 1
+        self.code, self.dtype = ("H", np.uint16) if size <= 1 << 16 else ("I", np.uint32)
+        self.sentence_end = np.zeros(size, bool)
         for token, i in vocab.items():
             token = token.removesuffix("</w>")
             self.sentence_end[i] = any(c in SENTENCE_SIGNS for c in token) and not any(c.isalnum() for c in token)
-        self.known: dict[str, int] = {}  # row of a chunk
-        self.parts: dict[str, list[int]] = {}  # ids of words and signs
-        self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}  # words and signs
 
-    def encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def encode(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def part(self, text: str) -> list[int]:
+    def part(self, text: str) -> bytes:
         """Ids of a lower-cased word, or of signs."""
-        if text.isalpha() and is_normalized("NFC", text):
+        if text.isalpha() and (text.isascii() or is_normalized("NFC", text)):
             byte_letters = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.tokenizer.model.tokenize(byte_letters)]
+            ids = array(self.code, [t.id for t in self.tokenizer.model.tokenize(byte_letters)]).tobytes()
         else:
             ids = self.encode(text)
         self.parts[text] = ids
         return ids
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, chunks: Iterable[str]) -> None:
         if len(self.parts) > CACHE_PARTS:
             self.parts = {}
-        match, known, part = WORD_AND_SIGNS.match, self.parts.get, self.part
-        ids = []
+        match, part_of, part, known = WORD_AND_SIGNS.match, self.parts.get, self.part, self.known
         for chunk in chunks:
-            found = match(chunk)
-            if found is None or "Σ" in chunk:  # its lower case depends on what follows
-                ids.append(self.encode(chunk))
+            if chunk.isalpha():
+                word, signs = chunk, ""
+            elif (found := match(chunk)) is None:
+                known[chunk] = self.encode(chunk)
+                continue
+            else:
+                word, signs = found.groups()
+            if "Σ" in word:  # its lower case depends on what follows
+                known[chunk] = self.encode(chunk)
                 continue
-            word, signs = found.groups()
             word = word.lower()
-            own = known(word) or part(word)
-            ids.append(own + (known(signs) or part(signs)) if signs else own)
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True))
-        self.start = np.concatenate([self.start, len(self.ids) + offsets(length)[:-1]])
-        self.length = np.concatenate([self.length, length])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))])
-
-    def forget(self, keep: set[str]) -> None:
-        """Only chunks of the texts at hand stay: frequent ones are among them."""
-        keep = keep & self.known.keys()
-        rows = np.fromiter(map(self.known.__getitem__, keep), np.int64, len(keep))
-        length = self.length[rows]
-        self.ids = self.ids[ragged(self.start[rows], length)]
-        self.start, self.length = offsets(length)[:-1], length
-        self.known = dict(zip(keep, range(len(keep)), strict=True))
+            own = part_of(word) or part(word)
+            known[chunk] = own + (part_of(signs) or part(signs)) if signs else own
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids per text)."""
@@ -120,13 +112,13 @@ class ChunkTokens:
         used = set().union(*cut)
         new = used.difference(self.known)
         if len(self.known) + len(new) > CACHE_CHUNKS:
-            self.forget(used)
-        self.learn(list(new))
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        rows = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
-        length = self.length[rows]
-        ids = self.ids[ragged(self.start[rows], length)]
-        return ids, np.diff(offsets(length)[offsets(counts)])
+            # Only chunks of the texts at hand stay: frequent ones are among them.
+            self.known = {c: self.known[c] for c in used.difference(new)}
+        self.learn(new)
+        get = self.known.__getitem__
+        packed = [b"".join(map(get, chunks)) for chunks in cut]
+        count = np.fromiter(map(len, packed), np.int64, len(packed)) // np.dtype(self.dtype).itemsize
+        return np.frombuffer(b"".join(packed), self.dtype), count
 
 
 def choose_cuts(ends: np.ndarray, sentence: np.ndarray, max_tokens: int) -> np.ndarray:
@@ -146,24 +138,27 @@ def choose_cuts(ends: np.ndarray, sentence: np.ndarray, max_tokens: int) -> np.n
     at = np.flatnonzero(np.isfinite(penalty))
     where = np.full(n + 1, -1, np.int64)
     where[at] = np.arange(len(at))
-    powers: dict[int, list[int]] = {}
+    into, out_of = [], []  # pairs of cuts a power of two apart
     size = 1
     while size <= max_tokens:
-        late = at[at >= size]
+        late = at[np.searchsorted(at, size) :]
         back = where[late - size]
-        for k, j in zip(where[late[back >= 0]].tolist(), back[back >= 0].tolist(), strict=True):
-            powers.setdefault(k, []).append(j)
+        into.append(where[late[back >= 0]])
+        out_of.append(back[back >= 0])
         size *= 2
+    into, out_of = np.concatenate(into), np.concatenate(out_of)
+    order = np.argsort(into, kind="stable")
+    pair_at = np.searchsorted(into[order], np.arange(len(at) + 1)).tolist()
+    out_of = out_of[order].tolist()
     places, cost = at.tolist(), penalty[at].tolist()
     best, before = [0.0] * len(places), [0] * len(places)
     queue: deque[tuple[int, float, int]] = deque([(0, 0.0, 0)])  # (place, f + place, index), f + place ascending
-    get = powers.get
     for k in range(1, len(places)):
         i = places[k]
         while queue[0][0] < i - max_tokens:
             queue.popleft()
         low, j = queue[0][1] + max_tokens - i, queue[0][2]
-        for m in get(k, ()):
+        for m in out_of[pair_at[k] : pair_at[k + 1]]:
             if best[m] < low:
                 low, j = best[m], m
         low += cost[k]
@@ -233,9 +228,9 @@ def pack_documents(
             next_id += len(cuts)
             return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], names=names_out)
 
-        for batch in sliced(batches, 1, 2 << 20):
+        for batch in sliced(batches, 1, 1 << 20):
             ids, count = tokens.of([t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()])
-            ids = np.insert(ids, offsets(count)[1:], np.uint32(end_id)).astype("<u4")
+            ids = np.insert(ids.astype("<u4"), offsets(count)[1:], np.uint32(end_id))
             held.append((batch.column(0), ids, count + 1))
             if sum(len(h[1]) for h in held) >= BLOCK_TOKENS:
                 yield flush()
