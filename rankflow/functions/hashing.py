@@ -13,9 +13,9 @@ def assign_bucket(entity: Column, num_buckets: int = 2) -> Column:
     arithmetic expression and is exact for up to 2**31 buckets.
     """
     if num_buckets < 1:
-        raise ValueError(f"num_buckets must be >= 1, got {num_buckets}")
+        raise ValueError(f"{num_buckets} buckets cannot hold anything")
     if num_buckets > 2**31:
-        raise ValueError("num_buckets must be <= 2**31")
+        raise ValueError(f"{num_buckets} buckets are beyond 2**31")
     digest = F.sha2(entity.cast("string"), 256)
     rest = F.lit(0).cast("long")
     for piece in range(8):
@@ -27,7 +27,7 @@ def assign_bucket(entity: Column, num_buckets: int = 2) -> Column:
 def bucket_split(entity: Column, treatment_fraction: float = 0.5) -> Column:
     """True where SHA-256 of the id falls below the given fraction of the hash range."""
     if not 0 < treatment_fraction < 1:
-        raise ValueError("treatment_fraction must be in (0, 1)")
+        raise ValueError(f"a treatment share of {treatment_fraction} leaves one side empty")
     threshold = f"{int(treatment_fraction * 2**256):064x}"
     return F.sha2(entity.cast("string"), 256) < F.lit(threshold)
 

@@ -7,12 +7,15 @@ bucket its offset, and ``row_number`` only runs inside one finest bucket.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+BUCKET_ROWS = 65536
+
 
 def bucketed_rank(
     df: DataFrame, out: str, by: Sequence[str], levels: Sequence[Column], order: Sequence[Column]
@@ -50,6 +53,12 @@ def time_levels(time_col: str, key_col: str) -> list[Column]:
     return [F.floor(F.col(time_col) / 86400), F.col(time_col), F.substring(key_col, 1, 3)]
 
 
+def md5_levels(key_col: str, rows: int) -> list[Column]:
+    """Levels for ``rows`` rows ordered by an md5 key: about BUCKET_ROWS of them share the finest one."""
+    digits = max(3, math.ceil(math.log(max(1, rows) / BUCKET_ROWS, 16)))
+    return [F.substring(key_col, 1, d) for d in range(3, digits + 1, 3)] + ([F.substring(key_col, 1, digits)] if digits % 3 else [])
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First k rows per key with their rank; Spark limits each task's share before the shuffle."""
     w = W.partitionBy(*keys).orderBy(*order)

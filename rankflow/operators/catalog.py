@@ -111,10 +111,10 @@ def category_lookup(catalog: DataFrame) -> DataFrame:
 
 
 def resolve_category_column(catalog: DataFrame) -> str:
-    for name in ("category", "category_id"):
-        if name in catalog.columns:
-            return name
-    raise KeyError("catalog must contain either 'category' or 'category_id'")
+    known = [c for c in ("category", "category_id") if c in catalog.columns]
+    if not known:
+        raise KeyError(f"none of the catalog's columns {catalog.columns} is a category")
+    return known[0]
 
 
 def eval_queries(interactions: DataFrame, queries: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankflow.functions.hashing import seeded_int, seeded_key
-from rankflow.functions.ordering import bucketed_rank
+from rankflow.functions.ordering import bucketed_rank, md5_levels
 
 NUMBER_BUCKET = 65536
 
@@ -22,7 +22,7 @@ def positive_pairs(interactions: DataFrame, queries: DataFrame) -> DataFrame:
 def _numbered(products: DataFrame, by: list[str], out: str) -> DataFrame:
     """Dense 0-based number of every product within ``by``, in md5 order of the id."""
     keyed = products.withColumn("_k", F.md5(F.col("product_id").cast("string")))
-    ranked = bucketed_rank(keyed, out, by, [F.substring("_k", 1, 3)], [F.col("_k"), F.col("product_id")])
+    ranked = bucketed_rank(keyed, out, by, md5_levels("_k", products.count()), [F.col("_k"), F.col("product_id")])
     return ranked.withColumn(out, F.col(out) - 1).drop("_k")
 
 
@@ -91,7 +91,7 @@ def hard_negatives(pairs: DataFrame, catalog: DataFrame, seed: int = 42) -> Data
 def assign_batches(pairs: DataFrame, batch_size: int = 32, seed: int = 42) -> DataFrame:
     """Seeded shuffle of the pairs into batches of exactly batch_size rows (the last may be smaller)."""
     keyed = pairs.withColumn("_k", seeded_key(seed, F.col("user_id"), F.col("product_id"), F.col("query_text")))
-    ranked = bucketed_rank(keyed, "pos_in_epoch", [], [F.substring("_k", 1, 3)], [F.col("_k")])
+    ranked = bucketed_rank(keyed, "pos_in_epoch", [], md5_levels("_k", pairs.count()), [F.col("_k")])
     return ranked.withColumn("batch_id", F.floor((F.col("pos_in_epoch") - 1) / batch_size)).drop("_k")
 
 

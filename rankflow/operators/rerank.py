@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankflow.functions.hashing import seeded_key
-from rankflow.functions.ordering import bucketed_rank, top_per_group
+from rankflow.functions.ordering import bucketed_rank, md5_levels, top_per_group
 from rankflow.operators.catalog import category_lookup
 from rankflow.operators.metrics import discount
 from rankflow.sources.scratch import materialize
@@ -186,9 +186,11 @@ def permutation_importance(
     evaluator = BinaryClassificationEvaluator(rawPredictionCol="probability", metricName="areaUnderROC", numBins=0)
     ids = [F.col("query_idx"), F.col("candidate_product_id")]
 
+    n_rows = frame.count()
+
     def number(df: DataFrame, out: str, tag: str) -> DataFrame:
         keyed = df.withColumn("_k", seeded_key(seed, F.lit(tag), *ids))
-        return bucketed_rank(keyed, out, [], [F.substring("_k", 1, 3)], [F.col("_k"), *ids]).drop("_k")
+        return bucketed_rank(keyed, out, [], md5_levels("_k", n_rows), [F.col("_k"), *ids]).drop("_k")
 
     # Read by every repeat, so numbered and stored once.
     base = materialize(number(frame.select("query_idx", "candidate_product_id", *features, "label"), "row_no", "rows"), "importance-rows")

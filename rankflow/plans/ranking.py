@@ -189,6 +189,22 @@ def o4(spark, sf):
     return top.select("query_idx", "candidate_product_id", "final_rank", "did_explore")
 
 
+DRAW_SQL = "CAST('0x' || substr(md5('42:' || CAST(query_idx AS VARCHAR)),1,13) AS BIGINT) / 4503599627370496.0"
+
+
+@query(
+    "o4_explore_exploit_alpha0",
+    sql(
+        f"SELECT query_idx, candidate_product_id, CAST(final_rank AS INTEGER) AS final_rank, CAST({DRAW_SQL} < 0.3 AS INTEGER) AS did_explore FROM capped_topk",
+        "capped_topk",
+    ),
+)
+def o4_alpha0(spark, sf):
+    """Without a bonus an exploring query goes the whole way of the store and must still show the capped list."""
+    cfg = O.ExploreConfig(epsilon=0.3, alpha=0.0, broad_entropy_threshold=V.BROAD_ENTROPY)
+    return O.explore_exploit(_frame(spark, sf, "test"), [cfg]).select("query_idx", "candidate_product_id", "final_rank", "did_explore")
+
+
 @query("o5_base_score", sql("SELECT query_idx, candidate_product_id, round(base_score,6) AS base_score FROM explore_frame", "explore_frame"))
 def o5(spark, sf):
     return V.explore_frame(spark, sf, "test").select("query_idx", "candidate_product_id", r6("base_score"))

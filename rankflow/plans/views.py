@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,14 @@ CANDIDATE_K = 200
 BROAD_ENTROPY = 2.2
 
 
-_stages: dict[tuple, DataFrame] = {}
+# Per thread, so that queries that run side by side keep their own stages.
+_local = threading.local()
+
+
+def _stages() -> dict[tuple, DataFrame]:
+    if not hasattr(_local, "stages"):
+        _local.stages = {}
+    return _local.stages
 
 
 def stage(build):
@@ -32,15 +40,16 @@ def stage(build):
     @wraps(build)
     def shared(spark: SparkSession, sf: str, *args):
         key = (build.__name__, id(spark), sf, args)
-        if key not in _stages:
-            _stages[key] = build(spark, sf, *args)
-        return _stages[key]
+        stages = _stages()
+        if key not in stages:
+            stages[key] = build(spark, sf, *args)
+        return stages[key]
 
     return shared
 
 
 def new_query() -> None:
-    _stages.clear()
+    _stages().clear()
 
 
 def r6(name: str, alias: str | None = None):

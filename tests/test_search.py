@@ -220,3 +220,16 @@ def test_segment_lift_with_empty_segment(spark):
     rows = spark.createDataFrame([(5, 0.5, 0.75), (3, 0.5, 0.5)], "n_train long, baseline double, personalized double")
     got = {r["segment"]: r for r in G.segment_lift(rows).collect()}
     assert got["repeat"]["lift_percent"] == pytest.approx(25.0) and got["cold"]["n"] == 0 and got["cold"]["baseline_ndcg"] == 0.0
+
+
+@pytest.mark.parametrize("name", ["e3_exact_topk_inner_product", "e5_ivf_topk", "g6_personalized_ranking", "d5_user_history_retrieval"])
+def test_search_plans_have_no_keyless_join(spark, name):
+    import __spark_entry__ as entry
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
