@@ -152,10 +152,10 @@ def test_queries_are_registered():
     assert "pipeline" in queries.QUERIES and set(queries.ORACLE) <= set(queries.QUERIES)
 
 
-def test_kd_query_equals_sql(spark):
+@pytest.mark.parametrize("name", list(queries.ORACLE))
+def test_query_equals_sql(spark, name):
     from oracle_check import compare, duck
 
-    name = "op9_kd_tree_topk"
     assert compare(queries.QUERIES[name](spark, SF), duck(SF), queries.ORACLE[name]) is None
 
 
