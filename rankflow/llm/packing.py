@@ -36,8 +36,8 @@ INSIDE_PENALTY = 1 / 32
 LONG_STRETCH = 1 / 16
 INSIDE_STEP = 1 / 64
 SENTENCE_SIGNS = set(".!?…。！？")
-CACHE_CHUNKS = 200_000
-CACHE_PARTS = 250_000
+CACHE_CHUNKS = 300_000
+CACHE_PARTS = 400_000
 
 
 #: A word with signs after it: letters are one pre-token, so both parts are tokenized alone. An
