@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankflow.llm.common import offsets, sliced
-from rankflow.llm.repeats import Windows, covered, keyed_rows, repeated_spans, shard_rows, span_lists, unpack, whole_groups, window_keys
+from rankflow.llm.repeats import Windows, covered, keyed_rows, repeated_spans, shard_rows, span_lists, unpack, unpacked_sizes, whole_groups, window_keys
 
 GRAM = 5
 SHARD_BYTES = 1 << 19
@@ -169,7 +169,7 @@ def _changed(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """(row, n_removed, kept) of texts that lose words."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
+        for batch in sliced(batches, 1, sizes=unpacked_sizes):
             out = []
             for row, packed, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = unpack(packed).split()

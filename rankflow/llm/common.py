@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +31,16 @@ def crc_mod(name: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")).cast("binary")) % n
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row slices whose column holds about ``limit`` bytes, one row at least: bounds a task's memory."""
+def plain_sizes(values: pa.Array) -> np.ndarray:
+    return pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES, sizes: Callable[[pa.Array], np.ndarray] = plain_sizes) -> Iterator[pa.RecordBatch]:
+    """Row slices whose column holds about ``limit`` bytes by ``sizes``, one row at least: bounds a task's memory."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(sizes(batch.column(column)).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0

@@ -91,6 +91,7 @@ def text_symbols(text: bytes, kind: Windows) -> tuple[np.ndarray, np.ndarray | N
 def anchor_runs(symbols: np.ndarray, bounds: np.ndarray, kind: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first window, last window, anchor) of runs of windows with one anchor. Windows count within a text."""
     n = len(symbols) - kind.gram + 1
+    assert n <= 1 << PLACE_BITS, "a place would run into the hash bits"
     length = np.diff(bounds)
     windows = np.maximum(length - kind.size + 1, 0)
     if n <= 0 or not windows.any():
@@ -160,13 +161,18 @@ def unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def unpacked_sizes(packed: pa.Array) -> np.ndarray:
+    """Bytes of the texts themselves, from the frame headers: repetitive texts are packed to a thousandth."""
+    return np.fromiter(map(zstandard.frame_content_size, packed.to_pylist()), np.int64, len(packed))
+
+
 def _context_task(kind: Windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         digest = xxhash.xxh64_intdigest
         names = ["row", "id", "anchor", "ctx", "start", "windows", "content"]
         types = [pa.int64()] * 6 + [pa.binary()]
-        for batch in sliced(batches, 2, 1 << 19):
+        for batch in sliced(batches, 2, 1 << 20, unpacked_sizes):
             rows, ids, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
             texts = [unpack(t) for t in batch.column(2).to_pylist()]
             cut: dict[int, tuple] = {}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankflow.llm.common import offsets, ragged, sliced
-from rankflow.llm.repeats import Windows, covered, keyed_rows, repeated_spans, shard_rows, span_lists, unpack, whole_groups, window_keys
+from rankflow.llm.repeats import Windows, covered, keyed_rows, repeated_spans, shard_rows, span_lists, unpack, unpacked_sizes, whole_groups, window_keys
 
 GRAM = 32
 SHARD_BYTES = 1 << 20
@@ -173,7 +173,7 @@ def remove_repeats(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
     rows, texts, spans = repeated_byte_spans(docs, window, id_col, text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
+        for batch in sliced(batches, 1, sizes=unpacked_sizes):
             out = []
             for row, packed, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 text = np.frombuffer(unpack(packed), np.uint8)

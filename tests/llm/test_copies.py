@@ -5,8 +5,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from llm_data import documents, empty_documents, odd_documents, words
 
 from rankflow.llm import automaton_dedup, repeats, simhash, suffix_dedup
@@ -149,6 +151,20 @@ def test_suffix_array_dedup(spark, monkeypatch, make, split):
         assert any(x[2] for x in want)
 
 
+def test_contexts_of_texts_that_pack_small():
+    """17 MiB of text in one slice of 20 KB: places must not run into the hash bits, and no slice may hold all."""
+    kind = repeats.Windows(400, 32, words=False)
+    texts = [(f"the line of page {i:03d} again and again\n".encode() * 30000)[: repeats.STRETCH] for i in range(17)]
+    wanted = [np.unique(np.concatenate([a for *_, a in repeats.runs_of([t], kind)])).view(np.int64) for t in texts]
+    rows = pa.array(range(17), pa.int64())
+    packed = pa.array(map(zstandard.ZstdCompressor(level=1).compress, texts), pa.binary())
+    batch = pa.RecordBatch.from_arrays([rows, rows, packed, pa.array(wanted, pa.list_(pa.int64()))], names=["row", "id", "packed", "anchors"])
+    windows = np.zeros(17, np.int64)
+    for out in repeats._context_task(kind)(iter([batch])):
+        np.add.at(windows, out.column(0).to_numpy(), out.column(5).to_numpy())
+    assert windows.tolist() == [repeats.STRETCH - 399] * 17
+
+
 @pytest.mark.parametrize("split", [False, True])
 def test_automaton_dedup(spark, monkeypatch, split):
     if split:
