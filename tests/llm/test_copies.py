@@ -104,6 +104,35 @@ def test_similar_documents(spark):
     assert simhash.similar_documents(empty_documents(spark)).count() == 0
 
 
+def shingle_similarity(a, b, k=5):
+    one, two = ({tuple(x[i : i + k]) for i in range(len(x) - k + 1)} for x in (a, b))
+    return len(one & two) / len(one | two)
+
+
+def test_similar_documents_cut_lengthened_and_edited(spark):
+    """Copies of a similarity of 0.8 to 0.9 are found whatever was done to them, and those below it are not linked."""
+    rng = random.Random(12)
+    rows, pairs, at = [], [], 0
+    for kind in ("cut", "longer", "edited"):
+        for n in range(80):
+            base = words(rng, 270)
+            if kind == "cut":
+                copy = base[: rng.randrange(200, 245)]
+            elif kind == "longer":
+                copy = base + words(rng, rng.randrange(25, 85))
+            else:
+                copy = list(base)
+                for place in rng.sample(range(270), rng.randrange(3, 11)):
+                    copy[place] = f"new{rng.randrange(10**6)}"
+            pairs.append((at, at + 1, shingle_similarity(base, copy)))
+            rows += [(at, " ".join(base), "en", "s", 1), (at + 1, " ".join(copy), "en", "s", 1)]
+            at += 2
+    got = {r.id: r.component for r in simhash.similar_documents(documents(spark, rows)).collect()}
+    assert sum(s >= 0.8 for *_, s in pairs) > 120 and sum(s < 0.8 for *_, s in pairs) > 40
+    for a, b, s in pairs:
+        assert (got[a] == got[b]) == (s >= 0.8), s
+
+
 def slow_bytes(rows, w):
     count = {}
     data = [(i, (t or "").encode()) for i, t in rows]
