@@ -133,6 +133,31 @@ def test_similar_documents_cut_lengthened_and_edited(spark):
         assert (got[a] == got[b]) == (s >= 0.8), s
 
 
+@pytest.mark.parametrize("block_bytes", [16 << 20, 3000])
+def test_similar_documents_are_compared_exactly(spark, monkeypatch, block_bytes):
+    """Families around 0.8: components are those of brute force, also when a key is dealt out in blocks."""
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", block_bytes)
+    rng = random.Random(21)
+    texts = []
+    for _ in range(6):
+        base = words(rng, 120)
+        for _ in range(12):
+            w = list(base)
+            for place in rng.sample(range(120), rng.randrange(5)):
+                w[place] = f"new{rng.randrange(10**6)}"
+            texts.append(w)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    got = {r.id: r.component for r in simhash.similar_documents(documents(spark, [(i, " ".join(w), "en", "s", 1) for i, w in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+    assert 6 < len(set(label)) < 60
+
+
 def slow_bytes(rows, w):
     count = {}
     data = [(i, (t or "").encode()) for i, t in rows]
