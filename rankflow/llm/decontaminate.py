@@ -4,11 +4,13 @@ A seed is a fixed mask over successive words that ignores some positions, so a s
 hide a match. The hashes of all seeds of the benchmark are one side of the join; training texts are streamed
 against them, since benchmarks are small: a block of at most BLOCK_WORDS words is sent to the tasks at a time,
 and larger benchmarks take several passes. Around each hit, text and item are aligned on the hit's diagonal and
-the best run of words is verified, with substitutions up to one word in five.
+the run with most equal words is verified, with substitutions up to one word in five of the whole run, wherever
+they are. Items of fewer than SHORTEST_ITEM words have to be there word by word.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,21 +21,50 @@ from pyspark.sql import functions as F
 
 from rankflow.llm.common import offsets, ragged, sliced, text_bytes
 
-#: Any run of MIN_WORDS words with one substitution in five has a hit of one of these.
+#: Any run of SHORTEST_ITEM words or more with one substitution in five has a hit of one of these.
 MASKS = ("1111", "11011", "101011", "110101", "1100011")
 MIN_WORDS = 12
 SHORTEST_ITEM = 8
 SIMILARITY = 0.8
-MISMATCH = 3  # a mismatch ends a run unless three matches make up for it on either side
+MISMATCH = 4  # matches that make up for a mismatch at SIMILARITY
 BLOCK_WORDS = 1 << 20
 FILTER_BITS = 22
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 TO_SPACE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
+UNSPACED = ("CJK UNIFIED", "CJK COMPATIBILITY IDEOGRAPH", "HIRAGANA", "KATAKANA", "HALFWIDTH KATAKANA", "BOPOMOFO", "THAI ", "LAO ", "TIBETAN", "MYANMAR", "KHMER", "NEW TAI LUE", "TAI ")
+
+
+class _ToWords(dict):
+    """For str.translate: letters, marks and numbers stay, format characters go, those of scripts written without
+    spaces are words of their own, and all else is space."""
+
+    def __missing__(self, code: int) -> str | None:
+        c = chr(code)
+        kind = unicodedata.category(c)
+        if kind[0] in "LMN":
+            to = f" {c} " if unicodedata.name(c, "").startswith(UNSPACED) else c
+        else:
+            to = None if kind == "Cf" else " "
+        self[code] = to
+        return to
+
+
+TO_WORDS = _ToWords()
+
+
 def words_of(text: str) -> list[bytes]:
-    """Lower-cased words without signs."""
-    return text.lower().encode("utf-8", "replace").translate(TO_SPACE).split()
+    """Lower-cased words without signs; single characters in scripts written without spaces."""
+    low = text.lower()
+    if low.isascii():
+        return low.encode().translate(TO_SPACE).split()
+    return low.translate(TO_WORDS).encode("utf-8", "replace").split()
+
+
+def words_needed(n: int) -> int:
+    """Equal words that make an overlap with an item of n words."""
+    return n if n < SHORTEST_ITEM else min(MIN_WORDS, -(-4 * n // 5))
 
 
 def mask_hashes(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +94,7 @@ class SeedTable:
     hashes: np.ndarray
     places: np.ndarray  # into words, in the order of hashes
     filter: np.ndarray
+    masks: tuple[str, ...]
 
     def hits(self, texts: list[str]) -> list[tuple[int, int, int, int, int, int, float]]:
         """(text, item, matched words, run words, start in text, start in item, similarity), best run per text and item."""
@@ -75,7 +107,7 @@ class SeedTable:
         ids = np.zeros(int(count.sum()) + gap * len(cut), np.int64)
         ids[ragged(begin, count)] = np.fromiter((known(w, 0) for x in cut for w in x), np.int64, int(count.sum()))
         found = []
-        for mask in MASKS:
+        for mask in self.masks:
             at, h = mask_hashes(ids, mask)
             maybe = self.filter[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
             at, h = at[maybe], h[maybe]
@@ -86,6 +118,8 @@ class SeedTable:
         best: dict[tuple[int, int], tuple] = {}
         for shift, item, text in np.unique(np.concatenate(found), axis=0).tolist() if found else []:
             a, b = int(self.bounds[item]), int(self.bounds[item + 1])
+            if b - a < SHORTEST_ITEM and (text, item) in best:  # whole, and the first in the text
+                continue
             start = max(a, int(begin[text]) - shift)
             end = min(b, int(begin[text] + count[text]) - shift)
             equal = self.words[start:end] == ids[start + shift : end + shift]
@@ -94,7 +128,7 @@ class SeedTable:
                 continue
             lo, hi = run
             matched, n = int(equal[lo:hi].sum()), hi - lo
-            if matched >= min(MIN_WORDS, b - a) and matched >= SIMILARITY * n:
+            if matched >= words_needed(b - a):
                 row = (matched, n, start + lo + shift - int(begin[text]), start + lo - a, matched / n)
                 if (text, item) not in best or (row[0], -row[2], -row[3]) > (best[text, item][0], -best[text, item][2], -best[text, item][3]):
                     best[text, item] = row
@@ -102,33 +136,45 @@ class SeedTable:
 
 
 def best_run(equal: np.ndarray) -> tuple[int, int] | None:
-    """Bounds of the run with the largest sum of 1 per match and -MISMATCH per mismatch; the first of equals."""
+    """Bounds of the run with most matches among those with SIMILARITY; the shortest, then the first of equals."""
     if not equal.any():
         return None
     total = np.r_[0, np.cumsum(np.where(equal, 1, -MISMATCH))]
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return (start, end) if end > start else None
+    matches = np.r_[0, np.cumsum(equal)]
+    # For each end, the first start from where matches make up for all mismatches.
+    start = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+    found = matches - matches[start]
+    ends = np.flatnonzero(found == found.max())
+    at = np.flatnonzero(equal)
+    # Between its first and its last match.
+    low = at[matches[start[ends]]]
+    high = at[matches[ends] - 1] + 1
+    best = int(np.argmin(high - low))
+    return int(low[best]), int(high[best])
 
 
 def seed_table(items: list[tuple[int | None, str | None]]) -> SeedTable:
-    """Items shorter than SHORTEST_ITEM words, and null texts, are no evidence and have no seeds."""
-    cut = [(i, w) for i, t in items if len(w := words_of(t or "")) >= SHORTEST_ITEM]
+    """Null texts and those without words have no seeds; an item shorter than SHORTEST_ITEM is a seed as a whole."""
+    cut = [(i, w) for i, t in items if (w := words_of(t or ""))]
     vocabulary: dict[bytes, int] = {}
     words = np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for _, w in cut for x in w], np.int64)
     bounds = offsets(np.array([len(w) for _, w in cut], np.int64))
     hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for mask in MASKS:
+    size = np.diff(bounds)
+    masks = tuple(dict.fromkeys((*MASKS, *("1" * n for n in np.unique(size[size < SHORTEST_ITEM]).tolist()))))
+    for mask in masks:
         at, h = mask_hashes(words, mask)
-        inside = np.searchsorted(bounds, at, "right") == np.searchsorted(bounds, at + len(mask) - 1, "right")
+        item = np.searchsorted(bounds, at, "right") - 1
+        inside = item == np.searchsorted(bounds, at + len(mask) - 1, "right") - 1
+        whole = "0" not in mask and size[item] == len(mask)
+        inside &= whole | (size[item] >= SHORTEST_ITEM if mask in MASKS else False)
         hashes.append(h[inside])
         places.append(at[inside])
     hashes, places = np.concatenate(hashes), np.concatenate(places)
     order = np.argsort(hashes, kind="stable")
     bits = np.zeros(1 << FILTER_BITS, bool)
     bits[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-    return SeedTable(vocabulary, [i for i, _ in cut], words, bounds, hashes[order], places[order], bits)
+    return SeedTable(vocabulary, [i for i, _ in cut], words, bounds, hashes[order], places[order], bits, masks)
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[SeedTable]:
@@ -137,7 +183,7 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: st
     held, size = [], 0
     for row in rows.sort("id", "text").toLocalIterator():
         held.append((row.id, row.text))
-        size += len((row.text or "").split()) + 1
+        size += len(words_of(row.text or "")) + 1
         if size >= BLOCK_WORDS:
             yield seed_table(held)
             held, size = [], 0

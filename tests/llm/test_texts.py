@@ -295,3 +295,30 @@ def test_every_mask_tolerates_substitutions():
         run = decontaminate.best_run(np.array([a == b for a, b in zip(t, w, strict=True)]))
         good = sum(x != "other" for x in t[run[0] : run[1]]) >= 12
         assert bool(table.hits([" ".join(t)])) == good
+
+
+def test_overlaps_by_plain_hamming_similarity():
+    """Whole items of 8 to 20 words with substitutions anywhere: found if four words in five are equal."""
+    rng = random.Random(7)
+    for n in range(8, 21):
+        w = [f"w{i}" for i in range(n)]
+        table = decontaminate.seed_table([(1, " ".join(w))])
+        for trial in range(120):
+            t = list(w)
+            off = trial % (n // 5 + 2)
+            for at in rng.sample(range(n), off):
+                t[at] = f"other{at}"
+            hits = table.hits([" ".join(["before"] * 9 + t + ["after"] * 9)])
+            if 5 * off <= n:
+                assert hits and hits[0][2] == n - off, (n, t)
+            elif n <= 15:  # of longer ones, 12 words may still be an overlap
+                assert not hits, (n, t)
+
+
+def test_overlaps_with_short_items_and_unspaced_scripts():
+    items = [(1, "Too short, item!"), (2, "one"), (3, "这是一个完整的测试问题"), (4, "हिन्दी में लिखा गया छोटा सवाल"), (5, "どこ"), (6, None), (7, "...")]
+    table = decontaminate.seed_table(items)
+    texts = ["a too short item here", "too short other item", "none or oneself", "it is One.", "他说：“这是一个完整的考试问题”。", "यह हिन्दी में, लिखा गया छोटा सवाल है", "駅はどこですか", "में लिखा गया छोटा सवाल", "..."]
+    found = {(text, table.item_ids[item]) for text, item, *_ in table.hits(texts)}
+    assert found == {(0, 1), (3, 2), (4, 3), (5, 4), (6, 5)}
+    assert decontaminate.words_of("naïve—Café “x”\u00a0y") == ["naïve".encode(), "café".encode(), b"x", b"y"]
