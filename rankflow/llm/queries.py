@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import automaton_dedup, decontaminate, kd_search, language_id, packing, simhash, suffix_dedup, token_counts, toxicity, warc
+from rankflow.llm import automaton_dedup, decontaminate, kd_search, language_id, packing, simhash, suffix_dedup, token_counts, toxicity, warc, whitening
 from rankflow.llm.common import crc_mod, table
 from rankflow.sources.scratch import scratch_path
 
@@ -94,6 +94,12 @@ def op5_benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit_whitening(vectors, components=16))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
