@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import automaton_dedup, decontaminate, kd_search, language_id, packing, pii, simhash, suffix_dedup, token_counts, toxicity, warc, whitening
+from rankflow.llm import automaton_dedup, decontaminate, kd_search, language_id, packing, pii, simhash, suffix_dedup, token_alignment, token_counts, toxicity, warc, whitening
 from rankflow.llm.common import crc_mod, table
 from rankflow.sources.scratch import scratch_path
 
@@ -168,6 +168,12 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(vectors, whitening.fit_whitening(vectors, components=16))
 
 
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents"), *paths)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
