@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,3 +48,53 @@ def seeded_int(seed: int, *cols: Column) -> Column:
 def seeded_uniform(seed: int, *cols: Column) -> Column:
     """A uniform double in [0, 1) from the seeded key."""
     return F.conv(F.substring(seeded_key(seed, *cols), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+
+
+#: Half rounds of a keyed permutation, those with a square, and how often a number that left its range is sent on.
+HALVES, SQUARED, WALKS = 6, (1, 2, 3), 16
+PRIME = 2**31 - 1
+
+
+def permutation_sides(n: int) -> tuple[int, int]:
+    """Width and height of the rectangle a permutation of [0, n) works in: it holds n places, and fewer than width more."""
+    if not 0 < n <= PRIME * PRIME:
+        raise ValueError(f"{n} numbers cannot be permuted")
+    width = math.isqrt(n - 1) + 1
+    return width, -(-n // width)
+
+
+def permutation_keys(key: str) -> tuple[list[int], list[int]]:
+    """A factor and a shift per half round."""
+
+    def draw(name: str) -> int:
+        return 1 + int(hashlib.md5(f"{key}/{name}".encode()).hexdigest()[:15], 16) % (PRIME - 1)
+
+    return [draw(f"factor {r}") for r in range(HALVES)], [draw(f"shift {r}") for r in range(HALVES)]
+
+
+def permuted(number: Column, n: int, factors: Column, shifts: Column) -> Column:
+    """A keyed permutation of the numbers 0 to n - 1, as an expression; the keys are array columns.
+
+    The number is a place in a rectangle a little larger than n. Half rounds of a Feistel network move its column
+    by a hash of its row, or its row by a hash of its column, which can be undone, so no two numbers meet. A number
+    that falls outside n goes round again until it is back inside: a share below 1 / sqrt(n) each time.
+    """
+    width, height = permutation_sides(n)
+
+    def once(place: Column) -> Column:
+        x, y = place % F.lit(width), F.call_function("div", place, F.lit(width).cast("long"))
+        for r in range(HALVES):
+            hashed = ((y if r % 2 == 0 else x) * factors[r] + shifts[r]) % F.lit(PRIME)
+            if r in SQUARED:
+                hashed = (hashed * hashed) % F.lit(PRIME)
+            if r % 2 == 0:
+                x = (x + hashed) % F.lit(width)
+            else:
+                y = (y + hashed) % F.lit(height)
+        return y * F.lit(width).cast("long") + x
+
+    def inside(first: Column) -> Column:
+        walk = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), first, lambda at, _: F.when(at < n, at).otherwise(once(at)))
+        return F.when(first < n, first).otherwise(walk)
+
+    return F.transform(F.array(once(number.cast("long"))), inside)[0]

@@ -42,18 +42,20 @@ def vector_dim(df: DataFrame, vec: str) -> int:
     return row["low"] or 0
 
 
-def sum_vectors(
-    df: DataFrame, keys: Sequence[str], vec: str, out: str, dim: int, weight: Column | None = None, mean: bool = False
-) -> DataFrame:
-    """Element-wise (weighted) sum or mean per key.
+def sum_vectors(df: DataFrame, keys: Sequence[str], vec: str, out: str, weight: Column | None = None, mean: bool = False) -> DataFrame:
+    """Element-wise (weighted) sum or mean per key, of any length of vectors.
 
-    One plain aggregate per element: partial sums are combined on the map side, so a key that holds
-    a large share of the rows sends one row per task, and no row is ever exploded.
+    One vector aggregate: partial sums are combined on the map side, so a key that holds a large share of the rows
+    sends one row per task; no row is exploded, and the plan does not grow with the dimension. Null vectors add
+    nothing, a key without any gets none. The mean divides by the number of vectors, whatever their weights.
     """
-    agg = F.avg if mean else F.sum
-    parts = []
-    for i in range(dim):
-        x = F.col(vec)[i].cast("double")
-        parts.append(agg(x if weight is None else weight * x).alias(f"_s{i}"))
-    grouped = df.groupBy(*keys).agg(*parts) if keys else df.agg(*parts)
-    return grouped.select(*keys, F.array(*[F.col(f"_s{i}") for i in range(dim)]).alias(out))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    x = as_double(F.col(vec))
+    if weight is not None:
+        x = F.transform(F.array(weight), lambda w: F.transform(as_double(F.col(vec)), lambda e: e * w))[0]
+    rows = df.where(F.col(vec).isNotNull()).select(*keys, array_to_vector(x).alias("_v"))
+    total = (Summarizer.mean if mean else Summarizer.sum)(F.col("_v"))
+    grouped = rows.groupBy(*keys) if keys else rows.groupBy(F.lit(0).alias("_all"))
+    return grouped.agg(total.alias("_t")).select(*keys, vector_to_array("_t").alias(out))

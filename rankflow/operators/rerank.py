@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankflow.functions.hashing import seeded_key
-from rankflow.functions.ordering import bucketed_rank, md5_levels, top_per_group
+from rankflow.functions.hashing import permutation_keys, permuted
+from rankflow.functions.ordering import bucketed_rank, top_per_group
+from rankflow.functions.vecmath import dot
 from rankflow.operators.catalog import category_lookup
 from rankflow.operators.metrics import discount
 from rankflow.sources.scratch import materialize
@@ -110,6 +113,54 @@ def add_features(candidates: DataFrame, features: DataFrame, affinity: DataFrame
     )
 
 
+def candidate_lists(retrieved: DataFrame, features: DataFrame) -> DataFrame:
+    """(query_text, list): per distinct text its candidates in retrieval order, with what depends on the candidate only.
+
+    Product features are joined here, once per (text, candidate), and not once per request.
+    """
+    table = features.select(F.col("product_id").alias("item_id"), "category", "global_ctr", "product_popularity")
+    rows = retrieved.where(F.col("item_id").isNotNull()).join(table, "item_id", "left")
+    one = F.struct(
+        F.col("rank").alias("retrieval_rank"),
+        F.col("item_id").alias("candidate_product_id"),
+        F.coalesce("category", F.lit("unknown")).alias("candidate_category"),
+        F.col("score").alias("similarity_score"),
+        F.coalesce("global_ctr", F.lit(0.0)).alias("historical_global_ctr"),
+        F.coalesce("product_popularity", F.lit(0.0)).alias("product_popularity"),
+    )
+    return rows.groupBy("query_text").agg(F.array_sort(F.collect_list(one)).alias("list"))
+
+
+def pack_requests(requests: DataFrame, lists: DataFrame, affinity: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """H3 and H4 with one row per request: its candidates with all click features, in the array ``cands``.
+
+    A user's affinities are one map (a number per category), so neither join multiplies rows: a request meets the
+    list of its text and the map of its user. ``unpack`` gives the rows of ``add_features``.
+    """
+    pair = F.struct("category", "affinity")
+    taste = affinity.groupBy("user_id").agg(F.map_from_entries(F.collect_list(pair)).alias("taste"))
+    joined = requests.join(lists, "query_text").join(taste, "user_id", "left")
+
+    def candidate(c):
+        known = F.coalesce(F.try_element_at("taste", c["candidate_category"]), F.lit(0.0))
+        match = F.coalesce((c["candidate_category"] == F.col("category")).cast("double"), F.lit(0.0))
+        label = (c["candidate_product_id"] == F.col("product_id")).cast("int")
+        kept = ["candidate_product_id", "candidate_category", "retrieval_rank", "similarity_score", "historical_global_ctr", "product_popularity"]
+        return F.struct(
+            *[c[k].alias(k) for k in kept], match.alias("category_match_binary"), known.alias("user_category_affinity"), label.alias("label")
+        )
+
+    return joined.select(
+        *extra, "query_idx", "user_id", F.col("product_id").alias("target_product_id"), F.col("category").alias("query_category"),
+        "query_text", F.transform("list", candidate).alias("cands"),
+    )
+
+
+def unpack(packed: DataFrame) -> DataFrame:
+    """One row per (request, candidate)."""
+    return packed.select(*[c for c in packed.columns if c != "cands"], F.inline("cands"))
+
+
 def click_model(train: DataFrame, hidden: int = 32, max_iter: int = 30, seed: int = 42, features: Sequence[str] = FEATURES):
     """H5: fitted pipeline: standard scaling, then one hidden layer, for p(click)."""
     from pyspark.ml import Pipeline
@@ -124,13 +175,116 @@ def click_model(train: DataFrame, hidden: int = 32, max_iter: int = 30, seed: in
     return Pipeline(stages=stages).fit(train.select(*features, "label"))
 
 
-def click_probability(model, frame: DataFrame) -> DataFrame:
+def click_probability(model, frame: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Frame with ``rerank_probability``."""
-    from pyspark.ml.functions import vector_to_array
+    p = ClickNetwork.of_model(model).batch_probability([F.col(f).cast("double") for f in features])
+    return frame.withColumn("rerank_probability", p)
+
+
+@dataclass(frozen=True)
+class ClickNetwork:
+    """The click model's forward pass: scaled features, one hidden layer of sigmoids, p(click).
+
+    As a table it is one row per unit (``weight_rows``), so a fitted model can be stored and read back, and its
+    probabilities are plain column expressions, or a matrix product over packed lists.
+    """
+
+    mean: tuple[float, ...]
+    scale: tuple[float, ...]  # 1 / standard deviation, 0 for constant features
+    hidden: tuple[tuple[tuple[float, ...], float], ...]  # per unit: weights, bias
+    out: tuple[float, ...]  # of the difference of the two output units
+    out_bias: float
+
+    @staticmethod
+    def of_model(model) -> ClickNetwork:
+        """From a fitted ``click_model``."""
+        scaler, net = model.stages[1], model.stages[2]
+        mean, std = scaler.mean.toArray().tolist(), scaler.std.toArray().tolist()
+        n_in, n_hidden = len(mean), net.getLayers()[1] if hasattr(net, "getLayers") else (len(net.weights) - 2) // (len(mean) + 3)
+        flat = net.weights.toArray().tolist()
+        # Each layer: weights by input, then one bias per unit.
+        weights = [[flat[i * n_hidden + u] for i in range(n_in)] for u in range(n_hidden)]
+        at = n_in * n_hidden
+        bias = flat[at : at + n_hidden]
+        at += n_hidden
+        out = [flat[at + 2 * u + 1] - flat[at + 2 * u] for u in range(n_hidden)]
+        at += 2 * n_hidden
+        hidden = tuple((tuple(w), b) for w, b in zip(weights, bias, strict=True))
+        return ClickNetwork(tuple(mean), tuple(1.0 / s if s else 0.0 for s in std), hidden, tuple(out), flat[at + 1] - flat[at])
+
+    @staticmethod
+    def schema() -> str:
+        return "layer string, unit int, weights array<double>, bias double"
+
+    def weight_rows(self) -> list[tuple[str, int, list[float], float]]:
+        rows = [("mean", 0, list(self.mean), 0.0), ("scale", 0, list(self.scale), 0.0), ("out", 0, list(self.out), self.out_bias)]
+        return rows + [("hidden", u, list(w), b) for u, (w, b) in enumerate(self.hidden)]
+
+    @staticmethod
+    def load(table: DataFrame) -> ClickNetwork:
+        """Read back from a table of ``weight_rows``: as many rows as the model has units."""
+        rows = {(r["layer"], r["unit"]): (tuple(r["weights"]), r["bias"]) for r in table.collect()}
+        hidden = tuple(rows["hidden", u] for u in range(sum(layer == "hidden" for layer, _ in rows)))
+        return ClickNetwork(rows["mean", 0][0], rows["scale", 0][0], hidden, *rows["out", 0])
+
+    def probability(self, features: Sequence[Column]) -> Column:
+        """p(click) as an expression over the feature columns; the units are an array, so the expression stays small."""
+        scaled = F.array(*[(x - F.lit(m)) * F.lit(s) for x, m, s in zip(features, self.mean, self.scale, strict=True)])
+        units = F.array(
+            *[F.struct(F.array(*[F.lit(x) for x in w]).alias("w"), F.lit(b).alias("b"), F.lit(o).alias("o")) for (w, b), o in zip(self.hidden, self.out, strict=True)]
+        )
+
+        def sigmoid(x: Column) -> Column:
+            return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
-    scored = model.transform(frame)
-    p = vector_to_array("probability")[1]
-    return scored.withColumn("rerank_probability", p).select(*frame.columns, "rerank_probability")
+        def forward(x: Column) -> Column:
+            return sigmoid(F.aggregate(units, F.lit(self.out_bias), lambda total, u: total + u["o"] * sigmoid(u["b"] + dot(u["w"], x))))
+
+        return F.transform(F.array(scaled), forward)[0]
+
+    def batch_probability(self, features: Sequence[Column]) -> Column:
+        """The same in Arrow batches, as one matrix product: for many rows."""
+        return F.pandas_udf(_forward(self), "double", F.PandasUDFType.SCALAR)(*features)
+
+
+def _forward(net: ClickNetwork):
+    def run(*columns):
+        import numpy as np
+        import pandas as pd
+
+        w, b = np.array([x for x, _ in hidden]), np.array([x for _, x in hidden])
+        x = (np.column_stack(columns) - np.array(mean)) * np.array(scale)
+        inner = 1.0 / (1.0 + np.exp(-(x @ w.T + b)))
+        return pd.Series(1.0 / (1.0 + np.exp(-(inner @ np.array(out) + out_bias))))
+
+    # Plain values, so that the function ships without the package.
+    mean, scale, hidden, out, out_bias = net.mean, net.scale, net.hidden, net.out, net.out_bias
+    return run
+
+
+def scored_lists(packed: DataFrame, network: ClickNetwork, features: Sequence[str] = FEATURES, digits: int = 9) -> DataFrame:
+    """Packed requests with p(click) of every candidate as ``cands.p_click``: one matrix product per batch."""
+    of = F.transform("cands", lambda c: F.struct(*[c[f].cast("double").alias(f) for f in features]))
+    rows = packed.withColumn("features", of)
+    names, forward = list(features), _forward(network)
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("features"))
+            flat = lists.flatten()
+            p = np.round(forward(*[flat.field(n).to_numpy(zero_copy_only=False) for n in names]).to_numpy(), digits)
+            ends = np.append(0, np.cumsum(np.diff(lists.offsets.to_numpy()))).astype(np.int32)
+            kept = [i for i, n in enumerate(batch.schema.names) if n != "features"]
+            scores = pa.ListArray.from_arrays(pa.array(ends), pa.array(p))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], scores], names=[*[batch.schema.names[i] for i in kept], "p_click"])
+
+    schema = T.StructType([*packed.schema.fields, T.StructField("p_click", T.ArrayType(T.DoubleType()))])
+    scored = rows.mapInArrow(run, schema)
+    both = F.zip_with("cands", "p_click", lambda c, p: c.withField("p_click", p))
+    return scored.withColumn("cands", both).drop("p_click")
 
 
 def ordered_lists(frame: DataFrame, score_col: str, k: int | None = None) -> DataFrame:
@@ -156,7 +310,26 @@ def compare_rankings(frame: DataFrame, baseline_col: str, rerank_col: str, k: in
         ahead = F.struct(-F.col(c), *keys) < F.col(f"t_{c}")
         first = F.when(F.count(f"t_{c}") > 0, F.sum(ahead.cast("int")) + 1)
         ranks.append(first.alias(f"r_{c}"))
-    per = joined.groupBy("query_idx").agg(*ranks)
+    return _lift_report(joined.groupBy("query_idx").agg(*ranks), baseline_col, rerank_col, k)
+
+
+def compare_lists(packed: DataFrame, baseline: Callable[[Column], Column], reranked: Callable[[Column], Column], k: int = 10) -> DataFrame:
+    """H7 over packed requests: the scores are functions of a candidate. Nothing is shuffled but the final sums."""
+
+    def place(score: Callable[[Column], Column]) -> Column:
+        def order(c: Column) -> Column:
+            return F.struct((-score(c)).alias("s"), c["retrieval_rank"].alias("r"), c["candidate_product_id"].alias("i"))
+
+        keys = F.struct(F.transform("cands", order).alias("all"), F.array_min(F.transform(F.filter("cands", lambda c: c["label"] == 1), order)).alias("t"))
+        ahead = F.transform(F.array(keys), lambda x: F.size(F.filter(x["all"], lambda o: o < x["t"])) + 1)[0]
+        return F.when(F.exists("cands", lambda c: c["label"] == 1), ahead)
+
+    per = packed.where(F.size("cands") > 0).select(place(baseline).alias("r_a"), place(reranked).alias("r_b"))
+    return _lift_report(per, "a", "b", k)
+
+
+def _lift_report(per: DataFrame, baseline_col: str, rerank_col: str, k: int) -> DataFrame:
+    """NDCG, MRR and their lift from r_baseline and r_reranked, the target's rank per query (null: not in the list)."""
 
     def mean(value):
         return F.coalesce(F.avg(F.coalesce(value, F.lit(0.0))), F.lit(0.0))
@@ -174,43 +347,41 @@ def compare_rankings(frame: DataFrame, baseline_col: str, rerank_col: str, k: in
 
 
 def permutation_importance(
-    model, frame: DataFrame, repeats: int = 5, seed: int = 42, features: Sequence[str] = FEATURES
+    frame: DataFrame, score: Callable[[Sequence[Column]], Column], repeats: int = 5, seed: int = 42, features: Sequence[str] = FEATURES
 ) -> DataFrame:
-    """H8: drop in ROC-AUC when one feature is shuffled; mean and deviation over the repeats.
+    """H8: drop in ROC-AUC when one feature is shuffled; mean and deviation over the repeats, in one job.
 
-    A shuffle is an equi-join of rows numbered in two seeded orders. ``frame`` needs a unique
-    (query_idx, candidate_product_id). Only (feature, repeat) is a driver loop.
+    ``frame`` needs a unique (query_idx, retrieval_rank); ``score`` makes a score of the feature columns. Rows are
+    numbered once. A repeat's shuffle is a keyed permutation of the numbers, so it is one equi-join on an integer;
+    it brings the features of the other row, of which each variant takes one. All variants are scored as rows, and
+    their exact areas come from one grouped rank sum.
     """
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-
-    evaluator = BinaryClassificationEvaluator(rawPredictionCol="probability", metricName="areaUnderROC", numBins=0)
-    ids = [F.col("query_idx"), F.col("candidate_product_id")]
-
-    n_rows = frame.count()
-
-    def number(df: DataFrame, out: str, tag: str) -> DataFrame:
-        keyed = df.withColumn("_k", seeded_key(seed, F.lit(tag), *ids))
-        return bucketed_rank(keyed, out, [], md5_levels("_k", n_rows), [F.col("_k"), *ids]).drop("_k")
-
-    # Read by every repeat, so numbered and stored once.
-    base = materialize(number(frame.select("query_idx", "candidate_product_id", *features, "label"), "row_no", "rows"), "importance-rows")
-    full = evaluator.evaluate(model.transform(base))
-    rows = []
-    for f in features:
-        drops = []
-        for i in range(repeats):
-            other = number(base.select("query_idx", "candidate_product_id", f), "row_no", f"{f}/{i}").select("row_no", f)
-            drops.append(full - evaluator.evaluate(model.transform(base.drop(f).join(other, "row_no"))))
-        mean = sum(drops) / repeats
-        rows.append((f, float(mean), float((sum((d - mean) ** 2 for d in drops) / repeats) ** 0.5)))
-    schema = T.StructType(
-        [
-            T.StructField("feature", T.StringType()),
-            T.StructField("importance_mean", T.DoubleType()),
-            T.StructField("importance_std", T.DoubleType()),
-        ]
-    )
-    return frame.sparkSession.createDataFrame(rows, schema).orderBy(F.desc("importance_mean"))
+    names = list(features)
+    keep = [F.col(f).cast("double").alias(f) for f in names]
+    rows = frame.select("query_idx", "retrieval_rank", *keep, F.col("label").cast("long").alias("label"))
+    levels = [F.floor(F.col("query_idx") / 65536), F.floor(F.col("query_idx") / 256)]
+    base = bucketed_rank(rows, "row_no", [], levels, [F.col("query_idx"), F.col("retrieval_rank")])
+    base = materialize(base.select((F.col("row_no") - 1).alias("row_no"), *names, "label"), "importance-rows")
+    n = base.count()
+    scored = base.select(F.lit(-1).alias("place"), F.lit(-1).alias("repeat"), "label", score([F.col(f) for f in names]).alias("score"))
+    if n and repeats:
+        keys = [permutation_keys(f"{seed}/{i}") for i in range(repeats)]
+        long = [[F.array(*[F.lit(x).cast("long") for x in part]) for part in pair] for pair in keys]
+        grid = F.array(*[F.struct(F.lit(i).alias("repeat"), f.alias("f"), s.alias("s")) for i, (f, s) in enumerate(long)])
+        turned = base.select("row_no", *names, "label", F.explode(grid).alias("t"))
+        turned = turned.select(*names, "label", "t.repeat", permuted(F.col("row_no"), n, F.col("t.f"), F.col("t.s")).alias("other"))
+        other = base.select(F.col("row_no").alias("other"), F.array(*names).alias("z"))
+        swaps = [score([F.col("z")[p] if q == p else F.col(f) for q, f in enumerate(names)]).alias(f"_s{p}") for p in range(len(names))]
+        swapped = turned.join(other, "other").select("repeat", "label", *swaps)
+        each = F.array(*[F.struct(F.lit(p).alias("place"), F.col(f"_s{p}").alias("score")) for p in range(len(names))])
+        scored = scored.unionByName(swapped.select("repeat", "label", F.inline(each)))
+    area = materialize(grouped_auc(scored, ["place", "repeat"]), "importance-areas")
+    full = area.where("place < 0").select("auc").scalar()
+    drops = area.where("place >= 0").withColumn("drop", full - F.col("auc"))
+    out = drops.groupBy("place").agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
+    return out.select(
+        F.array(*[F.lit(f) for f in names])[F.col("place")].alias("feature"), "importance_mean", "importance_std"
+    ).orderBy(F.desc("importance_mean"), "feature")
 
 
 def correlation_importance(frame: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -227,3 +398,27 @@ def correlation_importance(frame: DataFrame, features: Sequence[str] = FEATURES)
     pairs = [F.struct(F.lit(f).alias("feature"), value(f).alias("importance_mean")) for f in features]
     long = row.select(F.explode(F.array(*pairs)).alias("x")).select("x.feature", "x.importance_mean")
     return long.withColumn("importance_std", F.lit(0.0)).orderBy(F.desc("importance_mean"), "feature")
+
+
+def grouped_auc(scored: DataFrame, by: Sequence[str], score: str = "score", label: str = "label", buckets: int = 4096) -> DataFrame:
+    """(by..., auc): exact area under the ROC curve per group, ties counted half; null without both labels.
+
+    Equal scores become one row with their counts. Scores are cut into ranges; what lies below a range comes from
+    sums per range, and windows only run inside one, so no group is ordered as a whole.
+    """
+    by = list(by)
+    cells = scored.groupBy(*by, F.col(score).alias("s")).agg(F.sum(label).alias("pos"), F.count(F.lit(1)).alias("n"))
+    cells = cells.withColumn("neg", F.col("n") - F.col("pos"))
+    ends = cells.groupBy(*by).agg(F.min("s").alias("low"), F.max("s").alias("high"))
+    width = (F.col("high") - F.col("low")) / F.lit(float(buckets))
+    ranged = cells.join(ends, by).withColumn("range", F.when(width > 0, F.floor((F.col("s") - F.col("low")) / width)).otherwise(F.lit(0).cast("long")))
+    ranged = ranged.select(*by, "range", "s", "pos", "neg")
+    sums = ranged.groupBy(*by, "range").agg(F.sum("neg").alias("neg"))
+    before = W.partitionBy(*by).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    below = sums.select(*by, "range", F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("below"))
+    inside = W.partitionBy(*by, "range").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
+    placed = ranged.withColumn("lower", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(below, [*by, "range"])
+    won = F.col("pos") * (F.col("below") + F.col("lower") + F.col("neg") / F.lit(2.0))
+    total = placed.groupBy(*by).agg(F.sum(won).alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    pairs = F.col("pos").cast("double") * F.col("neg")
+    return total.select(*by, F.when(pairs > 0, F.col("won") / pairs).alias("auc"))

@@ -185,10 +185,9 @@ def train_centroids(catalog: DataFrame, nlist: int, seed: int = 42, max_iter: in
     spark = catalog.sparkSession
     data = catalog.select(array_to_vector("vec").alias("features"))
     if nlist == 1:
-        from rankflow.functions.vecmath import sum_vectors, vector_dim
+        from rankflow.functions.vecmath import sum_vectors
 
-        dim = vector_dim(catalog, "vec")
-        return sum_vectors(catalog, [], "vec", "vec", dim, mean=True).select(F.lit(0).alias("cell"), "vec")
+        return sum_vectors(catalog, [], "vec", "vec", mean=True).select(F.lit(0).alias("cell"), "vec")
     model = KMeans(k=nlist, seed=seed, maxIter=max_iter).fit(data)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(model.clusterCenters())]
     return spark.createDataFrame(rows, "cell int, vec array<double>")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankflow.functions.hashing import PRIME, SQUARED, permutation_keys
 from rankflow.operators import explore as O
 from rankflow.operators import rerank as H
 from rankflow.plans import views as V
-from rankflow.plans.oracle_views import sql
+from rankflow.plans.oracle_views import cluster, sql, words
 from rankflow.plans.registry import query
 from rankflow.plans.views import r6
 from rankflow.sources.scratch import materialize
@@ -22,7 +23,7 @@ def _features(spark, sf, *names):
 
 
 def _frame(spark, sf, *names):
-    return materialize(V.explore_frame(spark, sf, *names), "explore-frame")
+    return V.explore_frame(spark, sf, *names)
 
 
 @query(
@@ -67,18 +68,48 @@ def h4(spark, sf):
     )
 
 
+def _network(spark, sf, packed):
+    """The click model fitted on train candidates, stored as a table of weights and read back."""
+    model = H.click_model(H.unpack(packed.where("split = 'train'")))
+    rows = spark.createDataFrame(H.ClickNetwork.of_model(model).weight_rows(), H.ClickNetwork.schema())
+    return H.ClickNetwork.load(materialize(rows, "click-weights"))
+
+
 def _clicked(spark, sf):
-    """(model, frame): the click model fitted on train candidates, and the scored test candidates."""
-    frame = _features(spark, sf, "train", "test")
-    model = H.click_model(frame.where("split = 'train'"))
-    return model, frame
+    """(network, frame): the fitted click model, and the test candidates."""
+    packed = materialize(V.packed_requests(spark, sf, "train", "test"), "packed", "split")
+    return _network(spark, sf, packed), H.unpack(packed.where("split = 'test'"))
 
 
 @query("h5_click_model")
 def h5(spark, sf):
-    model, frame = _clicked(spark, sf)
-    scored = H.click_probability(model, frame.where("split = 'test'"))
-    return scored.select("query_idx", "candidate_product_id", "label", F.round("rerank_probability", 4).alias("p_click"))
+    network, frame = _clicked(spark, sf)
+    p = network.batch_probability([F.col(f) for f in H.FEATURES])
+    return frame.select("query_idx", "candidate_product_id", "label", F.round(p, 4).alias("p_click"))
+
+
+def _fixed_network():
+    """A network whose weights follow a rule, so that SQL can compute the same probabilities."""
+    hidden = tuple((tuple(((7 * u + 3 * f) % 11 - 5) / 10 for f in range(5)), (u % 5 - 2) / 10) for u in range(32))
+    return H.ClickNetwork((0.5, 0.2, 0.6, 0.5, 0.4), (2.0, 1.5, 4.0, 3.0, 2.5), hidden, tuple(((5 * u) % 9 - 4) / 10 for u in range(32)), -0.3)
+
+
+FIXED_SQL = """list_sum(list_transform(range(0, 32), lambda u: ((5 * u) % 9 - 4) / 10.0 / (1 + exp(-((u % 5 - 2) / 10.0
+    + ((7 * u) % 11 - 5) / 10.0 * (similarity_score - 0.5) * 2.0 + ((7 * u + 3) % 11 - 5) / 10.0 * (category_match_binary - 0.2) * 1.5
+    + ((7 * u + 6) % 11 - 5) / 10.0 * (historical_global_ctr - 0.6) * 4.0 + ((7 * u + 9) % 11 - 5) / 10.0 * (user_category_affinity - 0.5) * 3.0
+    + ((7 * u + 12) % 11 - 5) / 10.0 * (product_popularity - 0.4) * 2.5)))))"""
+
+
+@query(
+    "h5_click_probability",
+    sql(f"SELECT query_idx, candidate_product_id, round(1 / (1 + exp(0.3 - {FIXED_SQL})), 6) AS p_click FROM features WHERE split='test'", "features"),
+)
+def h5_fixed(spark, sf):
+    """The forward pass over a stored weight table, for weights that SQL knows too."""
+    rows = spark.createDataFrame(_fixed_network().weight_rows(), H.ClickNetwork.schema())
+    network = H.ClickNetwork.load(materialize(rows, "click-weights"))
+    p = network.probability([F.col(f) for f in H.FEATURES])
+    return V.features(spark, sf, "test").select("query_idx", "candidate_product_id", F.round(p, 6).alias("p_click"))
 
 
 @query(
@@ -105,15 +136,79 @@ COMPARE_SQL = f"""SELECT count(*) AS n_queries, round(avg(bn),6) AS baseline_ndc
 
 @query("h7_baseline_vs_reranked", sql(COMPARE_SQL, "features"))
 def h7(spark, sf):
-    frame = _features(spark, sf, "test").withColumn("rerank", F.round(F.expr(RERANK), 9))
-    row = H.compare_rankings(frame, "similarity_score", "rerank", 10)
+    def rerank(c):
+        return F.round(0.7 * c["historical_global_ctr"] + 0.3 * c["category_match_binary"], 9)
+
+    row = H.compare_lists(V.packed_requests(spark, sf, "test"), lambda c: c["similarity_score"], rerank, 10)
     return row.select("n_queries", *[r6(c) for c in row.columns if c != "n_queries"])
 
 
 @query("h8_permutation_importance")
 def h8(spark, sf):
-    model, frame = _clicked(spark, sf)
-    return H.permutation_importance(model, frame.where("split = 'test'"), repeats=5)
+    network, frame = _clicked(spark, sf)
+    return H.permutation_importance(frame, network.batch_probability, repeats=5)
+
+
+LINEAR = [0.5, 0.3, 0.7, 0.4, 0.2]
+
+
+def _shuffle_sql(repeats: int, seed: int) -> str:
+    """rows(no, features, label), and per repeat the number of the row whose features are taken."""
+    values = ", ".join(H.FEATURES)
+
+    def rounds(source: str, key: str) -> str:
+        for r, (factor, shift) in enumerate(zip(*permutation_keys(key))):
+            other, own, size = ("y", "x", "w") if r % 2 == 0 else ("x", "y", "h")
+            hashed = f"({other} * {factor} + {shift}) % {PRIME}"
+            if r in SQUARED:
+                hashed = f"(({hashed}) * ({hashed})) % {PRIME}"
+            source = f"(SELECT * REPLACE (({own} + {hashed}) % {size} AS {own}) FROM {source})"
+        return source
+
+    parts = []
+    for i in range(repeats):
+        key = f"{seed}/{i}"
+        walk = "(SELECT no, no AS loc, false AS done FROM rows)"
+        for _ in range(6):  # a number is outside with a chance below 1 / sqrt(n) each time
+            start = f"(SELECT no, loc, done, loc % w AS x, loc // w AS y, w, h, n FROM {walk}, size)"
+            walk = f"(SELECT no, CASE WHEN done THEN loc ELSE y * w + x END AS loc, done OR y * w + x < n AS done FROM {rounds(start, key)})"
+        parts.append(f"SELECT {i} AS repeat, no, loc FROM {walk}")
+    return f"""rows AS MATERIALIZED (SELECT row_number() OVER (ORDER BY query_idx, retrieval_rank) - 1 AS no, {values}, label FROM features WHERE split='test'),
+      size AS (SELECT n, w, (n + w - 1) // w AS h FROM (SELECT n, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS w FROM (SELECT count(*) AS n FROM rows))),
+      turned AS MATERIALIZED ({' UNION ALL '.join(parts)})"""
+
+
+def _importance_sql(repeats: int, seed: int) -> str:
+    def linear(source: dict) -> str:
+        return "round(" + " + ".join(f"{w} * {source.get(f, 'a.' + f)}" for w, f in zip(LINEAR, H.FEATURES)) + ", 9)"
+
+    variants = ["SELECT -1 AS place, -1 AS repeat, label, " + linear({}) + " AS score FROM rows a"]
+    variants += [
+        f"SELECT {p} AS place, repeat, a.label, {linear({f: 'b.' + f})} AS score FROM rows a JOIN turned t ON t.no = a.no JOIN rows b ON b.no = t.loc"
+        for p, f in enumerate(H.FEATURES)
+    ]
+    names = "[" + ", ".join(f"'{f}'" for f in H.FEATURES) + "]"
+    body = f""", {_shuffle_sql(repeats, seed)},
+      cells AS (SELECT place, repeat, score, sum(label) AS pos, count(*) - sum(label) AS neg FROM ({' UNION ALL '.join(variants)}) GROUP BY 1,2,3),
+      areas AS (SELECT place, repeat, sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) AS auc FROM (
+        SELECT *, coalesce(sum(neg) OVER (PARTITION BY place, repeat ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM cells) GROUP BY 1,2)
+      SELECT {names}[place + 1] AS feature, round(avg(f.auc - a.auc), 6) AS importance_mean, round(stddev_pop(f.auc - a.auc), 6) AS importance_std
+      FROM areas a, (SELECT auc FROM areas WHERE place < 0) f WHERE place >= 0 GROUP BY place"""
+    return sql("@", "features").replace("\n@", body)
+
+
+@query("h8_permutation_importance_linear", _importance_sql(2, 42))
+def h8_linear(spark, sf):
+    """The same shuffles and areas for a fixed linear score, which SQL can follow."""
+
+    def score(x):
+        total = F.lit(0.0)
+        for w, c in zip(LINEAR, x):
+            total = total + F.lit(w) * c
+        return F.round(total, 9)
+
+    out = H.permutation_importance(V.features(spark, sf, "test"), score, repeats=2, seed=42)
+    return out.select("feature", r6("importance_mean"), r6("importance_std"))
 
 
 @query(
@@ -131,32 +226,54 @@ def h9(spark, sf):
     return out.select("feature", r6("importance_mean"), "importance_std")
 
 
-EXPOSURE_SQL = """, seqs AS (SELECT query_idx, query_cluster_id, row_number() OVER (PARTITION BY query_cluster_id ORDER BY query_idx) AS seq FROM
-    (SELECT DISTINCT query_idx, query_cluster_id FROM baseline_topk)),
-  expo AS MATERIALIZED (SELECT b.query_cluster_id, b.candidate_product_id AS product_id, sum(pow(0.99, (t - seq))) AS exposure FROM baseline_topk b
-    JOIN seqs USING (query_idx) JOIN (SELECT query_cluster_id, max(seq) AS t FROM seqs GROUP BY 1) m ON m.query_cluster_id = b.query_cluster_id GROUP BY 1,2)"""
+SERVED = ["train", "val", "test"]
+# Base order is retrieval order, so a request shows the first rows of its text's list.
+SHOWN_SQL = f""", served AS MATERIALIZED (SELECT r.split, list_position({SERVED}, r.split) AS o, r.query_idx, r.query_text, {cluster('q.query_text')} AS query_cluster_id
+    FROM requests r JOIN rich_queries q USING (product_id)),
+  seqs AS (SELECT *, row_number() OVER (PARTITION BY query_cluster_id ORDER BY o, query_idx) AS seq FROM served),
+  heads AS MATERIALIZED (SELECT query_text, item_id FROM title_candidates WHERE rank <= 10)"""
+
 
+def _exposure_sql(splits: int, select: str) -> str:
+    """The store after the first splits have been served in order."""
+    store = f""", stored AS (SELECT * FROM seqs WHERE o <= {splits}),
+      expo AS MATERIALIZED (SELECT query_cluster_id, item_id AS product_id, sum(pow(0.99, t - seq)) AS exposure FROM stored
+        JOIN (SELECT query_cluster_id, max(seq) AS t FROM stored GROUP BY 1) m USING (query_cluster_id) JOIN heads USING (query_text) GROUP BY 1,2)"""
+    return sql("@", "requests", "rich_queries", "title_candidates").replace("\n@", SHOWN_SQL + store + "\n" + select)
 
-def _exposure_sql(select: str) -> str:
-    return sql("@", "baseline_topk").replace("\n@", EXPOSURE_SQL + "\n" + select)
 
+def _served(spark, sf, *names):
+    """Packed requests in base order by similarity, stored by split."""
+    packed = materialize(V.packed_explore(spark, sf, *names), "explore-requests", "split")
+    return O.pack_scored(packed, lambda c: c["similarity_score"], ["split"])
 
-@query("o1_exposure", _exposure_sql("SELECT query_cluster_id, product_id, round(exposure,6) AS exposure FROM expo"))
+
+def _baseline_shown(lists, k):
+    """The shown log of the first k of every list."""
+    first = F.posexplode(F.slice("items", 1, k)).alias("place", "candidate_product_id")
+    return lists.select("split", "query_idx", "query_cluster_id", first).withColumn("final_rank", F.col("place") + 1)
+
+
+@query("o1_exposure", _exposure_sql(3, "SELECT query_cluster_id, product_id, round(exposure,6) AS exposure FROM expo"))
 def o1(spark, sf):
-    shown = O.baseline_topk(_frame(spark, sf, "test"), 10)
-    return O.exposure(shown, 0.99, 10).select("query_cluster_id", "product_id", r6("exposure"))
+    """The store after train, val and test have been served in this order."""
+    shown = _baseline_shown(_served(spark, sf, *SERVED), 10)
+    return O.exposure(shown, 0.99, 10, SERVED).select("query_cluster_id", "product_id", r6("exposure"))
 
 
 @query(
     "o2_novelty_bonus",
     _exposure_sql(
-        """SELECT f.query_idx, f.candidate_product_id, round(1/sqrt(1+coalesce(exposure,0)),6) AS novelty_bonus FROM explore_frame f
-        LEFT JOIN expo e ON e.query_cluster_id = f.query_cluster_id AND e.product_id = f.candidate_product_id"""
+        2,
+        """SELECT s.query_idx, t.item_id AS candidate_product_id, round(1/sqrt(1+coalesce(exposure,0)),6) AS novelty_bonus
+        FROM served s JOIN title_candidates t USING (query_text) LEFT JOIN expo e ON e.query_cluster_id = s.query_cluster_id AND e.product_id = t.item_id WHERE s.o = 3""",
     ),
 )
 def o2(spark, sf):
-    frame = _frame(spark, sf, "test")
-    store = O.exposure(O.baseline_topk(frame, 10), 0.99, 10)
+    """The test candidates against the store that train and val have left."""
+    lists = _served(spark, sf, *SERVED)
+    store = O.exposure(_baseline_shown(lists.where("split <> 'test'"), 10), 0.99, 10, SERVED)
+    frame = lists.where("split = 'test'").select("query_idx", "query_cluster_id", F.explode("items").alias("candidate_product_id"))
     return O.with_novelty(frame, store).select("query_idx", "candidate_product_id", r6("novelty_bonus"))
 
 
@@ -182,27 +299,50 @@ def o4_zero(spark, sf):
     return top.select("query_idx", "candidate_product_id", "final_rank", "did_explore")
 
 
+def _normalized(spark, sf, *names):
+    """Packed requests in base order by the min-max of similarity over all of them."""
+    packed = materialize(V.packed_explore(spark, sf, *names), "explore-requests", "split")
+    ends = packed.agg(
+        F.min(F.array_min("cands.similarity_score")).alias("low"), F.max(F.array_max("cands.similarity_score")).alias("high")
+    ).collect()[0]
+    low, width = ends["low"] or 0.0, max((ends["high"] or 0.0) - (ends["low"] or 0.0), 1e-12)
+    return O.pack_scored(packed, lambda c: (c["similarity_score"] - F.lit(low)) / F.lit(width), ["split"])
+
+
+def _explored(spark, sf, cfg):
+    """All three splits served in order with one store; the rows shown for every query."""
+    rows = O.shown_rows(O.explore_packed(_normalized(spark, sf, *SERVED), [cfg], 42, SERVED))
+    return rows.select("split", "query_idx", "candidate_product_id", "final_rank", "did_explore")
+
+
 @query("o4_explore_exploit")
 def o4(spark, sf):
-    cfg = O.ExploreConfig(epsilon=0.2, alpha=0.1, top_pool_k=20, broad_entropy_threshold=V.BROAD_ENTROPY)
-    top = O.explore_exploit(_frame(spark, sf, "test"), [cfg])
-    return top.select("query_idx", "candidate_product_id", "final_rank", "did_explore")
+    return _explored(spark, sf, O.ExploreConfig(epsilon=0.2, alpha=0.1, top_pool_k=20, broad_entropy_threshold=V.BROAD_ENTROPY))
 
 
 DRAW_SQL = "CAST('0x' || substr(md5('42:' || CAST(query_idx AS VARCHAR)),1,13) AS BIGINT) / 4503599627370496.0"
+# Every query of the three splits with its list capped; the walk only needs the first rows of a category.
+CAPPED_SQL = f""", asked AS MATERIALIZED (SELECT r.split, r.query_idx, r.query_text, coalesce(e.entropy, 0.0) >= 2.2 OR len({words('q.query_text')}) < 3 AS broad
+    FROM requests r JOIN rich_queries q USING (product_id) LEFT JOIN cluster_entropy e ON e.query_cluster_id = {cluster('q.query_text')}),
+  ranked AS (SELECT t.query_text, t.rank, t.item_id, row_number() OVER (PARTITION BY t.query_text, c.category_id ORDER BY t.rank) AS n_cat FROM title_candidates t
+    LEFT JOIN catalog c ON c.product_id = t.item_id),
+  lists AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_text ORDER BY CAST(n_cat > 3 AS INTEGER), rank) AS capped_rank FROM ranked)"""
+
+
+def _capped_sql(select: str) -> str:
+    return sql("@", "requests", "rich_queries", "title_candidates", "cluster_entropy", "catalog").replace("\n@", CAPPED_SQL + "\n" + select)
 
 
 @query(
     "o4_explore_exploit_alpha0",
-    sql(
-        f"SELECT query_idx, candidate_product_id, CAST(final_rank AS INTEGER) AS final_rank, CAST({DRAW_SQL} < 0.3 AS INTEGER) AS did_explore FROM capped_topk",
-        "capped_topk",
+    _capped_sql(
+        f"""SELECT split, query_idx, item_id AS candidate_product_id, CAST(CASE WHEN broad THEN capped_rank ELSE rank END AS INTEGER) AS final_rank,
+        CAST({DRAW_SQL} < 0.3 AS INTEGER) AS did_explore FROM asked JOIN lists USING (query_text) WHERE CASE WHEN broad THEN capped_rank ELSE rank END <= 10"""
     ),
 )
 def o4_alpha0(spark, sf):
     """Without a bonus an exploring query goes the whole way of the store and must still show the capped list."""
-    cfg = O.ExploreConfig(epsilon=0.3, alpha=0.0, broad_entropy_threshold=V.BROAD_ENTROPY)
-    return O.explore_exploit(_frame(spark, sf, "test"), [cfg]).select("query_idx", "candidate_product_id", "final_rank", "did_explore")
+    return _explored(spark, sf, O.ExploreConfig(epsilon=0.3, alpha=0.0, broad_entropy_threshold=V.BROAD_ENTROPY))
 
 
 @query("o5_base_score", sql("SELECT query_idx, candidate_product_id, round(base_score,6) AS base_score FROM explore_frame", "explore_frame"))
@@ -248,13 +388,10 @@ SWEEP = [
 @query("o8_parameter_sweep")
 def o8(spark, sf):
     """The full grid over train, val and test, with click probability as the base score."""
-    model, _ = _clicked(spark, sf)
-    frame = V.explore_frame(spark, sf, "train", "val", "test")
-    scored = H.click_probability(model, frame).withColumn("base_score", F.round("rerank_probability", 9))
-    keep = ["split", "query_idx", "query_cluster_id", "query_cluster_entropy", "query_text", "candidate_product_id",
-            "candidate_category", "retrieval_rank", "base_score", "target_product_id"]
-    frame = materialize(scored.select(*keep), "sweep-frame", "split")
-    return O.sweep(frame, SWEEP, V.rich_catalog(spark, sf), V.popularity(spark, sf))
+    packed = materialize(V.packed_explore(spark, sf, *SERVED), "explore-requests", "split")
+    scored = H.scored_lists(packed, _network(spark, sf, packed))
+    lists = O.pack_scored(scored, lambda c: c["p_click"], ["split"])
+    return O.sweep(lists, SWEEP, V.rich_catalog(spark, sf), V.popularity(spark, sf))
 
 
 @query(
@@ -277,14 +414,12 @@ def o8(spark, sf):
 )
 def o8_zero(spark, sf):
     """The sweep's epsilon 0 slice for two caps on the test split, through the same code as O8."""
-    frame = _frame(spark, sf, "test")
+    lists = _normalized(spark, sf, "test")
     grid = [O.ExploreConfig(epsilon=0.0, max_per_category=c, broad_entropy_threshold=V.BROAD_ENTROPY) for c in (2, 3)]
-    cat, pop = V.rich_catalog(spark, sf), V.popularity(spark, sf)
-    served = O.explore_exploit(frame, grid)
-    n = frame.agg(F.countDistinct("query_idx").alias("n")).scalar()
-    base = O.evaluate_topk(O.baseline_topk(frame, 10), cat, pop, 10).select("ndcg").scalar()
-    out = O.evaluate_settings(served, ["setting_id"], cat, pop, 10)
-    caps = F.array(*[F.lit(c.max_per_category) for c in grid])
-    row = out.select("*", F.element_at(caps, F.col("setting_id") + 1).alias("max_per_category"), n.alias("n_queries"), base.alias("b"))
-    row = row.withColumn("delta_ndcg", F.round(F.round("ndcg", 6) - F.round("b", 6), 5))
-    return _figures(row, "max_per_category", "n_queries", "delta_ndcg")
+    out = O.sweep(lists, grid, V.rich_catalog(spark, sf), V.popularity(spark, sf), split_order=["val", "test"])
+    n = lists.agg(F.count(F.lit(1)).alias("n")).scalar()
+    row = out.withColumn("n_queries", n)
+    names = ("ndcg", "mrr", "coverage", "long_tail", "category_entropy")
+    # The delta of rounded figures, as the SQL has it.
+    delta = F.round(F.round("test_ndcg", 6) - F.round(F.col("test_ndcg") - F.col("delta_ndcg"), 6), 5)
+    return row.select("max_per_category", "n_queries", delta.alias("delta_ndcg"), *[r6(f"test_{n}", n) for n in names])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankflow.functions.ordering import bucketed_rank, time_levels
 from rankflow.functions.text import clean_text
-from rankflow.functions.vecmath import l2_normalize, sum_vectors, vector_dim
+from rankflow.functions.vecmath import l2_normalize, sum_vectors
 from rankflow.operators import catalog as C
 from rankflow.operators import explore as O
 from rankflow.operators import labels as B
@@ -135,16 +135,14 @@ def title_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Query vector of a title text: normalized mean vector of the products with that title."""
     pv = product_vectors(spark, sf)
     text = rich_catalog(spark, sf).select("product_id", clean_text(F.col("title")).alias("query_text"))
-    mean = sum_vectors(
-        pv.join(text, "product_id"), ["query_text"], "embedding", "vec", vector_dim(pv, "embedding"), mean=True
-    )
+    mean = sum_vectors(pv.join(text, "product_id"), ["query_text"], "embedding", "vec", mean=True)
     return materialize(mean.select("query_text", l2_normalize(F.col("vec")).alias("vec")), "title-vectors")
 
 
 @stage
 def label_centroids(spark: SparkSession, sf: str) -> DataFrame:
     pv = product_vectors(spark, sf)
-    mean = sum_vectors(pv, ["label"], "embedding", "vec", vector_dim(pv, "embedding"), mean=True)
+    mean = sum_vectors(pv, ["label"], "embedding", "vec", mean=True)
     return materialize(mean.select(F.col("label").alias("cell"), l2_normalize(F.col("vec")).alias("vec")), "centroids")
 
 
@@ -173,25 +171,34 @@ def candidates(spark: SparkSession, sf: str, *names: str) -> DataFrame:
 
 
 @stage
-def features(spark: SparkSession, sf: str, *names: str) -> DataFrame:
+def packed_requests(spark: SparkSession, sf: str, *names: str) -> DataFrame:
+    """One row per request with its candidates and their click features in an array."""
     train = stored_split(spark, sf, "train")
     cat = rich_catalog(spark, sf)
-    return H.add_features(
-        candidates(spark, sf, *names), H.product_features(train, cat), H.user_category_affinity(train, cat)
-    )
+    lists = H.candidate_lists(title_candidates(spark, sf), H.product_features(train, cat))
+    return H.pack_requests(requests(spark, sf, *names), lists, H.user_category_affinity(train, cat), ["split"])
 
 
 @stage
-def explore_frame(spark: SparkSession, sf: str, *names: str) -> DataFrame:
-    """Features with query cluster, cluster entropy and base score (normalized similarity)."""
+def features(spark: SparkSession, sf: str, *names: str) -> DataFrame:
+    return H.unpack(packed_requests(spark, sf, *names))
+
+
+@stage
+def packed_explore(spark: SparkSession, sf: str, *names: str) -> DataFrame:
+    """Packed requests with query cluster and cluster entropy; the texts are the longer ones."""
     rich = rich_queries(spark, sf)
-    cat = rich_catalog(spark, sf)
-    entropy = C.cluster_entropy(stored_split(spark, sf, "train"), rich, cat)
+    entropy = C.cluster_entropy(stored_split(spark, sf, "train"), rich, rich_catalog(spark, sf))
     text = C.query_lookup(rich).select(F.col("product_id").alias("target_product_id"), "query_text")
-    frame = features(spark, sf, *names).drop("query_text").join(text, "target_product_id")
-    frame = frame.withColumn("query_cluster_id", C.query_cluster_id(F.col("query_text")))
-    frame = frame.join(entropy, "query_cluster_id", "left").fillna(0.0, ["query_cluster_entropy"])
-    return O.normalized_similarity(materialize(frame, "explore-frame"))
+    text = text.withColumn("query_cluster_id", C.query_cluster_id(F.col("query_text")))
+    text = text.join(entropy, "query_cluster_id", "left").fillna(0.0, ["query_cluster_entropy"])
+    return packed_requests(spark, sf, *names).drop("query_text").join(text, "target_product_id")
+
+
+@stage
+def explore_frame(spark: SparkSession, sf: str, *names: str) -> DataFrame:
+    """Features with query cluster, cluster entropy and base score (normalized similarity), a row per candidate."""
+    return O.normalized_similarity(H.unpack(materialize(packed_explore(spark, sf, *names), "explore-requests")))
 
 
 @stage

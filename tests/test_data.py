@@ -146,8 +146,8 @@ def test_stored_embeddings_are_reused(spark):
 @pytest.fixture
 def small_catalog(spark):
     rows = [
-        ("u1", "p1", 5.0, 1000, "Watercolor Paint Set", "Great paints"),
-        ("u2", "p1", 4.0, 1001, "Watercolor Paint Set", "Nice colors"),
+        ("u1", "p1", 5.0, 1000, "Acrylic Paint Tubes", "Great paints"),
+        ("u2", "p1", 4.0, 1001, "Acrylic Paint Tubes", "Nice colors"),
         ("u3", "p2", 3.0, 1002, "Sketch Pencil Kit", "Good pencils"),
         ("u4", "p3", 5.0, 1003, "Canvas Board", ""),
     ]
@@ -161,7 +161,7 @@ def test_rich_catalog(small_catalog):
     assert len(got) == 3 and got["p1"]["review_count"] == 2
     assert got["p1"]["brand"] == "Winsor" and got["p2"]["brand"] == "unknown"
     assert got["p1"]["category_id"] == "Paint & Color"
-    assert got["p1"]["cleaned_text"] == "watercolor paint set winsor great paints"
+    assert got["p1"]["cleaned_text"] == "acrylic paint tubes winsor great paints"
 
 
 def test_queries(small_catalog):

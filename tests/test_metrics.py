@@ -26,18 +26,22 @@ def value(df):
 
 
 def test_recall_known_answers(spark):
-    r = relations(spark, [["a", "b"], []], [["x", "y", "a", "b"], ["a"]])
-    got = value(P.recall_at_k(*r, ks=[2, 3, 4]))
-    # An empty relevance list counts 0, so the mean halves.
-    assert got == {"recall@2": 0.0, "recall@3": 0.25, "recall@4": 0.5}
+    r = relations(spark, [["fig", "nut", "pea"], [], ["oat"]], [["kale", "pea", "fig", "rye", "nut"], ["oat"], []])
+    got = value(P.recall_at_k(*r, ks=[1, 2, 3, 5]))
+    # Of three queries one has nothing relevant and one nothing listed; both count 0.
+    assert got == pytest.approx({"recall@1": 0.0, "recall@2": 1 / 9, "recall@3": 2 / 9, "recall@5": 1 / 3})
 
 
 def test_ndcg_mrr_hit_known_answers(spark):
-    r = relations(spark, [["a"], ["b"]], [["a", "x"], ["x", "b"]])
-    assert value(P.ndcg_at_k(*r, ks=[2]))["ndcg@2"] == pytest.approx((1 + 1 / math.log2(3)) / 2)
-    assert value(P.mean_reciprocal_rank(*r))["mrr"] == pytest.approx(0.75)
-    assert value(P.mean_reciprocal_rank(*r, k=1))["mrr"] == pytest.approx(0.5)
-    assert value(P.hit_rate_at_k(*r, ks=[1, 2])) == {"hit_rate@1": 0.5, "hit_rate@2": 1.0}
+    # First hits at ranks 3, 1 and 4, none for the last; the second query has two relevant items, at 1 and 5.
+    lists = [["ivy", "elm", "ash", "oak"], ["fir", "ivy", "elm", "yew", "ash"], ["oak", "elm", "ivy", "yew"], ["elm"]]
+    r = relations(spark, [["ash"], ["fir", "ash"], ["yew"], ["oak"]], lists)
+    best_two = 1 + 1 / math.log2(3)
+    assert value(P.ndcg_at_k(*r, ks=[3]))["ndcg@3"] == pytest.approx((1 / 2 + 1 / best_two) / 4)
+    assert value(P.ndcg_at_k(*r, ks=[5]))["ndcg@5"] == pytest.approx((1 / 2 + (1 + 1 / math.log2(6)) / best_two + 1 / math.log2(5)) / 4)
+    assert value(P.mean_reciprocal_rank(*r))["mrr"] == pytest.approx((1 / 3 + 1 + 1 / 4) / 4)
+    assert value(P.mean_reciprocal_rank(*r, k=3))["mrr"] == pytest.approx((1 / 3 + 1) / 4)
+    assert value(P.hit_rate_at_k(*r, ks=[1, 3, 4])) == {"hit_rate@1": 0.25, "hit_rate@3": 0.5, "hit_rate@4": 0.75}
 
 
 def test_all_metrics_against_brute_force_with_repeats(spark):

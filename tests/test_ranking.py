@@ -1,5 +1,6 @@
 """Reranking and exploration: known answers and a step-by-step store as brute force."""
 
+import math
 import random
 
 import pytest
@@ -10,49 +11,72 @@ from rankflow.operators import rerank as H
 
 
 def test_product_features_and_affinity(spark):
-    inter = spark.createDataFrame(
-        [("u1", "p1", 1, 5), ("u1", "p2", 0, 2), ("u2", "p1", 1, 4), ("u2", "p3", 1, 5)],
-        "user_id string, product_id string, label int, score int",
-    )
-    cat = spark.createDataFrame([("p1", "a"), ("p2", "a"), ("p3", "b"), ("p4", None)], "product_id string, category string")
-    f = {r["product_id"]: r for r in H.product_features(inter, cat).collect()}
-    prior = (0.875 + 0.25 + 1.0) / 3
-    assert f["p1"]["global_ctr"] == pytest.approx((0.875 * 2 + 10 * prior) / 12)
-    assert f["p1"]["product_popularity"] == pytest.approx(1.0)
-    assert f["p4"]["global_ctr"] == pytest.approx(prior) and f["p4"]["product_popularity"] == 0.0
-    assert f["p4"]["category"] == "unknown"
-    a = {(r["user_id"], r["category"]): r["affinity"] for r in H.user_category_affinity(inter, cat).collect()}
-    assert a[("u1", "a")] == pytest.approx((1 + 5 * 0.75) / (2 + 5))
+    # Scores 3, 3, 1 of the lamp, 5 of the rug, 2 and 4 of the vase; the shelf was never rated.
+    rated = [("ann", "lamp", 0, 3), ("bo", "lamp", 1, 3), ("cy", "lamp", 0, 1), ("ann", "rug", 1, 5), ("bo", "vase", 0, 2), ("dee", "vase", 1, 4)]
+    inter = spark.createDataFrame(rated, "user_id string, product_id string, label int, score int")
+    cat = spark.createDataFrame([("lamp", "light"), ("rug", "floor"), ("vase", "decor"), ("shelf", None)], "product_id string, category string")
+    f = {r["product_id"]: r for r in H.product_features(inter, cat, ctr_smoothing=4.0).collect()}
+    means = {"lamp": (0.5 + 0.5 + 0.0) / 3, "rug": 1.0, "vase": (0.25 + 0.75) / 2}
+    prior = sum(means.values()) / 3
+    for name, n in (("lamp", 3), ("rug", 1), ("vase", 2)):
+        assert f[name]["global_ctr"] == pytest.approx((means[name] * n + 4 * prior) / (n + 4))
+        assert f[name]["product_popularity"] == pytest.approx(math.log(1 + n) / math.log(4))
+    assert f["shelf"]["global_ctr"] == pytest.approx(prior) and f["shelf"]["product_popularity"] == 0.0
+    assert f["shelf"]["category"] == "unknown"
+    a = {(r["user_id"], r["category"]): r["affinity"] for r in H.user_category_affinity(inter, cat, smoothing=2.0).collect()}
+    assert a[("ann", "light")] == pytest.approx((0 + 2 * 0.5) / 3) and a[("dee", "decor")] == pytest.approx((1 + 2 * 0.5) / 3)
     with pytest.raises(ValueError):
         H.product_features(inter.drop("product_id"), cat)
 
 
-def test_rerank_beats_similarity(spark):
+def shop(spark):
+    """Three requests over two texts: the wanted tent is third of its list, the wanted boots second, the kayak is not listed."""
     req = spark.createDataFrame(
-        [(0, "u1", "p1", "a", "q1"), (1, "u2", "p3", "b", "q2")],
+        [(7, "kim", "tent", "camp", "shelter"), (8, "lou", "boots", "walk", "leather"), (9, "kim", "kayak", "water", "leather")],
         "query_idx long, user_id string, product_id string, category string, query_text string",
     )
-    top = spark.createDataFrame(
-        [("q1", 1, "p2", 0.9), ("q1", 2, "p1", 0.8), ("q2", 1, "p2", 0.6), ("q2", 2, "p3", 0.5)],
-        "query_text string, rank int, item_id string, score double",
-    )
+    top = [("shelter", 1, "tarp", 0.71), ("shelter", 2, "boots", 0.64), ("shelter", 3, "tent", 0.32), ("leather", 1, "stove", 0.45), ("leather", 2, "boots", 0.41)]
+    top = spark.createDataFrame([*top, ("leather", 3, None, 0.4), ("unasked", 1, "tarp", 0.9)], "query_text string, rank int, item_id string, score double")
     feats = spark.createDataFrame(
-        [("p1", "a", 0.9, 0.5), ("p2", "a", 0.1, 1.0), ("p3", "b", 0.8, 0.4)],
+        [("tent", "camp", 0.62, 0.33), ("tarp", "camp", 0.21, 0.9), ("boots", "walk", 0.55, 0.12)],
         "product_id string, category string, global_ctr double, product_popularity double",
     )
-    taste = spark.createDataFrame([("u1", "a", 0.8), ("u2", "b", 0.9)], "user_id string, category string, affinity double")
+    taste = spark.createDataFrame([("kim", "camp", 0.4), ("kim", "walk", 0.1), ("max", "walk", 0.9)], "user_id string, category string, affinity double")
+    return req, top, feats, taste
+
+
+def test_rerank_beats_similarity(spark):
+    req, top, feats, taste = shop(spark)
     frame = H.add_features(H.candidate_frame(req, top), feats, taste)
-    frame = frame.withColumn("p", 0.7 * F.col("historical_global_ctr") + 0.3 * F.col("category_match_binary"))
-    row = H.compare_rankings(frame, "similarity_score", "p", 2).collect()[0]
-    assert row["baseline_mrr"] == 0.5 and row["reranked_mrr"] == 1.0
-    assert row["baseline_ndcg"] < row["reranked_ndcg"] == 1.0
-    assert row["mrr_lift_percent"] == pytest.approx(100.0)
-    lists = H.ordered_lists(frame, "p").orderBy("query_idx", "rank").collect()
-    assert [r["candidate_product_id"] for r in lists] == ["p1", "p2", "p3", "p2"]
+    frame = frame.withColumn("p", 0.5 * F.col("historical_global_ctr") + 0.2 * F.col("category_match_binary"))
+    row = H.compare_rankings(frame, "similarity_score", "p", 3).collect()[0]
+    # By similarity the targets come third and second; reranked both are first, and the kayak is never found.
+    assert row["n_queries"] == 3 and row["baseline_mrr"] == pytest.approx((1 / 3 + 1 / 2) / 3) and row["reranked_mrr"] == pytest.approx(2 / 3)
+    assert row["baseline_ndcg"] == pytest.approx((1 / 2 + 1 / math.log2(3)) / 3) and row["reranked_ndcg"] == pytest.approx(2 / 3)
+    assert row["mrr_lift_percent"] == pytest.approx(140.0)
+    lists = H.ordered_lists(frame, "p").where("query_idx < 9").orderBy("query_idx", "rank").collect()
+    assert [r["candidate_product_id"] for r in lists] == ["tent", "tarp", "boots", "boots", "stove"]
     imp = {r["feature"]: r["importance_mean"] for r in H.correlation_importance(frame).collect()}
     assert 0 <= min(imp.values()) and max(imp.values()) <= 1
 
 
+def test_packed_requests_equal_joined_rows(spark):
+    """One row per request says the same as a row per candidate."""
+    req, top, feats, taste = shop(spark)
+    rows = H.add_features(H.candidate_frame(req, top), feats, taste)
+    packed = H.pack_requests(req, H.candidate_lists(top, feats), taste)
+    assert packed.count() == 3
+    names = sorted(rows.columns)
+    assert sorted(map(str, H.unpack(packed).select(*names).collect())) == sorted(map(str, rows.select(*names).collect()))
+
+    def score(c):
+        return 0.5 * c["historical_global_ctr"] + 0.2 * c["category_match_binary"]
+
+    a = H.compare_lists(packed, lambda c: c["similarity_score"], score, 3).collect()[0]
+    b = H.compare_rankings(rows.withColumn("p", score(rows)), "similarity_score", "p", 3).collect()[0]
+    assert a.asDict() == pytest.approx(b.asDict())
+
+
 def random_frame(rng, n_queries, n_clusters, n_items, n_candidates, hot=0.5):
     rows = []
     for q in range(n_queries):
@@ -173,13 +197,13 @@ def test_exposure_equals_step_by_step_store(spark, monkeypatch):
 
 
 def test_known_exploration_case(spark):
-    base = [0.55, 0.54, 0.53, 0.5]
-    rows = [(q, "home", 2.0, "gift ideas", i, "a" if i < 4 else "b", i, base[i - 1], 4) for q in (0,) for i in (1, 2, 3, 4)]
-    # Two earlier queries of the cluster showed p1..p3.
-    before = [(q, "home", 0.0, "x y z", i, f"k{i}", i, base[i - 1], 4) for q in (-2, -1) for i in (1, 2, 3)]
-    cfg = O.ExploreConfig(epsilon=1.0, alpha=1.0, top_pool_k=4, eval_k=3, max_per_category=1, exposure_decay=1.0)
-    got = served(O.explore_exploit(spark.createDataFrame(before + rows, SCHEMA), [cfg]))
-    assert got[0][0] == 4 and len(got[0]) == 3
+    # Three queries of one cluster with the same five items: what was shown falls back until its bonus is back.
+    score = {31: 0.9, 32: 0.8, 33: 0.35, 34: 0.3, 35: 0.1}
+    rows = [(q, "garden", 0.2, "hose and reel", i, f"kind{i}", r, s, 31) for q in (4, 5, 6) for r, (i, s) in enumerate(score.items(), 1)]
+    cfg = O.ExploreConfig(epsilon=1.0, alpha=2.0, top_pool_k=4, eval_k=2, max_per_category=2, exposure_decay=1.0)
+    got = served(O.explore_exploit(spark.createDataFrame(rows, SCHEMA), [cfg]))
+    # Unseen: score + 2. Shown once: score + 2 / sqrt(2) = score + 1.414. The fifth item is outside the pool.
+    assert got == {4: [31, 32], 5: [33, 31], 6: [34, 32]}
 
 
 def test_sweep_reports_every_setting_and_one_best(spark):
@@ -191,7 +215,7 @@ def test_sweep_reports_every_setting_and_one_best(spark):
     grid = [O.ExploreConfig(epsilon=e, alpha=0.5, top_pool_k=6, eval_k=4, max_per_category=2) for e in (0.0, 0.5)]
     cat = spark.range(15).select(F.col("id").alias("product_id"))
     pop = cat.withColumn("n", F.col("product_id") + 1)
-    rows = O.sweep(frame, grid, cat, pop).collect()
+    rows = O.sweep(O.pack_candidates(frame), grid, cat, pop).collect()
     assert len(rows) == 2 and sum(r["is_best"] for r in rows) == 1
     best = max(rows, key=lambda r: (r["test_coverage"], r["test_ndcg"]))
     assert best["is_best"]
@@ -201,17 +225,103 @@ def test_sweep_reports_every_setting_and_one_best(spark):
         assert row[f"test_{name}"] == pytest.approx(one[name])
 
 
-def test_click_model_learns_and_importance_finds_the_feature(spark):
+def click_frame(spark, n=300):
     rng = random.Random(1)
     rows = []
-    for q in range(300):
-        s = rng.random()
-        rows.append((q, 1, s, float(rng.random() < 0.5), rng.random(), rng.random(), rng.random(), int(s > 0.5)))
-    schema = "query_idx long, candidate_product_id long, " + ", ".join(f"{f} double" for f in H.FEATURES) + ", label int"
-    frame = spark.createDataFrame(rows, schema)
+    for q in range(n):
+        x = rng.random()
+        rows.append((q, 1, 1, x, float(rng.random() < 0.5), rng.random(), 0.25, rng.random(), int(x > 0.5)))
+    schema = "query_idx long, candidate_product_id long, retrieval_rank int, " + ", ".join(f"{f} double" for f in H.FEATURES) + ", label int"
+    return spark.createDataFrame(rows, schema)
+
+
+def test_click_model_learns_and_importance_finds_the_feature(spark):
+    frame = click_frame(spark)
     model = H.click_model(frame, hidden=8, max_iter=50)
     p = H.click_probability(model, frame)
     r = p.agg(F.min("rerank_probability").alias("a"), F.max("rerank_probability").alias("b"), F.corr("rerank_probability", "label").alias("c")).collect()[0]
     assert 0 <= r["a"] <= r["b"] <= 1 and r["c"] > 0.7
-    imp = H.permutation_importance(model, frame, repeats=2).collect()
+    imp = H.permutation_importance(frame, H.ClickNetwork.of_model(model).batch_probability, repeats=2).collect()
     assert imp[0]["feature"] == "similarity_score" and imp[0]["importance_mean"] > 0.2
+
+
+def test_click_network_equals_the_fitted_model(spark):
+    """The stored weights, as expression, as batches and over packed lists, give the library's own probabilities."""
+    from pyspark.ml.functions import vector_to_array
+
+    frame = click_frame(spark, 80)
+    model = H.click_model(frame, hidden=5, max_iter=15)
+    net = H.ClickNetwork.of_model(model)
+    stored = spark.createDataFrame(net.weight_rows(), H.ClickNetwork.schema())
+    assert H.ClickNetwork.load(stored) == net
+    x = [F.col(f) for f in H.FEATURES]
+    want = model.transform(frame).select("query_idx", *H.FEATURES, vector_to_array("probability")[1].alias("p"))
+    got = want.select("*", net.probability(x).alias("a"), net.batch_probability(x).alias("b")).collect()
+    assert len(got) == 80 and all(abs(r.a - r.p) < 1e-12 and abs(r.b - r.p) < 1e-12 for r in got)
+    one = F.struct("candidate_product_id", "candidate_category", "retrieval_rank", *H.FEATURES, "label")
+    packed = frame.withColumn("candidate_category", F.lit("c")).groupBy((F.col("query_idx") % 7).alias("query_idx")).agg(F.sort_array(F.collect_list(one)).alias("cands"))
+    packed = packed.unionByName(packed.limit(1).select(F.lit(99).cast("long").alias("query_idx"), F.slice("cands", 1, 0).alias("cands")))
+    by = {tuple(r[f] for f in H.FEATURES): r.p for r in got}
+    rows = H.scored_lists(packed, net).collect()
+    assert sum(len(r.cands) for r in rows) == 80 and len(rows) == 8
+    assert all(abs(c.p_click - by[tuple(c[f] for f in H.FEATURES)]) < 1e-9 for r in rows for c in r.cands)
+
+
+def slow_auc(pairs):
+    pos, neg = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+    if not pos or not neg:
+        return None
+    return sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+
+
+def test_grouped_auc(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.choice([round(rng.random(), g), rng.gauss(0, 1)]), int(rng.random() < 0.3)) for g in range(1, 4) for _ in range(120)]
+    rows += [(4, 0.5, 1), (4, 0.7, 1), (5, 0.5, 0), (6, 1.0, 1), (6, 1.0, 0)]
+    df = spark.createDataFrame(rows, "g int, score double, label int")
+    for buckets in (4096, 3):
+        got = {r.g: r.auc for r in H.grouped_auc(df, ["g"], buckets=buckets).collect()}
+        for g in range(1, 7):
+            want = slow_auc([(s, y) for h, s, y in rows if h == g])
+            assert got[g] == (None if want is None else pytest.approx(want)), g
+
+
+def shuffled(n, key):
+    from rankflow.functions.hashing import permutation_keys, permuted
+
+    factors, shifts = (F.array(*[F.lit(x).cast("long") for x in part]) for part in permutation_keys(key))
+    return permuted(F.col("id"), n, factors, shifts)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 17, 97, 1000, 2503])
+def test_keyed_permutation(spark, n):
+    rows = spark.range(n).select(shuffled(n, "a").alias("x"), shuffled(n, "b").alias("y")).collect()
+    assert sorted(r.x for r in rows) == sorted(r.y for r in rows) == list(range(n))
+    if n > 90:
+        assert [r.x for r in rows] != [r.y for r in rows] and sum(r.x == i for i, r in enumerate(rows)) < 12
+        near = sum(abs(rows[i].x - rows[i + 1].x) < n / 50 for i in range(n - 1))
+        assert near < n / 12
+
+
+def test_importance_equals_shuffling_by_hand(spark):
+    frame = click_frame(spark, 60)
+    rows = frame.orderBy("query_idx").collect()
+    weights = [0.5, 0.3, 0.7, 0.4, 0.2]
+
+    def score(x):
+        return F.round(sum((w * c for w, c in zip(weights, x)), F.lit(0.0)), 9)
+
+    def plain(x):
+        return round(sum(w * c for w, c in zip(weights, x)), 9)
+
+    got = {r.feature: r for r in H.permutation_importance(frame, score, repeats=3, seed=5).collect()}
+    assert set(got) == set(H.FEATURES)
+    full = slow_auc([(plain([r[f] for f in H.FEATURES]), r.label) for r in rows])
+    for p, f in enumerate(H.FEATURES):
+        drops = []
+        for i in range(3):
+            to = [r.x for r in spark.range(60).select("id", shuffled(60, f"5/{i}").alias("x")).orderBy("id").collect()]
+            drops.append(full - slow_auc([(plain([rows[to[j]][f] if q == p else r[g] for q, g in enumerate(H.FEATURES)]), r.label) for j, r in enumerate(rows)]))
+        mean = sum(drops) / 3
+        assert got[f].importance_mean == pytest.approx(mean, abs=1e-12)
+        assert got[f].importance_std == pytest.approx((sum((d - mean) ** 2 for d in drops) / 3) ** 0.5, abs=1e-12)
