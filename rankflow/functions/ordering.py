@@ -48,6 +48,16 @@ def bucketed_rank(
     )
 
 
+def spread(df: DataFrame, rows: int, key: str, small: int = 512, large: int = 50_000) -> DataFrame:
+    """``rows`` narrow rows dealt out by a key before they grow, as when a list is joined to each.
+
+    Adaptive execution sizes partitions by the bytes of the narrow rows and would leave a few; a given number is
+    kept. Up to a few per core they hold at least ``small`` rows, beyond that ``large`` ones.
+    """
+    few = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(rows // small, few), rows // large), key)
+
+
 def time_levels(time_col: str, key_col: str) -> list[Column]:
     """Levels for rows ordered by unix seconds and then by an md5 tie key."""
     return [F.floor(F.col(time_col) / 86400), F.col(time_col), F.substring(key_col, 1, 3)]

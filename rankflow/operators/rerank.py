@@ -408,7 +408,8 @@ def grouped_auc(scored: DataFrame, by: Sequence[str], score: str = "score", labe
     """
     by = list(by)
     cells = scored.groupBy(*by, F.col(score).alias("s")).agg(F.sum(label).alias("pos"), F.count(F.lit(1)).alias("n"))
-    cells = cells.withColumn("neg", F.col("n") - F.col("pos"))
+    # Read by three branches, so the scores are made once.
+    cells = materialize(cells.withColumn("neg", F.col("n") - F.col("pos")), "score-cells")
     ends = cells.groupBy(*by).agg(F.min("s").alias("low"), F.max("s").alias("high"))
     width = (F.col("high") - F.col("low")) / F.lit(float(buckets))
     ranged = cells.join(ends, by).withColumn("range", F.when(width > 0, F.floor((F.col("s") - F.col("low")) / width)).otherwise(F.lit(0).cast("long")))

@@ -68,17 +68,16 @@ def h4(spark, sf):
     )
 
 
-def _network(spark, sf, packed):
+def _network(spark, sf):
     """The click model fitted on train candidates, stored as a table of weights and read back."""
-    model = H.click_model(H.unpack(packed.where("split = 'train'")))
+    model = H.click_model(H.unpack(V.fit_requests(spark, sf)))
     rows = spark.createDataFrame(H.ClickNetwork.of_model(model).weight_rows(), H.ClickNetwork.schema())
     return H.ClickNetwork.load(materialize(rows, "click-weights"))
 
 
 def _clicked(spark, sf):
     """(network, frame): the fitted click model, and the test candidates."""
-    packed = materialize(V.packed_requests(spark, sf, "train", "test"), "packed", "split")
-    return _network(spark, sf, packed), H.unpack(packed.where("split = 'test'"))
+    return _network(spark, sf), V.features(spark, sf, "test")
 
 
 @query("h5_click_model")
@@ -389,7 +388,7 @@ SWEEP = [
 def o8(spark, sf):
     """The full grid over train, val and test, with click probability as the base score."""
     packed = materialize(V.packed_explore(spark, sf, *SERVED), "explore-requests", "split")
-    scored = H.scored_lists(packed, _network(spark, sf, packed))
+    scored = H.scored_lists(packed, _network(spark, sf))
     lists = O.pack_scored(scored, lambda c: c["p_click"], ["split"])
     return O.sweep(lists, SWEEP, V.rich_catalog(spark, sf), V.popularity(spark, sf))
 

@@ -8,7 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.functions.ordering import bucketed_rank, time_levels
+from rankflow.functions.hashing import seeded_uniform
+from rankflow.functions.ordering import bucketed_rank, spread, time_levels
 from rankflow.functions.text import clean_text
 from rankflow.functions.vecmath import l2_normalize, sum_vectors
 from rankflow.operators import catalog as C
@@ -173,10 +174,30 @@ def candidates(spark: SparkSession, sf: str, *names: str) -> DataFrame:
 @stage
 def packed_requests(spark: SparkSession, sf: str, *names: str) -> DataFrame:
     """One row per request with its candidates and their click features in an array."""
-    train = stored_split(spark, sf, "train")
-    cat = rich_catalog(spark, sf)
-    lists = H.candidate_lists(title_candidates(spark, sf), H.product_features(train, cat))
-    return H.pack_requests(requests(spark, sf, *names), lists, H.user_category_affinity(train, cat), ["split"])
+    return _packed(spark, sf, requests(spark, sf, *names))
+
+
+def _packed(spark: SparkSession, sf: str, asked: DataFrame) -> DataFrame:
+    taste = H.user_category_affinity(stored_split(spark, sf, "train"), rich_catalog(spark, sf))
+    return H.pack_requests(spread(asked, asked.count(), "query_idx"), candidate_lists(spark, sf), taste, ["split"])
+
+
+@stage
+def candidate_lists(spark: SparkSession, sf: str) -> DataFrame:
+    features = H.product_features(stored_split(spark, sf, "train"), rich_catalog(spark, sf))
+    return materialize(H.candidate_lists(title_candidates(spark, sf), features), "candidate-lists")
+
+
+#: The click model is fitted on at most about so many train requests, with all their candidates.
+FIT_REQUESTS = 4000
+
+
+@stage
+def fit_requests(spark: SparkSession, sf: str, limit: int = FIT_REQUESTS) -> DataFrame:
+    """Train requests to fit on, drawn by a hash of their number: all of them up to ``limit``."""
+    train = requests(spark, sf, "train")
+    share = limit / max(1, train.count())
+    return _packed(spark, sf, train.where(seeded_uniform(42, F.lit("fit"), F.col("query_idx")) < share))
 
 
 @stage
