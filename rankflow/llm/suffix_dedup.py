@@ -30,22 +30,22 @@ LANES = 1 << 13
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """The suffixes of a byte array in order.
 
-    The first ranks come from eight bytes. Then only groups of equal rank are refined, by the rank h further on,
+    The first ranks come from seven bytes, as values from 1, so that the end is below a NUL byte. Then only groups of equal rank are refined, by the rank h further on,
     which doubles the sorted depth. Below 2^21 bytes the rank 2h further on fits into the key too, which triples
     it. It goes on until no group is left: Kasai's prefixes need the true order.
     """
     n = len(text)
     triple = n < (1 << 21) - 1
-    padded = np.r_[text, np.zeros(8, np.uint8)].astype(np.uint64)
+    padded = np.r_[text.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)]
     key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = (key << np.uint64(8)) | padded[i : i + n]
+    for i in range(7):
+        key = (key << np.uint64(9)) | padded[i : i + n]
     order = np.argsort(key)
     new = np.r_[True, key[order][1:] != key[order][:-1]]
     group = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # first place of each place's group
     rank = np.zeros(n + 1, np.int64)  # 1-based, 0 beyond the end
     rank[order] = group + 1
-    h = 8
+    h = 7
     open_at = np.flatnonzero(~new | ~np.r_[new[1:], True])  # places in groups of two or more
     while len(open_at):
         at = order[open_at]

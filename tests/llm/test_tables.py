@@ -167,7 +167,7 @@ def test_stages_one_by_one(spark, tmp_path):
     rows = [(i, t, lang, "s", len(t)) for i, (t, lang) in enumerate(base)]
     near = base[0][0].split()
     near[60] = "edited"
-    extra = [base[3][0], " ".join(near), base[6][0] + " " + shared, base[9][0] + "\n" + shared + " end", base[12][0] + " " + items[2][1], "123 456 ...", None, ""]
+    extra = [base[3][0], " ".join(near), base[6][0] + " " + shared, base[9][0] + "\n" + shared + " end", " ".join(words(rng, 70)) + " " + items[2][1], "123 456 ...", None, ""]
     rows += [(100 + i, t, "en", "s", 1) for i, t in enumerate(extra)]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = documents(spark, rows)

@@ -223,15 +223,20 @@ def test_toxicity_of_odd_rows(spark):
 
 
 def slow_overlap(text, item):
-    """Longest verified run over all alignments, by trying every segment."""
+    """By counting in every segment of every alignment: enough equal words, and four in five of the segment."""
     t, w = decontaminate.words_of(text), decontaminate.words_of(item)
-    if len(w) < decontaminate.SHORTEST_ITEM:
+    if not w:
         return False
+    need = len(w) if len(w) < 8 else min(12, -(-4 * len(w) // 5))
     for shift in range(-len(w) + 1, len(t)):
         equal = [0 <= shift + i < len(t) and t[shift + i] == x for i, x in enumerate(w)]
-        run = decontaminate.best_run(np.array(equal))
-        if run and sum(equal[run[0] : run[1]]) >= min(decontaminate.MIN_WORDS, len(w)) and sum(equal[run[0] : run[1]]) >= 0.8 * (run[1] - run[0]):
-            return True
+        if sum(equal) < need:
+            continue
+        for low in range(len(w)):
+            for high in range(low + need, len(w) + 1):
+                matched = sum(equal[low:high])
+                if matched >= need and 5 * matched >= 4 * (high - low):
+                    return True
     return False
 
 
