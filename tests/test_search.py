@@ -233,3 +233,33 @@ def test_search_plans_have_no_keyless_join(spark, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_vector_sums_of_many_dimensions(spark):
+    """One aggregate in the plan whatever the dimension; weights that vanish leave a zero vector."""
+    from rankflow.functions.vecmath import sum_vectors
+
+    rng = np.random.default_rng(3)
+    rows = [(f"k{i % 5}", rng.normal(size=768).tolist(), float(rng.random())) for i in range(60)] + [("zero", [1.0] * 768, 0.0), ("none", None, 1.0)]
+    df = spark.createDataFrame(rows, "k string, v array<double>, w double")
+    total = sum_vectors(df, ["k"], "v", "s", weight=F.col("w"))
+    got = {r.k: np.array(r.s) for r in total.collect()}
+    assert set(got) == {"k0", "k1", "k2", "k3", "k4", "zero"} and not got["zero"].any()
+    for k in ("k0", "k4"):
+        assert np.allclose(got[k], sum(np.array(v) * w for name, v, w in rows if name == k), rtol=0, atol=1e-12)
+    whole = sum_vectors(df.where("v is not null"), [], "v", "s", mean=True).collect()
+    assert np.allclose(whole[0].s, np.mean([v for _, v, _ in rows if v], axis=0), rtol=0, atol=1e-12)
+    plan = total._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and len(plan) < 3000
+
+
+def test_user_vectors_of_the_size_of_text_encoders(spark):
+    rng = np.random.default_rng(4)
+    vec = {f"p{i}": rng.normal(size=768) for i in range(6)}
+    table = spark.createDataFrame([(p, v.tolist()) for p, v in vec.items()], "product_id string, embedding array<double>")
+    seen = [("ann", "p0", 1, 10), ("ann", "p3", 1, 7), ("ann", "p4", 0, 10), ("bo", "p5", 1, 8), ("cy", "gone", 1, 9)]
+    inter = spark.createDataFrame(seen, "user_id string, product_id string, label int, timestamp long")
+    got = {r.user_id: np.array(r.embedding) for r in G.user_embeddings(inter, table, decay_lambda=0.2).collect()}
+    want = vec["p0"] + math.exp(-0.6) * vec["p3"]
+    assert set(got) == {"ann", "bo"} and np.allclose(got["ann"], want / np.linalg.norm(want), atol=1e-12)
+    assert np.allclose(got["bo"], vec["p5"] / np.linalg.norm(vec["p5"]), atol=1e-12)
