@@ -261,23 +261,25 @@ def r3(spark, sf):
 
 
 def _experiment(spark, sf):
-    """(requests, served): events as requests, for the latest test positive of their user.
+    """(requests, served): an event asks for every test positive of its user.
 
-    The bucket of the user is the arm. Control serves the text list; treatment reorders its first 50
+    The bucket of the user is the arm. Control serves the text list; treatment reorders the whole list
     by score and smoothed click rate. A user without test positives makes no request, and signup
     events carry an empty query, which is served nothing.
     """
     test = V.stored_split(spark, sf, "test").where("label = 1")
-    last = test.groupBy("user_id").agg(F.max_by("product_id", F.struct("timestamp", "row_key")).alias("target_product_id"))
+    wanted = test.select("user_id", F.col("product_id").alias("target_product_id"), "row_key")
     q = V.title_queries(spark, sf).select(F.col("product_id").alias("target_product_id"), "query_text")
-    ev = fixtures.served_latencies(spark, sf).join(last, "user_id").join(q, "target_product_id")
+    ev = fixtures.served_latencies(spark, sf).join(wanted, "user_id").join(q, "target_product_id")
+    ev = ev.withColumn("request_key", F.concat_ws(":", F.col("request_key").cast("string"), "row_key"))
     arm = F.when(assign_bucket(F.col("user_id"), 2) == 1, "treatment").otherwise("control")
     text = F.when(F.col("page") == "signup", "").otherwise(F.col("query_text")).alias("query_text")
     req = ev.select("request_key", "target_product_id", text, "latency_ms", arm.alias("arm"))
-    lists = V.text_top(spark, sf, 50)
+    lists = materialize(V.text_top(spark, sf), "text-lists")
     ctr = V.H.product_features(V.stored_split(spark, sf, "train"), V.rich_catalog(spark, sf)).select(
         F.col("product_id").alias("item_id"), "global_ctr"
     )
+    # The text lists are read for both arms.
     control = lists.where("rank <= 10").select(F.lit("control").alias("arm"), "query_text", "rank", "item_id")
     score = F.round(F.col("score") + F.col("global_ctr"), 9)
     rerank = V.D.top_per_group(lists.drop("rank").join(ctr, "item_id").withColumn("s", score), ["query_text"], [F.desc("s"), F.asc("item_id")], 10)
@@ -288,12 +290,12 @@ def _experiment(spark, sf):
     return req, served
 
 
-EXPERIMENT = f""", lastp AS (SELECT user_id, arg_max(product_id, (timestamp, row_key)) AS target FROM splits WHERE split='test' AND label=1 GROUP BY 1),
+EXPERIMENT = f""", wanted AS (SELECT user_id, product_id AS target FROM splits WHERE split='test' AND label=1),
   req AS MATERIALIZED (SELECT event_id, target, CASE WHEN event_type = 'signup' THEN '' ELSE query_text END AS query_text, value AS latency_ms, CASE WHEN {bucket('e.user_id', 2)} = 1 THEN 'treatment' ELSE 'control' END AS arm
-    FROM events e JOIN lastp l ON l.user_id = e.user_id JOIN title_queries q ON q.product_id = l.target),
+    FROM events e JOIN wanted l ON l.user_id = e.user_id JOIN title_queries q ON q.product_id = l.target),
   pages AS (SELECT 'control' AS arm, query_text, rank, item_id FROM text_top WHERE rank <= 10 UNION ALL
     SELECT 'treatment', query_text, r, item_id FROM (SELECT query_text, item_id, row_number() OVER (PARTITION BY query_text ORDER BY round(score+global_ctr,9) DESC, item_id) AS r
-      FROM text_top JOIN product_features ON product_id = item_id WHERE rank <= 50) WHERE r <= 10),
+      FROM text_top JOIN product_features ON product_id = item_id) WHERE r <= 10),
   hit AS MATERIALIZED (SELECT r.*, p.rank, x.query_text IS NULL AS is_null FROM req r LEFT JOIN pages p ON p.arm = r.arm AND p.query_text = r.query_text AND p.item_id = r.target
     LEFT JOIN (SELECT DISTINCT arm, query_text FROM pages) x ON x.arm = r.arm AND x.query_text = r.query_text),
   arms AS MATERIALIZED (SELECT arm, count(*) AS n_requests, avg(coalesce(1/log2(rank+1),0.0)) AS ndcg, avg(coalesce(1.0/rank,0.0)) AS mrr, avg(CASE WHEN is_null THEN 1.0 ELSE 0.0 END) AS null_result_rate,
