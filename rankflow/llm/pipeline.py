@@ -47,9 +47,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with a similarity of 0.8 or more in five-word shingles: that of the smallest key."""
+    """One document of each near-duplicate group of operator 1, of its shingle length and bit distance: that of the smallest key."""
     keyed = with_key(docs)
-    found = simhash.similar_documents(keyed, KEY, "text", shingle=5, similarity=0.8)
+    found = simhash.near_duplicates(keyed, KEY, "text", shingle=3, radius=3)
     drop = materialize(found.where("id <> component").select(F.col("id").alias(KEY)), "near-duplicates")
     return keyed.join(drop, KEY, "left_anti").select(*columns(docs))
 

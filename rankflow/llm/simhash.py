@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.common import materialize, offsets, ragged, sliced, text_bytes
+from rankflow.llm.common import materialize, sliced, text_bytes
 from rankflow.llm.components import connected_components, star_forest
 
 SEED = 42
@@ -79,8 +79,8 @@ def _segment_part(name: str, mask: int) -> Column:
     return F.xxhash64(*parts)
 
 
-def near_rows(key: np.ndarray, fp: np.ndarray, radius: int, wide: np.ndarray | None = None, wide_radius: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of equal key within the radius, and within wide_radius of the wide prints; rows are sorted by key."""
+def near_rows(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of equal key within the radius; rows are sorted by key."""
     n = len(key)
     table = [np.bitwise_count(fp ^ np.uint64(p)).astype(np.int8) for p in PIVOTS]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.zeros(0, np.int64)
@@ -95,8 +95,6 @@ def near_rows(key: np.ndarray, fp: np.ndarray, radius: int, wide: np.ndarray | N
             if not len(i):
                 break
         i = i[np.bitwise_count(fp[i] ^ fp[i + step]) <= radius]
-        if wide is not None and len(i):
-            i = i[np.bitwise_count(wide[i] ^ wide[i + step]).sum(1) <= wide_radius]
         found_a.append(i)
         found_b.append(i + step)
         step += 1
@@ -105,13 +103,12 @@ def near_rows(key: np.ndarray, fp: np.ndarray, radius: int, wide: np.ndarray | N
     return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
 
 
-def _link_task(radius: int, wide_radius: int | None):
+def _link_task(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def links(key, node, fp, *wide) -> pa.RecordBatch:
-            words = np.frombuffer(b"".join(wide[0]), np.uint64).reshape(len(key), -1) if wide else None
-            a, b = near_rows(key, fp.view(np.uint64), radius, words, wide_radius)
+        def links(key, node, fp) -> pa.RecordBatch:
+            a, b = near_rows(key, fp.view(np.uint64), radius)
             root = star_forest(len(key), a, b)
             at = np.flatnonzero(root != np.arange(len(key)))
             return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[root[at]])], names=["a", "b"])
@@ -131,31 +128,21 @@ def _link_task(radius: int, wide_radius: int | None):
     return run
 
 
-def near_links(fps: DataFrame, radius: int = 3, prints: list[str] = ("fp",), wide: str | None = None, wide_radius: int | None = None) -> DataFrame:
-    """Links (a, b) between distinct rows (id, prints...) that join all within the radius in one of the prints.
-
-    wide: a column of longer prints; then pairs must also be within wide_radius there.
-    """
+def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
+    """Links (a, b) between distinct rows (id, fp) that join all within the radius."""
     masks = segment_masks(radius + 2)
-    parts = fps.select("id", *prints, *(_segment_part(p, m).alias(f"{p}_{i}") for p in prints for i, m in enumerate(masks)))
-    keys = [
-        F.struct(F.xxhash64(F.lit(n), F.lit(i), F.lit(j), F.col(f"{p}_{i}"), F.col(f"{p}_{j}")).alias("key"), F.col(p).alias("fp"))
-        for n, p in enumerate(prints)
-        for i, j in combinations(range(len(masks)), 2)
-    ]
-    rows = parts.select("id", F.inline(F.array(*keys)))
+    parts = fps.select("id", "fp", *(_segment_part("fp", m).alias(f"part_{i}") for i, m in enumerate(masks)))
+    keys = [F.xxhash64(F.lit(i), F.lit(j), F.col(f"part_{i}"), F.col(f"part_{j}")) for i, j in combinations(range(len(masks)), 2)]
+    rows = parts.select("id", "fp", F.explode(F.array(*keys)).alias("key"))
     # Stored, so that the join below is of two plain shuffles, whose large partitions Spark can split.
     shared = materialize(rows.groupBy("key").count().where("count > 1"), "shared-keys")
     blocks = rows.join(shared, "key").withColumn("n", F.ceil(F.col("count") / BLOCK).cast("int"))
-    if wide:
-        blocks = blocks.join(fps.select("id", F.col(wide).alias("wide")), "id")
-    extra = ["wide"] if wide else []
     block = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least(block, j) * F.col("n") + F.greatest(block, j))
-    dealt = blocks.select("key", "id", "fp", *extra, F.explode(pairs).alias("pair"))
+    dealt = blocks.select("key", "id", "fp", F.explode(pairs).alias("pair"))
     key = F.when(F.col("pair") == 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key")
-    sorted_rows = dealt.select(key, "id", "fp", *extra).repartition("key").sortWithinPartitions("key")
-    return sorted_rows.mapInArrow(_link_task(radius, wide_radius), "a long, b long")
+    sorted_rows = dealt.select(key, "id", "fp").repartition("key").sortWithinPartitions("key")
+    return sorted_rows.mapInArrow(_link_task(radius), "a long, b long")
 
 
 def near_duplicates(
@@ -183,135 +170,3 @@ def components_of(fps: DataFrame, links: DataFrame) -> DataFrame:
 
 def fingerprint_hex(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
-
-
-#: MinHash bands over the shingle set: a pair of similarity s meets in a band with chance s^BAND_ROWS. At 0.8 one
-#: pair in 38,000 meets in none, at 0.5 one in 4 does in none.
-BANDS = 20
-BAND_ROWS = 4
-MIX = np.array([int.from_bytes(hashlib.md5(f"mix {i}".encode()).digest()[:8], "big") | 1 for i in range(BANDS * BAND_ROWS)], np.uint64)
-BLOCK_BYTES = 16 << 20
-
-
-def shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; a text of fewer words is one shingle."""
-    words = text.lower().split()
-    digest = xxhash.xxh64_intdigest
-    shingles = [b" ".join(words)] if len(words) <= shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    return np.unique(np.array([digest(s, SEED) for s in shingles], np.uint64))
-
-
-def search_keys(shingles: np.ndarray) -> list[int]:
-    """One signed key per band of smallest mixed hashes."""
-    least = np.full(len(MIX), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 1 << 12):
-        least = np.minimum(least, (MIX[:, None] * shingles[None, at : at + (1 << 12)]).min(1))
-    bands = least.reshape(BANDS, BAND_ROWS)
-    return [_signed(xxhash.xxh64_intdigest(band.tobytes(), i)) for i, band in enumerate(bands)]
-
-
-def similar_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Per set one set of its component, where sets of that Jaccard similarity or more are linked.
-
-    Pairs are compared exactly, by rising size; pairs too unlike in size, or linked by others already, need not be.
-    """
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    order = np.argsort(size, kind="stable")
-    size = size[order]
-    flat = np.concatenate([sets[i] for i in order])
-    start = offsets(size)
-    label = np.arange(len(sets))
-    for i in range(len(sets) - 1):
-        to = int(np.searchsorted(size, size[i] / similarity + 1e-6, "right"))
-        j = i + 1 + np.flatnonzero(label[i + 1 : to] != label[i])
-        if not len(j):
-            continue
-        own, others = flat[start[i] : start[i + 1]], flat[ragged(start[j], size[j])]
-        hit = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
-        common = np.add.reduceat(hit, offsets(size[j])[:-1], dtype=np.int64)
-        linked = j[common / (size[i] + size[j] - common) >= similarity]
-        label[np.isin(label, label[linked])] = label[i]
-    root = np.zeros(len(sets), np.int64)
-    root[order] = order[label]
-    return root
-
-
-def _similar_task(similarity: float):
-    """Rows (key, id, shingles) sorted by key -> stars (a, b) of the linked documents of each key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        open_key = None
-
-        def links() -> pa.RecordBatch:
-            node = np.fromiter(held, np.int64, len(held))
-            root = node[similar_roots(list(held.values()), similarity)]
-            at = np.flatnonzero(root != node)
-            return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(root[at])], names=["a", "b"])
-
-        for batch in sliced(batches, 2):
-            for key, node, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != open_key:
-                    if len(held) > 1:
-                        yield links()
-                    held, open_key = {}, key
-                held[node] = np.frombuffer(packed, np.uint64)
-        if len(held) > 1:
-            yield links()
-
-    return run
-
-
-def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) between nodes (id, keys) that share a key, within components of exact similarity.
-
-    docs: (id, text) of at least those ids. Shingle sets are only made of documents that share a key, and keys with
-    the same documents count once. A key with much to compare is dealt out as pairs of blocks.
-    """
-    rows = nodes.select("id", F.explode("keys").alias("key"))
-    same = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in range(2)]
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *same).where("n > 1").groupBy("n", "x0", "x1").agg(F.min("key").alias("key"))
-    # Stored, so that the joins below are of plain shuffles, whose large partitions Spark can split.
-    shared = materialize(shared.select("key"), "shared-keys")
-    members = materialize(rows.join(shared, "key").select("key", "id"), "key-members")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
-            found = [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
-
-    wanted = docs.join(members.select("id").distinct(), "id").select("id", "text")
-    wanted = materialize(wanted.mapInArrow(sets, "id long, shingles binary"), "shingle-sets")
-    sizes = wanted.select("id", F.octet_length("shingles").alias("bytes"))
-    blocks = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)
-    parts = materialize(members.join(sizes, "id").groupBy("key").agg(F.ceil(blocks).cast("int").alias("n")), "key-sizes")
-    block = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.least(block, j) * F.col("n") + F.greatest(block, j))
-    dealt = members.join(parts, "key").select("key", "id", F.explode(pairs).alias("pair"))
-    key = F.when(F.col("pair") == 0, F.col("key")).otherwise(F.xxhash64("key", "pair")).alias("key")
-    sorted_rows = dealt.select(key, "id").join(wanted, "id").select("key", "id", "shingles").repartition("key").sortWithinPartitions("key")
-    return sorted_rows.mapInArrow(_similar_task(similarity), "a long, b long")
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component) per row with an id: documents linked by a similarity of their ``shingle``-word sets.
-
-    A radius in SimHash prints finds edits of single words, but not a copy cut short or continued. So pairs are
-    searched by MinHash bands of the shingle sets, whose recall follows the similarity, and linked only by the exact
-    Jaccard similarity of the sets. Equal sets are always linked. Rows without id are left out; of rows with one id,
-    each text may link it.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
-            found = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
-            same = [xxhash.xxh128_digest(x.tobytes()) for x in found]
-            keys = pa.array([search_keys(x) for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), keys], names=["id", "same", "keys"])
-
-    docs = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), text_bytes(text_col).alias("text"))
-    rows = materialize(docs.mapInArrow(run, "id long, same binary, keys array<long>"), "sketches")
-    nodes = materialize(rows.groupBy("same").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "distinct-sets")
-    found = connected_components(similar_links(docs, nodes.select("id", "keys"), shingle, similarity))
-    known = nodes.join(found, F.col("id") == F.col("node"), "left").select("same", F.coalesce("component", "id").alias("component"))
-    return rows.select("id", "same").join(known, "same").select("id", "component").distinct()

@@ -11,7 +11,7 @@ import xxhash
 import zstandard
 from llm_data import documents, empty_documents, odd_documents, words
 
-from rankflow.llm import automaton_dedup, repeats, simhash, suffix_dedup
+from rankflow.llm import automaton_dedup, pipeline, repeats, simhash, suffix_dedup
 from rankflow.llm.components import connected_components, star_forest
 
 
@@ -87,75 +87,22 @@ def test_components(spark):
     assert star_forest(5, np.array([4, 3]), np.array([3, 1])).tolist() == [0, 1, 2, 1, 1]
 
 
-def test_similar_documents(spark):
+def test_stage_keeps_one_of_each_group(spark):
+    """The pipeline's stage against brute force: links of 3 or fewer bits between prints of 3-word shingles."""
     rng = random.Random(8)
-    rows, group = [], []
-    for g in range(25):
-        base = words(rng, 240)
-        for copy in range(3):
+    rows = []
+    for _ in range(30):
+        base = words(rng, 260)
+        for edits in (0, 0, 1, 2, 40):
             w = list(base)
-            for _ in range(2 * copy):  # 2 edits touch 10 of 236 shingles
-                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
-            rows.append((len(rows), " ".join(w), "en", "s", 1))
-            group.append(g)
-    got = {r.id: r.component for r in simhash.similar_documents(documents(spark, rows)).collect()}
-    assert all(group[c] == group[i] for i, c in got.items())
-    assert sum(c != i for i, c in got.items()) >= 48  # of 50 copies
-    assert simhash.similar_documents(empty_documents(spark)).count() == 0
-
-
-def shingle_similarity(a, b, k=5):
-    one, two = ({tuple(x[i : i + k]) for i in range(len(x) - k + 1)} for x in (a, b))
-    return len(one & two) / len(one | two)
-
-
-def test_similar_documents_cut_lengthened_and_edited(spark):
-    """Copies of a similarity of 0.8 to 0.9 are found whatever was done to them, and those below it are not linked."""
-    rng = random.Random(12)
-    rows, pairs, at = [], [], 0
-    for kind in ("cut", "longer", "edited"):
-        for n in range(80):
-            base = words(rng, 270)
-            if kind == "cut":
-                copy = base[: rng.randrange(200, 245)]
-            elif kind == "longer":
-                copy = base + words(rng, rng.randrange(25, 85))
-            else:
-                copy = list(base)
-                for place in rng.sample(range(270), rng.randrange(3, 11)):
-                    copy[place] = f"new{rng.randrange(10**6)}"
-            pairs.append((at, at + 1, shingle_similarity(base, copy)))
-            rows += [(at, " ".join(base), "en", "s", 1), (at + 1, " ".join(copy), "en", "s", 1)]
-            at += 2
-    got = {r.id: r.component for r in simhash.similar_documents(documents(spark, rows)).collect()}
-    assert sum(s >= 0.8 for *_, s in pairs) > 120 and sum(s < 0.8 for *_, s in pairs) > 40
-    for a, b, s in pairs:
-        assert (got[a] == got[b]) == (s >= 0.8), s
-
-
-@pytest.mark.parametrize("block_bytes", [16 << 20, 3000])
-def test_similar_documents_are_compared_exactly(spark, monkeypatch, block_bytes):
-    """Families around 0.8: components are those of brute force, also when a key is dealt out in blocks."""
-    monkeypatch.setattr(simhash, "BLOCK_BYTES", block_bytes)
-    rng = random.Random(21)
-    texts = []
-    for _ in range(6):
-        base = words(rng, 120)
-        for _ in range(12):
-            w = list(base)
-            for place in rng.sample(range(120), rng.randrange(5)):
+            for place in rng.sample(range(260), edits):
                 w[place] = f"new{rng.randrange(10**6)}"
-            texts.append(w)
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
-    label = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and label[i] != label[j]:
-                low, high = sorted((label[i], label[j]))
-                label = [low if x == high else x for x in label]
-    got = {r.id: r.component for r in simhash.similar_documents(documents(spark, [(i, " ".join(w), "en", "s", 1) for i, w in enumerate(texts)])).collect()}
-    assert [got[i] for i in range(len(texts))] == label
-    assert 6 < len(set(label)) < 60
+            rows.append((len(rows), " ".join(w), "en", "s", 1))
+    left = {r.doc_id for r in pipeline.near_duplicate_stage(spark, documents(spark, rows), "").collect()}
+    want = slow_components([r[0] for r in rows], [slow_fingerprint(r[1], 3) for r in rows], 3)
+    assert left == set(want)
+    assert 30 < len(left) < 115
+    assert pipeline.near_duplicate_stage(spark, empty_documents(spark), "").count() == 0
 
 
 def slow_bytes(rows, w):
