@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_data import CLASHING, documents, empty_documents, odd_documents, texts, words
 from pyspark.sql import functions as F
-from test_copies import slow_words
+from test_copies import slow_components, slow_fingerprint, slow_words
 from test_texts import slow_overlap
 
 from rankflow.llm import kd_search, pipeline, queries, warc
