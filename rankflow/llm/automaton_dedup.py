@@ -5,7 +5,7 @@ whatever the corpus. Its suffix automaton knows every word sequence of the shard
 place where the sequence ends. The shard's contexts are streamed through it: matching statistics give the
 longest known sequence at each word, the suffix links shorten it to the window, and the window is a repeat if its
 earliest place comes before the context's own. All later members of a class repeat its first one as a whole.
-The windows of an anchor that is split over shards are compared across them by key.
+Windows of an anchor too frequent for one shard are dealt by the words they share (see repeats.py).
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankflow.llm.common import offsets, sliced
-from rankflow.llm.repeats import Windows, covered, keyed_rows, repeated_spans, shard_rows, span_lists, unpack, unpacked_sizes, whole_groups, window_keys
+from rankflow.llm.repeats import Windows, covered, keyed_rows, repeated_spans, span_lists, unpack, unpacked_sizes, window_runs
 
 GRAM = 5
 SHARD_BYTES = 1 << 19
-HOT_CLASSES = 8192
+HOT_CLASSES = 4096
 NEVER = 1 << 62
 
 
@@ -111,7 +111,7 @@ class SuffixAutomaton:
 
 def shard_spans(window: int):
     def work(classes: pa.Table) -> pa.RecordBatch:
-        ident, row, first, part = (classes.column(c).to_numpy() for c in ("id", "row", "start", "part"))
+        ident, row, first = (classes.column(c).to_numpy() for c in ("id", "row", "start"))
         words: dict[bytes, int] = {}
         cut = [c.split() for c in classes.column("content").to_pylist()]
         sequences = [[words.setdefault(w, len(words)) for w in c] for c in cut]
@@ -129,39 +129,16 @@ def shard_spans(window: int):
         earliest = np.fromiter((e for x in ends for e in x), np.int64, len(owner))
         place = first[owner] + offset
         repeated = earliest < begin[owner] + offset + window
-        edge = np.flatnonzero(np.r_[True, (np.diff(repeated.astype(np.int8)) != 0) | (np.diff(owner) != 0)]) if len(owner) else np.zeros(0, np.int64)
-        last = np.r_[edge[1:], len(owner)] - 1
-        edge, last = edge[repeated[edge]], last[repeated[edge]]
-        spans = (row[owner[edge]], place[edge], place[last] + window)
-        rest = np.flatnonzero(~repeated & (part[owner] >= 0))  # of repeats, the earliest is compared for them
-        flat = np.fromiter((w for s in sequences for w in s), np.int64, sum(map(len, sequences)))
-        by_word = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "big") for w in words], np.uint64)
-        begin_flat = offsets(np.fromiter(map(len, sequences), np.int64, len(sequences)))
-        at = begin_flat[owner[rest]] + offset[rest]
-        key1, key2 = window_keys(by_word[flat] if len(flat) else np.zeros(0, np.uint64), at, window) if len(rest) else (np.zeros(0, np.int64),) * 2
-        return shard_rows(spans, (row[owner[rest]], place[rest], key1, key2, ident[owner[rest]], part[owner[rest]]))
+        return window_runs(repeated, owner, row, place, window)
 
     return work
 
 
-def merge_shards(window: int):
-    """Windows of a split anchor that another of its shards has at an earlier place."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key1, key2, row, a, ident in whole_groups(batches, [4, 5, 1, 2, 6]):
-            order = np.lexsort((a, row, ident, key2, key1))
-            key1, key2, row, a = key1[order], key2[order], row[order], a[order]
-            later = np.r_[False, (key1[1:] == key1[:-1]) & (key2[1:] == key2[:-1])] if len(row) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row[later], a[later], a[later] + window)], names=["row", "a", "b"])
-
-    return run
-
-
 def repeated_word_spans(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, candidate texts, spans): keyed rows, packed texts with repeats, and word spans to remove per row."""
     rows = keyed_rows(docs, id_col, text_col)
     kind = Windows(window, min(GRAM, window), words=True)
-    texts, spans = repeated_spans(rows, kind, shard_spans(window), merge_shards(window), SHARD_BYTES, HOT_CLASSES)
+    texts, spans = repeated_spans(rows, kind, shard_spans(window), SHARD_BYTES, HOT_CLASSES)
     return rows, texts, span_lists(spans)
 
 

@@ -6,9 +6,12 @@ smallest hash, the leftmost of equals. Equal windows have equal anchors, whereve
 1. anchors are counted over all texts; a window can only repeat if its anchor does,
 2. around repeated anchors the stretch of text that holds the anchor's windows is cut out (a context),
 3. equal contexts become one class, with the number of its members and the first of them,
-4. classes are dealt to shards by anchor, where operators find repeated windows by their own method; the
-   classes of a hot anchor are dealt to several shards, whose results are merged afterwards,
-5. what a class's first member keeps or loses is decided there; the other members repeat it as a whole.
+4. an anchor with many classes is narrowed: its windows are dealt by where the anchor stands in them, in ranges of
+   offsets, and by all symbols that the windows of a range share around it. Equal windows still meet; equal
+   stretches are one class again, and a group still large goes through finer ranges, down to single offsets, where
+   the windows of a group are all equal and one class,
+5. classes are dealt to shards by group, where operators find repeated windows by their own method,
+6. what a class's first member keeps or loses is decided there; the other members repeat it as a whole.
 
 Counts, contexts and classes are exact over all rows; hashes only choose who meets.
 """
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +34,7 @@ from rankflow.llm.common import materialize, offsets, ragged, sliced, text_bytes
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 PLACE_BITS = 24
+NARROW = 8  # ranges of offsets that a hot group is dealt to
 STRETCH = 1 << 20  # symbols handled at once; longer texts are taken in overlapping stretches
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -206,14 +211,66 @@ def _context_task(kind: Windows):
     return run
 
 
-#: Found by a shard: kind 0 is a span (row, a, b) of windows that are repeats; kind 1 a window of a split anchor,
-#: whose key, order and place are to be compared with those of the anchor's other shards.
-SHARD_SCHEMA = "kind int, row long, a long, b long, key1 long, key2 long, id long, part long"
+SPAN_SCHEMA = "row long, a long, b long"
 CONTEXT_SCHEMA = "row long, id long, anchor long, ctx long, start long, windows long, content binary"
+CLASS_SCHEMA = "anchor long, ctx long, n long, id long, row long, start long, windows long, content binary"
+CLASS_COLUMNS = [c.split()[0] for c in CLASS_SCHEMA.split(", ")]
+
+
+def narrowing_widths(kind: Windows) -> list[int]:
+    """Widths of the ranges of anchor offsets, from coarse to single offsets."""
+    n = kind.size - kind.gram + 1
+    out = []
+    while not out or out[-1] > 1:
+        n = -(-n // NARROW)
+        out.append(n)
+    return out
+
+
+def anchor_places(contents: list[bytes], kind: Windows) -> np.ndarray:
+    """Where the anchor of each context starts, in symbols: as in anchor_runs, the leftmost smallest of its first window."""
+    joined = (b" " if kind.words else b"").join(contents)
+    symbols, starts, _ = text_symbols(joined, kind)
+    size = np.fromiter(map(len, contents), np.int64, len(contents))
+    begin = np.searchsorted(starts, offsets(size + 1)[:-1]) if kind.words else offsets(size)[:-1]
+    at = begin[:, None] + np.arange(kind.size - kind.gram + 1)
+    flat = at.reshape(-1)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    return (run_hashes(symbols, flat, flat + kind.gram) & ~low).reshape(at.shape).argmin(1)
+
+
+def _narrow_task(kind: Windows, width: int):
+    """Classes of hot groups -> a stretch per class and range of offsets, in the group of what the range's windows share."""
+    size, most = kind.size, kind.size - kind.gram
+
+    def signed(data: bytes, seed: int) -> int:
+        h = xxhash.xxh64_intdigest(data, seed)
+        return h - ((h >> 63) << 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 7, 1 << 20):
+            columns = [c.to_pylist() for c in batch.columns]
+            out: list[list] = [[] for _ in CLASS_COLUMNS]
+            for _, _, n, ident, row, start, windows, content, place in zip(*columns, anchor_places(columns[7], kind).tolist(), strict=True):
+                symbols = content.split(b" ") if kind.words else content
+                for part in range((place - windows + 1) // width, place // width + 1):
+                    # Offsets of the range; the stretch's windows; what all windows of those offsets share.
+                    near, far = part * width, min(part * width + width - 1, most)
+                    first, last = max(0, place - far), min(windows - 1, place - near)
+                    stretch, shared = symbols[first : last + size], symbols[place - near : place - far + size]
+                    if kind.words:
+                        stretch, shared = b" ".join(stretch), b" ".join(shared)
+                    new = (signed(shared, (part << 32) + width), signed(stretch, 0), n, ident, row, start + first, last - first + 1, stretch)
+                    for column, value in zip(out, new, strict=True):
+                        column.append(value)
+            types = [pa.int64()] * 7 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=CLASS_COLUMNS)
+
+    return run
 
 
 def _shard_task(work: Callable[[pa.Table], pa.RecordBatch], size: int):
-    """Feeds whole (anchor, part) groups to ``work``, several at a time up to about ``size`` bytes of contexts."""
+    """Feeds whole groups to ``work``, several at a time up to about ``size`` bytes of contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -222,8 +279,8 @@ def _shard_task(work: Callable[[pa.Table], pa.RecordBatch], size: int):
             held = new if held is None else pa.concat_tables([held, new])
             if held.column("content").nbytes < size:
                 continue
-            anchor, part = held.column("anchor").to_numpy(), held.column("part").to_numpy()
-            cut = int(np.flatnonzero((anchor != anchor[-1]) | (part != part[-1]))[-1] + 1) if ((anchor != anchor[-1]) | (part != part[-1])).any() else 0
+            anchor = held.column("anchor").to_numpy()
+            cut = int(np.searchsorted(anchor, anchor[-1]))  # the last group may go on
             if cut:
                 yield work(held.slice(0, cut).combine_chunks())
                 held = held.slice(cut).combine_chunks()
@@ -233,12 +290,28 @@ def _shard_task(work: Callable[[pa.Table], pa.RecordBatch], size: int):
     return run
 
 
-def repeated_spans(rows: DataFrame, kind: Windows, work: Callable[[pa.Table], pa.RecordBatch], merge: Callable, shard_bytes: int, hot_classes: int) -> tuple[DataFrame, DataFrame]:
+def _classes(members: DataFrame, n) -> DataFrame:
+    """CLASS_SCHEMA: equal contexts of a group as one row, with the first member of them. A null id counts as the smallest."""
+    order = F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "row", "start")
+    found = members.groupBy("anchor", "ctx").agg(n.alias("n"), F.min(order).alias("first"), F.max("windows").alias("windows"), F.max("content").alias("content"))
+    return found.select("anchor", "ctx", "n", "first.id", "first.row", "first.start", "windows", "content")
+
+
+def _later_members(members: DataFrame, classes: DataFrame, kind: Windows) -> DataFrame:
+    """(row, a, b) of the members of a class that are not its first one."""
+    firsts = classes.where("n > 1").select("anchor", "ctx", F.col("row").alias("r1"), F.col("start").alias("s1"))
+    others = members.select("row", "start", "windows", "anchor", "ctx").join(firsts, ["anchor", "ctx"]).where("row <> r1 or start <> s1")
+    return others.select("row", F.col("start").alias("a"), (F.col("start") + F.col("windows") + kind.size - 1).alias("b"))
+
+
+def repeated_spans(rows: DataFrame, kind: Windows, work: Callable[[pa.Table], pa.RecordBatch], shard_bytes: int, hot_classes: int) -> tuple[DataFrame, DataFrame]:
     """(candidate texts, spans): (row, packed) of texts with repeated anchors, and (row, a, b) in symbols to remove.
 
-    work: classes of whole anchors -> rows of SHARD_SCHEMA. merge: kind-1 rows of a key range -> (row, a, b).
+    work: classes of whole groups -> rows of SPAN_SCHEMA. A group has at most hot_classes of them.
     """
     anchors = rows.select("row", "text").mapInArrow(_count_task(kind), "row long, anchor long")
+    if not kind.words:  # bytes have more windows than words: reading their anchors again costs less than finding them
+        anchors = materialize(anchors, "anchors")
     # Stored, so that the join below is of two plain shuffles, whose large partitions Spark can split.
     repeated = materialize(anchors.groupBy("anchor").count().where("count > 1").select("anchor"), "repeated-anchors")
     wanted = anchors.join(repeated, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
@@ -246,21 +319,21 @@ def repeated_spans(rows: DataFrame, kind: Windows, work: Callable[[pa.Table], pa
     texts = materialize(packed.join(wanted, "row"), "candidate-texts")
     members = texts.select("row", "id", "packed", "anchors").mapInArrow(_context_task(kind), CONTEXT_SCHEMA)
     members = materialize(members, "contexts")
-    # A null id counts as the smallest.
-    order = F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "row", "start")
-    classes = members.groupBy("anchor", "ctx").agg(
-        F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.max("windows").alias("windows"), F.max("content").alias("content")
-    )
-    classes = materialize(classes.select("anchor", "ctx", "n", "first.id", "first.row", "first.start", "windows", "content"), "classes")
-    hot = classes.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / hot_classes).alias("parts"))
-    dealt = classes.join(hot, "anchor").withColumn("part", F.when(F.col("parts") > 1, F.pmod("ctx", F.col("parts"))).otherwise(F.lit(-1)))
-    dealt = dealt.select("anchor", "part", "n", "id", "row", "start", "windows", "content").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    found = materialize(dealt.mapInArrow(_shard_task(work, shard_bytes), SHARD_SCHEMA), "shard-results")
-    merged = found.where("kind = 1").repartition("key1").sortWithinPartitions("key1", "key2").mapInArrow(merge, "row long, a long, b long")
-    others = members.join(classes.where("n > 1").select("anchor", "ctx", F.col("row").alias("r1"), F.col("start").alias("s1")), ["anchor", "ctx"])
-    others = others.where("row <> r1 or start <> s1").select("row", F.col("start").alias("a"), (F.col("start") + F.col("windows") + kind.size - 1).alias("b"))
-    spans = found.where("kind = 0").select("row", "a", "b").union(merged).union(others)
-    return texts.select("row", "packed"), spans
+    classes = materialize(_classes(members, F.count(F.lit(1))), "classes")
+    spans, shards = _later_members(members, classes, kind), []
+    for width in narrowing_widths(kind):
+        hot = classes.groupBy("anchor").count().where(F.col("count") > hot_classes).select("anchor")
+        hot = materialize(hot, "hot-groups")
+        if hot.isEmpty():
+            break
+        shards.append(classes.join(hot, "anchor", "left_anti"))
+        members = classes.join(hot, "anchor").select(*CLASS_COLUMNS).mapInArrow(_narrow_task(kind, width), CLASS_SCHEMA)
+        members = materialize(members, "narrowed")
+        classes = materialize(_classes(members, F.sum("n")), "classes")
+        spans = spans.union(_later_members(members, classes, kind))
+    shards.append(classes)
+    dealt = reduce(DataFrame.union, [c.select(*CLASS_COLUMNS) for c in shards]).repartition("anchor").sortWithinPartitions("anchor")
+    return texts.select("row", "packed"), spans.union(dealt.mapInArrow(_shard_task(work, shard_bytes), SPAN_SCHEMA))
 
 
 def span_lists(spans: DataFrame) -> DataFrame:
@@ -277,36 +350,10 @@ def covered(spans: pa.Scalar, n: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def window_keys(symbols: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each window, as signed numbers."""
-    one = run_hashes(symbols, starts, starts + size)
-    two = run_hashes(mixed(symbols + np.uint64(0x51)), starts, starts + size)
-    return one.view(np.int64), two.view(np.int64)
-
-
-def shard_rows(spans: tuple[np.ndarray, ...], windows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    """Rows of SHARD_SCHEMA: spans (row, a, b), then windows (row, a, key1, key2, id, part)."""
-    row, a, b = spans
-    wrow, wa, key1, key2, wid, part = windows
-    zero = np.zeros(len(row), np.int64)
-    columns = [
-        np.r_[zero, np.ones(len(wrow), np.int64)].astype(np.int32), np.r_[row, wrow], np.r_[a, wa], np.r_[b, wa], np.r_[zero, key1], np.r_[zero, key2], np.r_[zero, wid], np.r_[zero, part],
-    ]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in SHARD_SCHEMA.split(", ")])
-
-
-def whole_groups(batches: Iterator[pa.RecordBatch], columns: list[int]) -> Iterator[list[np.ndarray]]:
-    """The columns as arrays, cut where the first of them changes."""
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        new = [batch.column(i).to_numpy() for i in columns]
-        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-        if not len(held[0]):
-            continue
-        cut = int(np.searchsorted(held[0], held[0][-1]))
-        if cut:
-            yield [x[:cut] for x in held]
-        held = [x[cut:] for x in held]
-    if held is not None and len(held[0]):
-        yield held
-
+def window_runs(repeated: np.ndarray, owner: np.ndarray, row: np.ndarray, place: np.ndarray, window: int) -> pa.RecordBatch:
+    """SPAN_SCHEMA rows of successive repeated windows of one owner; place: where each window starts in its text."""
+    edge = np.flatnonzero(np.r_[True, (np.diff(repeated.astype(np.int8)) != 0) | (np.diff(owner) != 0)]) if len(owner) else np.zeros(0, np.int64)
+    last = np.r_[edge[1:], len(owner)] - 1
+    edge, last = edge[repeated[edge]], last[repeated[edge]]
+    columns = (row[owner[edge]], place[edge], place[last] + window)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row", "a", "b"])

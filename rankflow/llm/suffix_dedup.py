@@ -4,8 +4,8 @@ The shards hold the classes of contexts around repeated anchors (see repeats.py)
 one array: its suffixes are sorted by Larsson-Sadakane refinement in numpy (groups of equal rank are split by
 the ranks further on, until none is left), and Kasai's common prefixes, computed for
 many stretches of the text side by side, cut the order into runs of windows with equal bytes. A run repeats if
-its contexts have two members together. The windows of an anchor that is split over shards are compared across
-them by binary search in the merged order of their keys.
+its contexts have two members together. Shards are merged before they are sorted: equal windows of an anchor too
+frequent for one shard are brought together by the bytes they share (see repeats.py).
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankflow.llm.common import offsets, ragged, sliced
-from rankflow.llm.repeats import Windows, covered, keyed_rows, repeated_spans, shard_rows, span_lists, unpack, unpacked_sizes, whole_groups, window_keys
+from rankflow.llm.repeats import Windows, covered, keyed_rows, repeated_spans, span_lists, unpack, unpacked_sizes, window_runs
 
 GRAM = 32
 SHARD_BYTES = 1 << 20
-HOT_CLASSES = 4096
+HOT_CLASSES = 2048
 LANES = 1 << 13
 
 
@@ -109,7 +109,7 @@ def shard_spans(window: int):
         size = np.fromiter(map(len, contents), np.int64, len(contents))
         begin = offsets(size)
         text = np.frombuffer(b"".join(contents), np.uint8)
-        n, row, ident, first, part, windows = (classes.column(c).to_numpy() for c in ("n", "row", "id", "start", "part", "windows"))
+        n, row, first, windows = (classes.column(c).to_numpy() for c in ("n", "row", "start", "windows"))
         order = suffix_array(text)
         prefix = common_prefixes(text, order, window)
         run = np.zeros(len(text), np.int64)
@@ -120,46 +120,16 @@ def shard_spans(window: int):
         members = np.bincount(run[at], n[owner], len(text) + 1)
         repeated = members[run[at]] >= 2
         place = at - begin[owner] + first[owner]
-        edge = np.flatnonzero(np.r_[True, (np.diff(repeated.astype(np.int8)) != 0) | (np.diff(owner) != 0)]) if len(at) else np.zeros(0, np.int64)
-        last = np.r_[edge[1:], len(at)] - 1
-        edge, last = edge[repeated[edge]], last[repeated[edge]]
-        spans = (row[owner[edge]], place[edge], place[last] + window)
-        lone = np.flatnonzero(~repeated & (part[owner] >= 0))
-        # Repeats inside this shard are known to be removed already, but others elsewhere must find them.
-        seen = np.flatnonzero(repeated & (part[owner] >= 0))
-        keep = np.r_[lone, seen[np.unique(run[at[seen]], return_index=True)[1]]] if len(seen) else lone
-        key1, key2 = window_keys(text.astype(np.uint64) + np.uint64(1), at[keep], window)
-        rest = (row[owner[keep]], place[keep], key1, key2, ident[owner[keep]], part[owner[keep]])
-        return shard_rows(spans, rest)
+        return window_runs(repeated, owner, row, place, window)
 
     return work
 
 
-def merge_shards(window: int):
-    """Windows of a split anchor that another of its shards has too: each shard's keys are searched in all keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key1, key2, row, a in whole_groups(batches, [4, 5, 1, 2]):
-            key = mixed_pair(key1, key2)
-            everything = np.sort(key)
-            count = np.searchsorted(everything, key, "right") - np.searchsorted(everything, key, "left")
-            hit = count >= 2
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row[hit], a[hit], a[hit] + window)], names=["row", "a", "b"])
-
-    return run
-
-
-def mixed_pair(key1: np.ndarray, key2: np.ndarray) -> np.ndarray:
-    """A pair of keys as one sortable value of 16 bytes."""
-    pair = np.stack([key1, key2], axis=1).astype(">i8")
-    return np.ascontiguousarray(pair).view("S16").reshape(-1) if len(pair) else np.zeros(0, "S16")
-
-
 def repeated_byte_spans(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, candidate texts, spans): keyed rows, packed texts with repeats, and byte spans to remove per row."""
     rows = keyed_rows(docs, id_col, text_col)
     kind = Windows(window, min(GRAM, window), words=False)
-    texts, spans = repeated_spans(rows, kind, shard_spans(window), merge_shards(window), SHARD_BYTES, HOT_CLASSES)
+    texts, spans = repeated_spans(rows, kind, shard_spans(window), SHARD_BYTES, HOT_CLASSES)
     return rows, texts, span_lists(spans)
 
 

@@ -152,6 +152,57 @@ def test_suffix_array_dedup(spark, monkeypatch, make, split):
         assert any(x[2] for x in want)
 
 
+@pytest.mark.parametrize(("kind", "width"), [(repeats.Windows(400, 32, words=False), 47), (repeats.Windows(20, 5, words=True), 2), (repeats.Windows(20, 5, words=True), 1)])
+def test_narrowed_groups_keep_equal_windows_together(kind, width):
+    """Around one common anchor: equal windows meet in one group, and a class gives at most a few stretches."""
+    rng = random.Random(5)
+    pieces = [[rng.choice(words(rng, 40)).encode() for _ in range(90)] for _ in range(4)]
+    contexts, seen = {}, 0
+    for i in range(60):
+        left, right = rng.choice(pieces), rng.choice(pieces)
+        text = b" ".join(left[: rng.randrange(20, 90)] + pieces[0][:25] + right[rng.randrange(60) :])
+        for _, first, last, anchor in repeats.runs_of([text], kind):
+            for p, q, h in zip(first.tolist(), last.tolist(), anchor.view(np.int64).tolist(), strict=True):
+                symbols = text.split() if kind.words else text
+                part = symbols[p : q + kind.size]
+                contexts.setdefault(h, {})[b" ".join(part) if kind.words else part] = (i, p, q - p + 1)
+    assert repeats.narrowing_widths(kind)[-1] == 1 and width in repeats.narrowing_widths(kind)
+    for h, found in contexts.items():
+        columns = [[h] * len(found), [0] * len(found), [1] * len(found), [i for i, _, _ in found.values()], [i for i, _, _ in found.values()]]
+        columns += [[p for _, p, _ in found.values()], [n for _, _, n in found.values()]]
+        batch = pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array(list(found), pa.binary())], names=repeats.CLASS_COLUMNS)
+        rows = pa.Table.from_batches(list(repeats._narrow_task(kind, width)(iter([batch])))).to_pylist()
+        assert len(rows) <= len(found) * -(-(kind.size - kind.gram + 1) // width)
+        assert sum(r["windows"] for r in rows) == sum(n for _, _, n in found.values())
+        groups = {}
+        for r in rows:
+            symbols = r["content"].split() if kind.words else r["content"]
+            assert len(symbols) == r["windows"] + kind.size - 1
+            for w in range(r["windows"]):
+                window = symbols[w : w + kind.size]
+                assert groups.setdefault(tuple(window), r["anchor"]) == r["anchor"]
+                seen += 1
+            if width == 1:
+                assert r["windows"] == 1
+    assert seen > 1000
+
+
+@pytest.mark.parametrize("hot", [3, 40])
+def test_dedup_around_a_common_passage(spark, monkeypatch, hot):
+    """One passage in every text, with other words around it: its anchors have as many classes as there are texts."""
+    monkeypatch.setattr(suffix_dedup, "HOT_CLASSES", hot)
+    monkeypatch.setattr(automaton_dedup, "HOT_CLASSES", hot)
+    rng = random.Random(31)
+    passage, tails = " ".join(words(rng, 40)), [" ".join(words(rng, 30)) for _ in range(7)]
+    rows = [(i, " ".join(words(rng, 25)) + " " + passage + " " + rng.choice(tails) + " " + " ".join(words(rng, 5)), "en", "s", 1) for i in range(70)]
+    docs = documents(spark, rows)
+    plain = [(i, t) for i, t, *_ in rows]
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(tuple(r[c] for c in columns) for r in suffix_dedup.remove_repeats(docs, window=100).collect()) == slow_bytes(plain, 100)
+    got = automaton_dedup.remove_repeats(docs, window=12).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == slow_words(plain, 12)
+
+
 def test_contexts_of_texts_that_pack_small():
     """17 MiB of text in one slice of 20 KB: places must not run into the hash bits, and no slice may hold all."""
     kind = repeats.Windows(400, 32, words=False)
