@@ -10,10 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankflow.functions.ordering import top_per_group
+from rankflow.functions.ordering import bucketed_rank, time_levels, top_per_group
 from rankflow.functions.text import clean_text, ngram_terms, word_tokens
+from rankflow.sources.scratch import materialize
 
-HISTORY_BUCKET_SECONDS = 30 * 86400
 # Rows of a block of query terms and of postings, and the bounds of a task's arrays.
 QUERY_ROWS = 200_000
 POSTING_ROWS = 500_000
@@ -194,9 +194,10 @@ def retrieve_texts(index: TextIndex, texts: DataFrame, text_col: str = "query_te
 def user_history_terms(train: DataFrame, catalog: DataFrame, order: tuple[str, str] = ("timestamp", "row_key")) -> DataFrame:
     """(user_id, term, tf) of the joined texts of a user's positives, in row order.
 
-    Terms inside one text are counted per (user, product). Bigrams across two texts need the row
-    before: a lag within (user, 30 days), plus one small lag over the edges of those buckets, so a
-    very active user is spread over many tasks.
+    Terms inside one text are counted per (user, product). Bigrams across two texts need the row before: rows get
+    their position among the user's rows (counts per bucket of day, second and digits of the tie key, windows only
+    inside a bucket), and meet their neighbour by (user, position). So a very active user is spread over many tasks,
+    however close in time the rows are. ``order``: seconds, and a text tie key of even first digits such as an md5.
     """
     tokens = word_tokens(F.col("cleaned_text"))
     docs = catalog.select("product_id", tokens.alias("t")).where(F.size("t") > 0)
@@ -207,19 +208,12 @@ def user_history_terms(train: DataFrame, catalog: DataFrame, order: tuple[str, s
     inside = repeats.join(docs.select("product_id", "terms"), "product_id").select(
         "user_id", "n", F.explode("terms").alias("term")
     )
-    rows = positives.join(docs.select("product_id", "head", "tail"), "product_id").select(
-        "user_id", F.struct(*order).alias("at"), F.floor(F.col(order[0]) / HISTORY_BUCKET_SECONDS).alias("b"), "head", "tail"
-    )
-    pair = F.concat_ws(" ", "prev", "head").alias("term")
-    near = rows.withColumn("prev", F.lag("tail").over(W.partitionBy("user_id", "b").orderBy("at")))
-    edges = rows.groupBy("user_id", "b").agg(F.min_by("head", "at").alias("head"), F.max_by("tail", "at").alias("tail"))
-    far = edges.withColumn("prev", F.lag("tail").over(W.partitionBy("user_id").orderBy("b")))
-    one = F.lit(1).cast("long").alias("n")
-    across = [d.where(F.col("prev").isNotNull()).select("user_id", one, pair) for d in (near, far)]
-    return (
-        inside.unionByName(across[0]).unionByName(across[1])
-        .groupBy("user_id", "term").agg(F.sum("n").alias("tf"))
-    )
+    rows = positives.join(docs.select("product_id", "head", "tail"), "product_id").select("user_id", *order, "head", "tail")
+    # Stored: both sides of the join below must see the same positions, and read them once.
+    rows = materialize(bucketed_rank(rows, "at", ["user_id"], time_levels(*order), [F.col(order[1])]).select("user_id", "at", "head", "tail"), "history")
+    before = rows.select("user_id", (F.col("at") + 1).alias("at"), F.col("tail").alias("prev"))
+    across = rows.join(before, ["user_id", "at"]).select("user_id", F.lit(1).cast("long").alias("n"), F.concat_ws(" ", "prev", "head").alias("term"))
+    return inside.unionByName(across).groupBy("user_id", "term").agg(F.sum("n").alias("tf"))
 
 
 def retrieve_for_users(index: TextIndex, train: DataFrame, catalog: DataFrame, k: int = 200) -> DataFrame:

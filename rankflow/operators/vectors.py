@@ -5,19 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rankflow.functions.hashing import seeded_int
 from rankflow.functions.ordering import top_per_group
 from rankflow.functions.text import word_tokens
-from rankflow.functions.vecmath import l2_normalize
+from rankflow.functions.vecmath import l2_normalize, sum_vectors
+from rankflow.sources.scratch import materialize
 
 # Vector elements per block: about 32 MB of doubles on the catalog side.
 QUERY_ELEMENTS = 1_000_000
 CATALOG_ELEMENTS = 4_000_000
 SCORE_DIGITS = 9
+# Below this many pairs of blocks all are searched: finding bounds would cost more than the products it saves.
+BOUNDED_PAIRS = 64
+PIVOTS_PER_BLOCK = 4
+# Allowance of a bound for rounded scores, absolute and as a share of the lengths involved.
+SLACK, RELATIVE_SLACK = 1e-8, 1e-9
 
 
 def _block_search(k: int, metric: str, by_cell: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -122,14 +129,135 @@ def _best(partial: DataFrame, k: int, metric: str) -> DataFrame:
     return ranked.select("query_key", F.col("rank").cast("int").alias("rank"), "item_id", "score")
 
 
+def _distance(a: str, b: str) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda total, x: total + x))
+
+
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+
+def place_in_blocks(rows: DataFrame, key: str, elements: int, block: str) -> tuple[DataFrame, DataFrame]:
+    """Neighbouring vectors in blocks of about ``elements``: (key, vec, block), and (block, center, radius, n).
+
+    Each vector goes to the nearest of some sampled vectors, a few per block that is needed. A cell above the size,
+    such as that of one vector that many rows share, is split by hash into blocks of the same center.
+    """
+    n = rows.agg(_blocks(elements).alias("n")).first()["n"] or 1
+    picked = rows.orderBy(F.md5(F.col(key).cast("string")), key).limit(PIVOTS_PER_BLOCK * n)
+    picked = picked.groupBy("vec").agg(F.min(key).alias("_id"))
+    number = F.row_number().over(W.orderBy(F.md5(F.col("_id").cast("string")), "_id")).cast("long")
+    pivots = materialize(picked.select(number.alias("cell"), F.col("vec").alias("center")), "pivots")
+    near = block_topk(
+        rows.select(F.col(key).alias("query_key"), "vec"), pivots.select(F.col("cell").alias("item_id"), F.col("center").alias("vec")), 1, "l2", by_cell=False
+    )
+    near = _best(near, 1, "l2").select(F.col("query_key").alias(key), F.col("item_id").alias("cell"))
+    placed = rows.select(key, "vec").join(near, key).join(pivots, "cell").select(key, "vec", "cell", "center", _distance("vec", "center").alias("far"))
+    placed = materialize(placed, "placed")
+    parts = placed.groupBy("cell").agg(_blocks(elements).alias("parts"))
+    number = F.shiftleft("cell", 24) + F.pmod(F.xxhash64(key), F.col("parts"))
+    placed = materialize(placed.join(parts, "cell").select(key, "vec", "center", "far", number.alias(block)), "blocks")
+    blocks = placed.groupBy(block).agg(F.first("center").alias("center"), F.max("far").alias("radius"), F.count(F.lit(1)).alias("n"))
+    return placed.select(key, "vec", block), materialize(blocks, "block-radii")
+
+
+def _bounds_task(metric: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For every pair of blocks the best score that any of its pairs of vectors can have, higher being better."""
+    slack, relative = SLACK, RELATIVE_SLACK
+
+    def bounds(queries: pa.Table, catalog: pa.Table) -> pa.Table:
+        import numpy as np
+
+        def side(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            center = t.column("center").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+            return center, np.linalg.norm(center, axis=1), t.column("radius").to_numpy()
+
+        out = []
+        if queries.num_rows and catalog.num_rows:
+            (q, q_len, q_far), (c, c_len, c_far) = side(queries), side(catalog)
+            for i in range(len(q)):
+                if metric == "ip":
+                    best = c @ q[i] + q_len[i] * c_far + q_far[i] * (c_len + c_far)
+                else:
+                    best = -(np.maximum(np.linalg.norm(c - q[i], axis=1) - q_far[i] - c_far, 0.0) ** 2)
+                out.append(best + slack + relative * (q_len[i] + q_far[i] + c_len + c_far) ** 2)
+        at = np.arange(queries.num_rows * catalog.num_rows)
+        rows, columns = (at // catalog.num_rows, at % catalog.num_rows) if len(at) else (at, at)
+        return pa.table({
+            "qblock": queries.column("qblock").take(pa.array(rows)), "cblock": catalog.column("cblock").take(pa.array(columns)),
+            "n": catalog.column("n").take(pa.array(columns)), "bound": pa.array(np.concatenate(out) if out else np.zeros(0)),
+        })
+
+    return bounds
+
+
+def _block_bounds(qblocks: DataFrame, cblocks: DataFrame, metric: str) -> DataFrame:
+    """(qblock, cblock, n, bound) of all pairs of blocks, in groups of bounded size on both sides."""
+    count = lambda df, elements: df.agg(F.ceil(F.count(F.lit(1)) * F.max(F.size("center")) / elements).cast("long").alias("n")).first()["n"] or 1
+    nq, nc = count(qblocks, QUERY_ELEMENTS), count(cblocks, CATALOG_ELEMENTS)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = qblocks.select("qblock", "center", "radius", F.pmod(F.xxhash64("qblock"), F.lit(nq)).alias("i"), each(nc).alias("j"))
+    c = cblocks.select("cblock", "center", "radius", "n", each(nq).alias("i"), F.pmod(F.xxhash64("cblock"), F.lit(nc)).alias("j"))
+    pairs = q.groupBy("i", "j").cogroup(c.groupBy("i", "j"))
+    return pairs.applyInArrow(_bounds_task(metric), "qblock long, cblock long, n long, bound double")
+
+
+def bounded_topk(queries: DataFrame, catalog: DataFrame, k: int, metric: str = "ip") -> tuple[DataFrame, DataFrame]:
+    """(candidates, pairs): rows that hold each query's exact top k, and which pairs of blocks were searched.
+
+    Vectors lie in blocks with a center and a radius, which bound the score of any pair of vectors of two blocks
+    (Cauchy-Schwarz for products, the triangle inequality for distances). Each query block is first searched in the
+    blocks of the best bounds that hold k vectors together. That gives every query a kth score, and only blocks whose
+    bound reaches it, for a block of queries and then for the query itself, are searched further.
+    """
+    q, qblocks = place_in_blocks(queries, "query_key", QUERY_ELEMENTS, "qblock")
+    c, cblocks = place_in_blocks(catalog, "item_id", CATALOG_ELEMENTS, "cblock")
+    ahead = W.partitionBy("qblock").orderBy(F.desc("bound"), "cblock").rowsBetween(W.unboundedPreceding, -1)
+    bounds = _block_bounds(qblocks, cblocks, metric)
+    bounds = materialize(bounds.withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0)) < k), "block-bounds")
+    fields = [queries.schema["query_key"], catalog.schema["item_id"], T.StructField("score", T.DoubleType())]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+
+    def search(asked: DataFrame, pairs: DataFrame) -> DataFrame:
+        keys = ["qblock", "cblock"]
+        # Aliases give each side columns of its own: both come from the same pairs.
+        own = [F.col(name).alias(name) for name in keys]
+        asked = asked.select("query_key", "vec", *own)
+        stored = c.join(pairs, "cblock").select("item_id", "vec", *own)
+        return asked.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInArrow(_block_search(k, metric, False), schema)
+
+    nearest = bounds.where("first").select("qblock", "cblock")
+    found = materialize(search(q.join(nearest, "qblock"), nearest), "nearest-lists")
+    order = F.desc("score") if metric == "ip" else F.asc("score")
+    worth = F.col("score") if metric == "ip" else -F.col("score")
+    kth = top_per_group(found, ["query_key"], [order, F.asc("item_id")], k).where(F.col("rank") == k).select("query_key", worth.alias("kth"))
+    known = q.join(kth, "query_key", "left").withColumn("kth", F.coalesce("kth", F.lit(float("-inf"))))
+    limits = known.groupBy("qblock").agg(F.min("kth").alias("limit"))
+    rest = bounds.where(~F.col("first")).join(limits, "qblock").where("bound >= limit").select("qblock", "cblock")
+    asked = known.join(rest, "qblock").join(cblocks.select("cblock", "center", "radius"), "cblock")
+    length, far = F.sqrt(_dot("vec", "vec")), F.sqrt(_dot("center", "center")) + F.col("radius")
+    gap = F.greatest(_distance("vec", "center") - F.col("radius"), F.lit(0.0))
+    best = _dot("vec", "center") + length * F.col("radius") if metric == "ip" else -gap * gap
+    best = best + F.lit(SLACK) + F.lit(RELATIVE_SLACK) * (length + far) * (length + far)
+    asked = materialize(asked.where(best >= F.col("kth")).select("query_key", "qblock", "cblock"), "open-searches")
+    more = asked.select("qblock", "cblock").distinct()
+    found = found.unionByName(search(asked.join(q.select("query_key", "vec"), "query_key"), more))
+    return found, nearest.unionByName(more)
+
+
 def exact_topk(queries: DataFrame, catalog: DataFrame, k: int = 100, metric: str = "ip") -> DataFrame:
     """(query_key, rank, item_id, score) by inner product, or by squared L2 distance.
 
     Inputs: (query_key, vec) and (item_id, vec) with ARRAY<DOUBLE> vectors. Score ties (equal to 9
-    digits) go to the smaller id.
+    digits) go to the smaller id. Beyond a few blocks, pairs of blocks that cannot hold a result are left out.
     """
+    if metric not in ("ip", "l2"):
+        raise ValueError(f"unknown metric: {metric}")
     q, c = queries.select("query_key", "vec"), catalog.select("item_id", "vec")
-    return _best(block_topk(q, c, k, metric, by_cell=False), k, metric)
+    blocks = [df.agg(_blocks(n).alias("n")).first()["n"] or 0 for df, n in ((q, QUERY_ELEMENTS), (c, CATALOG_ELEMENTS))]
+    if blocks[0] * blocks[1] < BOUNDED_PAIRS:
+        return _best(block_topk(q, c, k, metric, by_cell=False), k, metric)
+    return _best(bounded_topk(q, c, k, metric)[0], k, metric)
 
 
 def assign_cells(items: DataFrame, centroids: DataFrame, key: str = "item_id", metric: str = "ip") -> DataFrame:
@@ -140,20 +268,29 @@ def assign_cells(items: DataFrame, centroids: DataFrame, key: str = "item_id", m
     return items.join(near, key)
 
 
+def _probes(queries: DataFrame, centroids: DataFrame, nprobe: int, metric: str) -> DataFrame:
+    """(query_key, cell, probe_rank) of every query's nearest cells."""
+    if nprobe < 1:
+        raise ValueError("nprobe must be >= 1")
+    c = centroids.select(F.col("cell").alias("item_id"), "vec")
+    near = exact_topk(queries.select("query_key", "vec"), c, nprobe, metric)
+    return near.select("query_key", F.col("item_id").alias("cell"), F.col("rank").alias("probe_rank"))
+
+
+def _search_cells(queries: DataFrame, probes: DataFrame, placed: DataFrame, k: int, metric: str) -> DataFrame:
+    q = queries.select("query_key", "vec").join(probes.drop("probe_rank"), "query_key")
+    found = block_topk(q, placed, k, metric)
+    return found.join(probes, ["query_key", "cell"]).select("query_key", "probe_rank", "item_id", "score")
+
+
 def ivf_partial(queries: DataFrame, catalog: DataFrame, centroids: DataFrame, k: int, nprobe: int, metric: str = "ip") -> DataFrame:
     """(query_key, probe_rank, item_id, score): the k best of each cell among a query's nprobe nearest.
 
     The list for any smaller nprobe is the best of its rows up to that probe rank (``ivf_lists``), so a
     recall curve over nprobe costs one search.
     """
-    if nprobe < 1:
-        raise ValueError("nprobe must be >= 1")
-    c = centroids.select(F.col("cell").alias("item_id"), "vec")
-    probes = exact_topk(queries.select("query_key", "vec"), c, nprobe, metric)
-    probes = probes.select("query_key", F.col("item_id").alias("cell"), F.col("rank").alias("probe_rank"))
-    q = queries.select("query_key", "vec").join(probes.drop("probe_rank"), "query_key")
-    found = block_topk(q, assign_cells(catalog.select("item_id", "vec"), centroids, metric=metric), k, metric)
-    return found.join(probes, ["query_key", "cell"]).select("query_key", "probe_rank", "item_id", "score")
+    probes = _probes(queries, centroids, nprobe, metric)
+    return _search_cells(queries, probes, assign_cells(catalog.select("item_id", "vec"), centroids, metric=metric), k, metric)
 
 
 def ivf_lists(partial: DataFrame, k: int, nprobe: int, metric: str = "ip") -> DataFrame:
@@ -170,6 +307,39 @@ def ivf_topk(
     return ivf_lists(ivf_partial(queries, catalog, centroids, k, nprobe, metric), k, nprobe, metric)
 
 
+def store_cells(catalog: DataFrame, centroids: DataFrame, path: str, metric: str = "ip") -> None:
+    """Write (item_id, vec) as an inverted file: a table partitioned by cell. A large cell is several files."""
+    placed = materialize(assign_cells(catalog.select("item_id", "vec"), centroids, metric=metric), "placed")
+    parts = placed.groupBy("cell").agg(_blocks(CATALOG_ELEMENTS).alias("parts"))
+    dealt = placed.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts")))
+    dealt.repartition("cell", "part").select("item_id", "vec", "cell").write.partitionBy("cell").parquet(path)
+
+
+def read_cells(spark: SparkSession, path: str, cells: list, item_type: str = "long", cell_type: str = "long") -> DataFrame:
+    """(item_id, vec, cell) of the given cells of an inverted file; the folders of other cells are not opened."""
+    stored = spark.read.schema(f"item_id {item_type}, vec array<double>, cell {cell_type}").parquet(path)
+    return stored.where(F.col("cell").isin(cells))
+
+
+def stored_ivf_topk(queries: DataFrame, path: str, centroids: DataFrame, k: int = 100, nprobe: int = 16, metric: str = "ip", item_type: str = "long") -> DataFrame:
+    """E5 over a stored inverted file: only the cells that some query probes are read.
+
+    The probed cells are listed on the driver: at most as many ids as there are centroids.
+    """
+    probes = materialize(_probes(queries, centroids, nprobe, metric), "probes")
+    cells = [row["cell"] for row in probes.select("cell").distinct().collect()]
+    placed = read_cells(queries.sparkSession, path, cells, item_type, probes.schema["cell"].dataType.simpleString())
+    return ivf_lists(_search_cells(queries, probes, placed, k, metric), k, nprobe, metric)
+
+
+def refine_centroids(catalog: DataFrame, centroids: DataFrame, steps: int = 2) -> DataFrame:
+    """Lloyd steps from given centroids: each becomes the mean of the vectors nearest to it; one without any goes."""
+    for _ in range(steps):
+        placed = assign_cells(catalog.select("item_id", "vec"), centroids, metric="l2")
+        centroids = materialize(sum_vectors(placed, ["cell"], "vec", "vec", mean=True), "centroids")
+    return centroids
+
+
 def sample_centroids(catalog: DataFrame, nlist: int) -> DataFrame:
     """Coarse centroids: the nlist vectors with the smallest md5 of their id (all, if there are fewer)."""
     picked = catalog.orderBy(F.md5(F.col("item_id").cast("string")), "item_id").limit(max(1, int(nlist)))
@@ -185,8 +355,6 @@ def train_centroids(catalog: DataFrame, nlist: int, seed: int = 42, max_iter: in
     spark = catalog.sparkSession
     data = catalog.select(array_to_vector("vec").alias("features"))
     if nlist == 1:
-        from rankflow.functions.vecmath import sum_vectors
-
         return sum_vectors(catalog, [], "vec", "vec", mean=True).select(F.lit(0).alias("cell"), "vec")
     model = KMeans(k=nlist, seed=seed, maxIter=max_iter).fit(data)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(model.clusterCenters())]

@@ -64,10 +64,11 @@ def test_score_candidates_and_reload(spark, docs):
     assert sorted(map(tuple, D.retrieve_texts(again, q).collect())) == sorted(map(tuple, D.retrieve_texts(index, q).collect()))
 
 
-def test_user_history_terms_cross_texts_and_buckets(spark, docs, monkeypatch):
-    monkeypatch.setattr(D, "HISTORY_BUCKET_SECONDS", 10)
+@pytest.mark.parametrize("dense", [False, True])
+def test_user_history_terms_cross_texts(spark, docs, dense):
+    """Also for users whose rows are all within a second."""
     rng = random.Random(6)
-    rows = [(f"u{rng.randint(1, 3)}", f"p{rng.randint(1, 5)}", rng.randint(0, 60), f"{i:03d}", rng.randint(0, 1)) for i in range(80)]
+    rows = [(f"u{rng.randint(1, 3)}", f"p{rng.randint(1, 5)}", rng.randint(5, 5) if dense else rng.randint(0, 400_000), hashlib.md5(b"%d" % i).hexdigest(), rng.randint(0, 1)) for i in range(200)]
     train = spark.createDataFrame(rows, "user_id string, product_id string, timestamp long, row_key string, label int")
     got = {(r["user_id"], r["term"]): r["tf"] for r in D.user_history_terms(train, docs).collect()}
     want = {}
@@ -81,6 +82,21 @@ def test_user_history_terms_cross_texts_and_buckets(spark, docs, monkeypatch):
     assert ranked.where("user_id = 'unknown'").count() == 0 and ranked.count() > 0
 
 
+def test_user_history_of_a_dense_month(spark, docs):
+    """One user with 100,000 rows in a month: no window holds them all."""
+    n = 100_000
+    train = spark.range(n).select(
+        F.lit("u").alias("user_id"), F.concat(F.lit("p"), (F.col("id") % 4 + 1).cast("string")).alias("product_id"),
+        (F.col("id") % 2_000_000).alias("timestamp"), F.md5(F.col("id").cast("string")).alias("row_key"), F.lit(1).alias("label"),
+    )
+    terms = D.user_history_terms(train, docs)
+    got = {r["term"]: r["tf"] for r in terms.collect()}
+    first, last = [t.split()[0] for t in TEXTS], [t.split()[-1] for t in TEXTS]
+    across = {f"{last[i]} {first[(i + 1) % 4]}": n // 4 - (i == 3) for i in range(4)}
+    assert {t: c for t, c in got.items() if t in across} == across
+    assert sum(got.values()) == n * 7 + n - 1
+
+
 def vectors(spark, m, name):
     return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], f"{name} long, vec array<double>")
 
@@ -116,6 +132,59 @@ def test_ivf_is_exact_when_all_cells_are_probed(spark, monkeypatch):
     assert E.recall_against_exact(exact, empty).collect()[0]["recall"] == 0.0
 
 
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_bounded_search_skips_blocks_and_loses_nothing(spark, monkeypatch, metric):
+    """Clustered vectors, one of them 150 times: the same rows as brute force, from a part of the pairs of blocks."""
+    monkeypatch.setattr(E, "QUERY_ELEMENTS", 20 * 6)
+    monkeypatch.setattr(E, "CATALOG_ELEMENTS", 30 * 6)
+    rng = np.random.default_rng(7)
+    center = 4 * rng.normal(size=(12, 6))
+    c = np.round(center[rng.integers(0, 12, 600)] + 0.1 * rng.normal(size=(600, 6)), 3)
+    c[:150] = c[0]
+    q = np.round(center[rng.integers(0, 12, 90)] + 0.1 * rng.normal(size=(90, 6)), 3)
+    found, pairs = E.bounded_topk(vectors(spark, q, "query_key"), vectors(spark, c, "item_id"), 8, metric)
+    got = E._best(found, 8, metric).collect()
+    s = np.round(q @ c.T if metric == "ip" else -((q[:, None] - c[None]) ** 2).sum(2), 9)
+    for i in range(len(q)):
+        want = sorted(range(600), key=lambda j: (-s[i, j], j))[:8]
+        assert [r["item_id"] for r in sorted((r for r in got if r["query_key"] == i), key=lambda r: r["rank"])] == want
+    searched = pairs.collect()
+    n_q, n_c = len({p["qblock"] for p in searched}), E.place_in_blocks(vectors(spark, c, "item_id"), "item_id", 30 * 6, "cblock")[1].count()
+    assert len(set(searched)) == len(searched)
+    assert n_c >= 20 and len(searched) < 0.5 * n_q * n_c, (len(searched), n_q, n_c)
+
+
+def test_stored_cells_are_pruned(spark, monkeypatch):
+    monkeypatch.setattr(E, "CATALOG_ELEMENTS", 40 * 4)
+    rng = np.random.default_rng(9)
+    m = 3 * rng.normal(size=(10, 4))[rng.integers(0, 10, 500)] + rng.normal(size=(500, 4)) * 0.2
+    items = vectors(spark, m, "item_id")
+    cells = E.refine_centroids(items, E.sample_centroids(items, 16), 2)
+    path = scratch_path(spark, "cells")
+    E.store_cells(items, cells, path, "l2")
+    queries = vectors(spark, m, "query_key").where("query_key % 100 = 0")
+    got = E.stored_ivf_topk(queries, path, cells, 5, 2, "l2")
+    want = E.ivf_topk(queries, items, cells, 5, 2, "l2")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    exact = E.exact_topk(queries, items, 5, "l2")
+    assert E.recall_against_exact(got, exact).collect()[0]["recall"] > 0.9
+    read = E.read_cells(spark, path, [r["cell"] for r in cells.limit(2).collect()])
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan
+    assert read.select("cell").distinct().count() == 2 < cells.count()
+
+
+def test_refined_centroids_are_means(spark):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(60, 3))
+    got = {r["cell"]: r["vec"] for r in E.refine_centroids(vectors(spark, m, "item_id"), E.sample_centroids(vectors(spark, m, "item_id"), 5), 1).collect()}
+    start = sorted(range(60), key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))[:5]
+    own = [min(start, key=lambda j: (round(((m[i] - m[j]) ** 2).sum(), 9), j)) for i in range(60)]
+    assert set(got) == set(own)
+    for j, v in got.items():
+        assert v == pytest.approx(m[[i for i in range(60) if own[i] == j]].mean(0))
+
+
 def test_trial_choice(spark):
     t = spark.createDataFrame([(64, 20.0, 0.05), (128, 30.0, 0.01), (256, 40.0, 0.005), (512, 60.0, 0.0)], "nlist int, cost double, recall_drop double")
     got = {r["nlist"]: r for r in E.judge_trials(t).collect()}
