@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rankflow.sources.scratch import materialize
+
 # The record keys of the review files, and the column each one becomes.
 RECORD_FIELDS = {
     "user_id": "review/userId",
@@ -20,16 +26,61 @@ def _strip(col: Column) -> Column:
     return F.regexp_replace(col, r"^\s+|\s+$", "")
 
 
-def record_blocks(spark: SparkSession, path: str, crlf: bool = False) -> DataFrame:
-    """One row per record: text separated by lines that are empty or hold only white space.
-
-    The source splits files at empty lines, so a large plain file is read by many tasks; runs of
-    blank lines and lines of spaces are split again here. (A .gz file is always one task.)
+#: What an empty line may hold.
+BLANK = " \t\x0b\f\r"
+PIECES_BYTES = 4 << 20
+
+
+def _record_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of splits, in order -> (file, at, kind, text): 0 before a split's first empty line or without one, 1
+    between two of them, 2 after the last. ``closed`` marks the piece that an empty line ends."""
+    out: list[tuple] = []
+    size = 0
+    split, lines, seen = None, [], False
+
+    def flush() -> pa.RecordBatch:
+        nonlocal size
+        columns = list(zip(*out, strict=True)) if out else [[]] * 5
+        out.clear()
+        size = 0
+        types = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["file", "at", "kind", "closed", "text"])
+
+    for batch in batches:
+        for file, at, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (file, at) != split:
+                if lines:
+                    out.append((*split, 2 if seen else 0, False, "\n".join(lines)))
+                split, lines, seen = (file, at), [], False
+            if line.strip(BLANK):
+                lines.append(line)
+                size += len(line)
+            elif lines or not seen:
+                out.append((*split, 1 if seen else 0, True, "\n".join(lines)))
+                lines, seen = [], True
+            if size >= PIECES_BYTES and not lines:
+                yield flush()
+    if lines:
+        out.append((*split, 2 if seen else 0, False, "\n".join(lines)))
+    yield flush()
+
+
+def record_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """One row per record: text separated by lines that are empty or hold only white space, with any line ends.
+
+    Files are read as lines, so a large plain file is read by many tasks, whatever its separators. A task puts the
+    lines of its splits together; only the first and last piece of a split may belong to a record that goes over
+    the edge, and these few rows are joined in the order of the file. (A .gz file is always one task.)
     """
-    raw = spark.read.option("lineSep", "\r\n\r\n" if crlf else "\n\n").text(path)
-    text = F.regexp_replace("value", "\r\n", "\n")
-    blocks = raw.select(F.explode(F.split(text, r"\n[^\S\n]*(?=\n)")).alias("block"))
-    return blocks.where(F.length(_strip(F.col("block"))) > 0)
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("at"), "value")
+    pieces = materialize(lines.mapInArrow(_record_pieces, "file string, at long, kind int, closed boolean, text string"), "records")
+    # Pieces of one record have the same number of splits with an empty line before them.
+    edges = pieces.where("kind <> 1")
+    before = W.partitionBy("file").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, -1)
+    numbered = edges.withColumn("record", F.coalesce(F.sum(F.col("closed").cast("int")).over(before), F.lit(0)))
+    parts = F.sort_array(F.collect_list(F.struct("at", "kind", "text")))
+    joined = numbered.where("text <> ''").groupBy("file", "record").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("block"))
+    return pieces.where("kind = 1").select(F.col("text").alias("block")).unionByName(joined.select("block"))
 
 
 def parse_fields(blocks: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -52,10 +103,10 @@ def parse_fields(blocks: DataFrame, fields: dict[str, str]) -> DataFrame:
 
 
 def load_reviews(
-    spark: SparkSession, path: str, fields: dict[str, str] | None = None, id_type: str = "string", crlf: bool = False
+    spark: SparkSession, path: str, fields: dict[str, str] | None = None, id_type: str = "string"
 ) -> DataFrame:
     """A1: typed review records; records without a user are dropped."""
-    rows = parse_fields(record_blocks(spark, path, crlf), fields or RECORD_FIELDS)
+    rows = parse_fields(record_blocks(spark, path), fields or RECORD_FIELDS)
     return rows.where(F.col("user_id") != "").select(
         F.col("user_id").cast(id_type).alias("user_id"),
         F.col("product_id").cast(id_type).alias("product_id"),

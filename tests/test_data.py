@@ -112,6 +112,25 @@ def test_record_parser_edge_cases(spark):
     assert got["u3"]["score"] is None and got["u3"]["timestamp"] == 7 and got["u3"]["summary"] == ""
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_records_parted_by_lines_of_spaces_are_read_by_many_tasks(spark, tmp_path, end):
+    """A file whose separators are lines of spaces, with records longer than a split: all are whole, whatever the splits."""
+    rng, blocks = random.Random(17), []
+    for i in range(400):
+        lines = [f"review/userId: u{i}", "product/productId: p", *(f"note/{j}: {'x' * rng.randrange(60)}" for j in range(rng.choice((1, 3, 200))))]
+        blocks.append(lines)
+    text = (" \t" + end) + "".join(end.join(b) + end + rng.choice((" ", "", "\t")) + end + rng.choice(("", "  " + end)) for b in blocks)
+    (tmp_path / "reviews.txt").write_bytes(text.rstrip().encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        got = [r["block"].split("\n") for r in records.record_blocks(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(got) == sorted(blocks)
+
+
 def test_summary_join_keeps_rows_unless_asked(spark):
     r = spark.createDataFrame([("u", "p", 1), ("u", "q", 2)], "user_id string, product_id string, n int")
     s = spark.createDataFrame([("u", "p", "x"), ("u", "p", "y")], "user_id string, product_id string, summary string")
