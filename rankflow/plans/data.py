@@ -64,7 +64,7 @@ def a4(spark, sf):
 @query("a5_write_split_tables", sql("SELECT user_id, product_id, score, timestamp, label, split FROM splits", "splits"))
 def a5(spark, sf):
     path = scratch_path(spark, "splits")
-    rows = V.splits(spark, sf).select("user_id", "product_id", "score", "timestamp", "label", "split")
+    rows = V.split_table(spark, sf).select("user_id", "product_id", "score", "timestamp", "label", "split")
     tables.write_splits(rows, path)
     return tables.read_split(spark, path)
 
@@ -91,7 +91,7 @@ def _served_pages(spark, sf):
 
     One list per category keeps the page a join on a small table.
     """
-    train = V.one_split(spark, sf, "train")
+    train = V.split_rows(spark, sf, "train")
     cat = C.category_lookup(V.rich_catalog(spark, sf))
     counts = train.join(cat, "product_id").groupBy("category", "product_id").agg(F.count(F.lit(1)).alias("n"))
     lists = V.D.top_per_group(counts, ["category"], [F.desc("n"), F.asc("product_id")], 10).select(
@@ -217,7 +217,7 @@ def b2(spark, sf):
 
 @query("b3_time_split", sql("SELECT split, user_id, product_id, timestamp, row_key FROM splits", "splits"))
 def b3(spark, sf):
-    return V.splits(spark, sf).select("split", "user_id", "product_id", "timestamp", "row_key")
+    return V.split_table(spark, sf).select("split", "user_id", "product_id", "timestamp", "row_key")
 
 
 @query(
@@ -230,7 +230,7 @@ def b3(spark, sf):
     ),
 )
 def b4(spark, sf):
-    return B.split_ranges(V.splits(spark, sf))
+    return B.split_ranges(V.split_table(spark, sf))
 
 
 @query(
@@ -242,7 +242,7 @@ def b4(spark, sf):
     ),
 )
 def b5(spark, sf):
-    s = V.splits(spark, sf)
+    s = V.split_table(spark, sf)
     return B.repeat_users(s.where("split = 'train'"), s.where("split = 'test'"))
 
 
@@ -266,7 +266,7 @@ def _stat_sql(scope: str, where: str) -> str:
     ),
 )
 def b6(spark, sf):
-    return B.dataset_statistics(V.splits(spark, sf), fixtures.brands(spark, sf))
+    return B.dataset_statistics(V.split_table(spark, sf), fixtures.brands(spark, sf))
 
 
 @query(
