@@ -201,8 +201,9 @@ def user_history_terms(train: DataFrame, catalog: DataFrame, order: tuple[str, s
     """
     tokens = word_tokens(F.col("cleaned_text"))
     docs = catalog.select("product_id", tokens.alias("t")).where(F.size("t") > 0)
+    # Merged, as the catalog's file is much smaller than its rows, which must not be broadcast by the file's size.
     docs = docs.select("product_id", ngram_terms(F.col("t")).alias("terms"), F.col("t")[0].alias("head"),
-                       F.element_at("t", -1).alias("tail"))
+                       F.element_at("t", -1).alias("tail")).hint("merge")
     positives = train.where(F.col("label") == 1).select("user_id", "product_id", *order)
     repeats = positives.groupBy("user_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
     inside = repeats.join(docs.select("product_id", "terms"), "product_id").select(
@@ -222,13 +223,17 @@ def retrieve_for_users(index: TextIndex, train: DataFrame, catalog: DataFrame, k
 
 
 def score_candidates(index: TextIndex, candidates: DataFrame, text_col: str = "query_text") -> DataFrame:
-    """Cosine of every given (query text, product) pair; 0.0 for unknown ids or empty text."""
+    """Cosine of every given (query text, product) pair; 0.0 for unknown ids or empty text.
+
+    The postings are sorted and merged: by the size of the well compressed catalog file they would pass for a table
+    small enough to broadcast, which is then built whole in the driver.
+    """
     pairs = candidates.select(text_col, "product_id").distinct().withColumn("_clean", clean_text(F.col(text_col)))
     counts = term_counts(pairs.select("_clean").distinct(), "_clean", F.col("_clean"))
     q = _weighted(counts, "_clean", index.terms).withColumnRenamed("weight", "wq")
     scores = (
         pairs.join(q, "_clean")
-        .join(index.postings, ["product_id", "term"])
+        .join(index.postings.hint("merge"), ["product_id", "term"])
         .groupBy(text_col, "product_id")
         .agg(F.round(F.sum(F.col("wq") * F.col("weight")), 9).alias("tfidf_score"))
     )
