@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rankflow.operators import rerank as H
+from rankflow.operators import text_index as D
 from rankflow.plans import registry
 from rankflow.plans import views as V
 
@@ -46,3 +48,28 @@ def test_the_split_search_does_not_repeat_the_joins(spark, tables):
     sizes = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
     n = sum(sizes.values())
     assert (sizes["train"], sizes["train"] + sizes["val"]) == (n * 70 // 100, n * 85 // 100)
+
+
+def test_stored_and_moved_requests_hold_no_candidates(spark, tables):
+    stored = V.explore_requests(spark, tables, "test")
+    assert stored.count() > 0 and not any(t.startswith("array") for _, t in stored.dtypes)
+    # Requests get their user's map first: the lists come with the last join, and nothing above it is moved.
+    above = plan(V.packed_requests(spark, tables, "test")).split("Join")[0]
+    assert "Repartition" not in above and "transform" in above
+
+
+def test_lists_are_ordered_in_their_rows(spark, tables):
+    packed = V.packed_requests(spark, tables, "test")
+    score = lambda c: F.round(c["similarity_score"] * 2, 1)
+    got = H.reordered(packed, score)
+    assert "Window" not in plan(got)
+    rows = V.features(spark, tables, "test").withColumn("s", F.round(F.col("similarity_score") * 2, 1))
+    want = H.ordered_lists(rows, "s")
+    assert got.count() > 0 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+
+
+def test_postings_are_never_broadcast_by_the_size_of_the_catalog_file(spark, tables):
+    pairs = spark.createDataFrame([("red paint", 1), ("blue bolt", 2)], "query_text string, product_id long")
+    scored = D.score_candidates(V.text_index(spark, tables), pairs)
+    assert any("Join" in line and "hints" not in line and "rightHint=(strategy=merge)" in line for line in plan(scored).splitlines())
+    assert scored.count() == 2
