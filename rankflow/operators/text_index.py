@@ -20,14 +20,24 @@ POSTING_ROWS = 500_000
 DENSE_CELLS = 4_000_000
 PAIRS_AT_ONCE = 4_000_000
 SCORE_DIGITS = 9
+# Characters of text whose terms are counted in one partition.
+TEXT_CHARS = 4_000_000
 
 
 @dataclass
 class TextIndex:
-    """``terms`` (term, df, idf) and ``postings`` (product_id, term, weight), L2-normalized."""
+    """``terms`` (term, df, idf) and ``postings`` (product_id, term, weight), L2-normalized.
+
+    ``raw`` (product_id, term, w) are the weights before normalization, if known: a search takes the lengths and the
+    postings of its own terms from them, and need not move the others. ``members`` (product_id, item_id) and
+    ``sizes`` (product_id, n), if postings are kept once per text: the products of a text, under the first of them.
+    """
 
     terms: DataFrame
     postings: DataFrame
+    raw: DataFrame | None = None
+    members: DataFrame | None = None
+    sizes: DataFrame | None = None
 
     def save(self, path: str) -> None:
         self.terms.write.parquet(f"{path}/terms")
@@ -56,15 +66,29 @@ def term_counts(df: DataFrame, key: str, text: Column, low: int = 1, high: int =
     return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _weighted(counts: DataFrame, key: str, terms: DataFrame) -> DataFrame:
-    """Sublinear tf times idf, L2-normalized per key; terms outside the vocabulary drop out first."""
-    w = counts.join(terms.select("term", "idf"), "term").select(
+def _raw_weights(counts: DataFrame, key: str, terms: DataFrame) -> DataFrame:
+    """Sublinear tf times idf; terms outside the vocabulary drop out."""
+    return counts.join(terms.select("term", "idf"), "term").select(
         key, "term", ((F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w")
     )
+
+
+def _weighted(counts: DataFrame, key: str, terms: DataFrame) -> DataFrame:
+    """Sublinear tf times idf, L2-normalized per key; terms outside the vocabulary drop out first."""
+    return _normalized(_raw_weights(counts, key, terms), key)
+
+
+def _normalized(w: DataFrame, key: str) -> DataFrame:
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
     return w.select(key, "term", (F.col("w") / length).alias("weight"))
 
 
+def _by_key(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Texts dealt by key, a bounded length to a partition: their terms are then counted without moving terms."""
+    chars = rows.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, chars // TEXT_CHARS), key)
+
+
 def fit(
     catalog: DataFrame,
     text_col: str = "cleaned_text",
@@ -78,16 +102,40 @@ def fit(
 
     max_features keeps the terms of the largest total count, ties alphabetical; by default all are kept.
     """
-    counts = term_counts(catalog.select(id_col, text_col), id_col, F.col(text_col), low, high)
+    counts = term_counts(_by_key(catalog.select(id_col, text_col), id_col, text_col), id_col, F.col(text_col), low, high)
     stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     if min_df > 1:
         stats = stats.where(F.col("df") >= min_df)
     if max_features is not None:
         stats = stats.orderBy(F.desc("total"), "term").limit(max_features)
     n = catalog.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    terms = stats.select("term", "df", idf.alias("idf"))
-    return TextIndex(terms, _weighted(counts, id_col, terms))
+    terms = stats.select("term", "df", _idf(n).alias("idf"))
+    raw = _raw_weights(counts, id_col, terms)
+    return TextIndex(terms, _normalized(raw, id_col), raw.withColumnRenamed(id_col, "product_id"))
+
+
+def _idf(n: Column) -> Column:
+    return F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
+
+
+def fit_texts(catalog: DataFrame, text_col: str = "cleaned_text", low: int = 1, high: int = 2) -> TextIndex:
+    """D3 with the postings of every distinct text once, under the smallest of its products' ids.
+
+    Terms and weights are those of ``fit``: a text counts as often as it has products. Ids have to be unique.
+    """
+    first = catalog.groupBy(text_col).agg(F.min("product_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    first = materialize(first, "distinct-texts")
+    grams = F.explode(ngram_terms(word_tokens(F.col(text_col)), *range(low, high + 1))).alias("term")
+    dealt = _by_key(first, "first", text_col).select(F.col("first").alias("product_id"), "n", grams)
+    counts = materialize(dealt.groupBy("product_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("n").alias("n")), "text-terms")
+    n = first.agg(F.sum("n").cast("double").alias("n")).scalar()
+    terms = materialize(counts.groupBy("term").agg(F.sum("n").alias("df")).select("term", "df", _idf(n).alias("idf")), "terms")
+    raw = _raw_weights(counts, "product_id", terms)
+    products = catalog.select(text_col, F.col("product_id").alias("item_id"))
+    members = products.join(first.select(text_col, F.col("first").alias("product_id")), text_col).select("product_id", "item_id")
+    return TextIndex(terms, _normalized(raw, "product_id"), raw, members, first.select(F.col("first").alias("product_id"), "n"))
+
+
 
 
 def _rank(scores: DataFrame, key: str, k: int) -> DataFrame:
@@ -161,8 +209,9 @@ def retrieve_by_terms(index: TextIndex, counts: DataFrame, key: str, k: int = 20
     product in a task, which sends on at most k rows per query; a common term is split with the
     documents, and the scores of all pairs are never rows.
     """
-    q = _weighted(counts, key, index.terms)
-    d = index.postings.select("term", F.col("product_id").alias("item_id"), "weight")
+    # Both are stored: their numbers of blocks are counted before they are dealt out.
+    q = materialize(_weighted(counts, key, index.terms), "query-terms")
+    d = materialize(_postings_of(index, q.select("term").distinct()), "query-postings")
     zero = F.lit(0).cast("long")
     blocks = [F.ceil(F.count(F.lit(1)) / n).cast("long").alias("n") for n in (QUERY_ROWS, POSTING_ROWS)]
     qb, db = q.agg(blocks[0]).scalar(), d.agg(blocks[1]).scalar()
@@ -176,7 +225,34 @@ def retrieve_by_terms(index: TextIndex, counts: DataFrame, key: str, k: int = 20
     fields = [T.StructField(key, counts.schema[key].dataType), T.StructField("item_id", d.schema["item_id"].dataType), T.StructField("score", T.DoubleType())]
     keys = ["qblock", "dblock"]
     partial = q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInArrow(_sparse_topk(key, k), T.StructType(fields))
-    return _rank(partial, key, k)
+    ranked = _rank(partial, key, k)
+    return ranked if index.members is None else _rank(_member_rows(index, ranked, key, k), key, k)
+
+
+def _postings_of(index: TextIndex, terms: DataFrame) -> DataFrame:
+    """(term, item_id, weight) of the given terms only."""
+    if index.raw is None:
+        return index.postings.join(terms, "term", "left_semi").select("term", F.col("product_id").alias("item_id"), "weight")
+    length = index.raw.groupBy("product_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    wanted = index.raw.join(terms, "term", "left_semi").select("term", F.col("product_id").alias("item_id"), "w")
+    return wanted.join(length, F.col("item_id").eqNullSafe(F.col("product_id"))).select("term", "item_id", (F.col("w") / F.col("length")).alias("weight"))
+
+
+def _member_rows(index: TextIndex, ranked: DataFrame, key: str, k: int) -> DataFrame:
+    """The products of ranked texts: (key, item_id, score) that hold the first k products by score and id.
+
+    A text that is not among the first k has k products ahead of its own, one in each text before it. Of the texts
+    only those stay that have fewer than k products of higher scores before them, and of a text its first k products.
+    """
+    sizes = index.sizes.withColumnRenamed("product_id", "item_id")
+    # By score, so that texts of one score have the same products before them.
+    higher = W.partitionBy(key).orderBy(F.desc("score")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    level = W.partitionBy(key, "score")
+    placed = ranked.join(sizes, "item_id").withColumn("_before", F.sum("n").over(higher) - F.sum("n").over(level))
+    kept = materialize(placed.where(F.col("_before") < k).select(key, F.col("item_id").alias("product_id"), "score"), "ranked-texts")
+    asked = index.members.join(kept.select("product_id").distinct(), "product_id", "left_semi")
+    first = top_per_group(asked, ["product_id"], [F.asc("item_id")], k).select("product_id", "item_id")
+    return kept.join(first, "product_id").select(key, "item_id", "score")
 
 
 def retrieve_texts(index: TextIndex, texts: DataFrame, text_col: str = "query_text", k: int = 200) -> DataFrame:

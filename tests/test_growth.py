@@ -73,3 +73,56 @@ def test_postings_are_never_broadcast_by_the_size_of_the_catalog_file(spark, tab
     scored = D.score_candidates(V.text_index(spark, tables), pairs)
     assert any("Join" in line and "hints" not in line and "rightHint=(strategy=merge)" in line for line in plan(scored).splitlines())
     assert scored.count() == 2
+
+
+def test_narrow_rows_equal_the_interactions(spark, tables, tmp_path):
+    """With parts and orders that are missing or come twice, and null keys: counts, catalog and labelled rows are the joins'."""
+    odd = str(tmp_path / "odd")
+    for name in ("part", "orders", "lineitem", "embeddings"):
+        spark.read.parquet(f"{tables}/{name}.parquet").write.parquet(f"{odd}/{name}.parquet")
+    spark.read.parquet(f"{tables}/part.parquet").where("p_partkey < 3").withColumn("p_name", F.lit("a ring")).write.mode("append").parquet(f"{odd}/part.parquet")
+    spark.read.parquet(f"{tables}/orders.parquet").where("o_orderkey < 2").write.mode("append").parquet(f"{odd}/orders.parquet")
+    line = spark.read.parquet(f"{tables}/lineitem.parquet").where("l_orderkey < 3")
+    for change in ({"l_partkey": 900}, {"l_orderkey": 900}, {"l_partkey": None}, {"l_quantity": None}):
+        row = line.withColumns({c: F.lit(v).cast(line.schema[c].dataType) for c, v in change.items()})
+        row.write.mode("append").parquet(f"{odd}/lineitem.parquet")
+    for sf, looked_up in ((tables, False), (odd, True)):
+        V.new_query()
+        got = V.labeled_table(spark, sf)
+        want = V.labeled(spark, sf).select(*got.columns)
+        assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+        joined = V.review_counts(spark, sf).where("parts <> 1").count() > 0
+        assert joined == looked_up
+        wide = V.C.build_rich_catalog(V.fixtures.interactions(spark, sf), V.fixtures.brands(spark, sf))
+        assert sorted(map(tuple, V.rich_catalog(spark, sf).collect())) == sorted(map(tuple, wide.collect()))
+    # No line item is moved with its texts: the stored rows have none.
+    assert not {"title", "summary"} & set(V.labeled_table(spark, tables).columns)
+    V.new_query()
+
+
+def test_texts_are_searched_once_for_all_their_products(spark):
+    """Many products of one text: the postings hold the text once, and the lists are those of all products."""
+    rows = [(i, ["red steel ring", "blue ring", "red bolt", "steel", ""][i * 7 % 5]) for i in range(60)]
+    catalog = spark.createDataFrame(rows, "product_id long, cleaned_text string")
+    asked = spark.createDataFrame([(t,) for t in ("red ring", "steel bolt", "ring", "none")], "query_text string")
+    once = D.fit_texts(catalog)
+    assert once.postings.select("product_id").distinct().count() == 4
+    every = D.fit(catalog)
+    for k in (1, 5, 13, 30, 60):
+        got, want = (sorted(map(tuple, D.retrieve_texts(i, asked, k=k).collect())) for i in (once, every))
+        assert got == want and len(got) > 0
+
+
+def test_only_postings_of_asked_terms_are_dealt(spark):
+    catalog = spark.createDataFrame([(1, "red ring"), (2, "blue bolt"), (None, "red bolt"), (None, "red gear")], "product_id long, cleaned_text string")
+    index = D.fit(catalog)
+    term = spark.createDataFrame([("red",)], "term string")
+    got = {(r["item_id"], round(r["weight"], 9)) for r in D._postings_of(index, term).collect()}
+    want = {(r["product_id"], round(r["weight"], 9)) for r in index.postings.where("term = 'red'").collect()}
+    assert got == want and len(got) == 2
+
+
+def test_the_ablation_reads_stored_reports(spark, tables):
+    V.new_query()
+    text = plan(registry.QUERIES["p16_ablation_lift"](spark, tables))
+    assert "MapInArrow" not in text and "FlatMapCoGroups" not in text and len(text) < 20_000
