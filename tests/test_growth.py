@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rankflow.operators import rerank as H
 from rankflow.operators import text_index as D
+from rankflow.operators import vectors as E
 from rankflow.plans import registry
 from rankflow.plans import views as V
 
@@ -126,3 +127,13 @@ def test_the_ablation_reads_stored_reports(spark, tables):
     V.new_query()
     text = plan(registry.QUERIES["p16_ablation_lift"](spark, tables))
     assert "MapInArrow" not in text and "FlatMapCoGroups" not in text and len(text) < 20_000
+
+
+def test_centers_are_not_stored_with_vectors(spark):
+    rows = spark.range(300).select(F.col("id").alias("item_id"), F.array(F.sin(F.col("id")), F.cos(F.col("id"))).alias("vec"))
+    placed, blocks = E.place_in_blocks(rows, "item_id", 100, "block")
+    stored = spark.read.parquet(*placed.inputFiles())
+    assert [n for n, t in stored.dtypes if t.startswith("array")] == ["vec"]
+    assert placed.count() == 300 and blocks.agg(F.sum("n")).first()[0] == 300
+    off = placed.join(blocks, "block").where(E._distance("vec", "center") > F.col("radius") + 1e-9)
+    assert off.isEmpty()
