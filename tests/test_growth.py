@@ -1,13 +1,17 @@
 """What queries store and shuffle must not grow with the number of candidates or of passes over the inputs."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
+from rankflow.operators import personalize as G
 from rankflow.operators import rerank as H
 from rankflow.operators import text_index as D
 from rankflow.operators import vectors as E
 from rankflow.plans import registry
 from rankflow.plans import views as V
+from rankflow.sources.scratch import materialize
 
 registry.load_all()
 
@@ -137,3 +141,31 @@ def test_centers_are_not_stored_with_vectors(spark):
     assert placed.count() == 300 and blocks.agg(F.sum("n")).first()[0] == 300
     off = placed.join(blocks, "block").where(E._distance("vec", "center") > F.col("radius") + 1e-9)
     assert off.isEmpty()
+
+
+def test_blended_vectors_are_not_grouped_again(spark, monkeypatch):
+    kept = {}
+
+    def keep(df, name, *rest):
+        kept[name] = plan(df)
+        return materialize(df, name, *rest)
+
+    monkeypatch.setattr(G, "materialize", keep)
+    unit = [("a", [1.0, 0.0]), ("b", [0.0, 1.0])]
+    products = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(9)], "product_id long, embedding array<double>")
+    priors = spark.createDataFrame([*unit, (None, [0.6, 0.8])], "category string, embedding array<double>")
+    users = spark.createDataFrame([(1, [0.0, -1.0])], "user_id long, embedding array<double>")
+    asked = [(0, 1, "x", [1.0, 0.0]), (1, 2, "x", [1.0, 0.0]), (2, None, "y", [0.0, 1.0]), (3, 1, "x", [1.0, 0.0])]
+    requests = spark.createDataFrame(asked, "query_key long, user_id long, query_text string, vec array<double>")
+    got = G.personalized_ranking(requests, users, priors, products, [0.5, 1.0], 3).collect()
+    want = set()
+    for key, user, text, q in asked:
+        for alpha in (0.5, 1.0):
+            u = [0.0, -1.0] if user == 1 else {"x": [1.0, 0.0], "y": [0.0, 1.0]}[text]
+            m = [alpha * a + (1 - alpha) * b for a, b in zip(q, u)]
+            m = [x / math.hypot(*m) for x in m]
+            best = sorted((-round(m[0] * math.cos(i) + m[1] * math.sin(i), 9), i) for i in range(9))[:3]
+            want |= {(key, alpha, r + 1, i, -s) for r, (s, i) in enumerate(best)}
+    assert {(r["query_key"], r["alpha"], r["rank"], r["item_id"], r["score"]) for r in got} == want
+    # Nothing is grouped above the joins that bring the vectors.
+    assert "Aggregate" not in kept["blended-queries"].split("Join")[0]
