@@ -325,3 +325,39 @@ def test_importance_equals_shuffling_by_hand(spark):
         mean = sum(drops) / 3
         assert got[f].importance_mean == pytest.approx(mean, abs=1e-12)
         assert got[f].importance_std == pytest.approx((sum((d - mean) ** 2 for d in drops) / 3) ** 0.5, abs=1e-12)
+
+
+def test_importance_does_not_depend_on_blocks_and_ranges(spark, monkeypatch):
+    """Small blocks, ranges and packs, tied scores and a missing feature give the areas of all pairs; no row is copied per variant."""
+    frame = click_frame(spark, 90).withColumn("similarity_score", F.round("similarity_score", 1))
+    frame = frame.withColumn("product_popularity", F.when(F.col("query_idx") % 9 != 4, F.col("product_popularity")))
+    rows = frame.orderBy("query_idx").collect()
+
+    def score(x):
+        return F.round(2 * x[0] + x[1] - 0.5 * x[4], 1)
+
+    def auc(no, p=None, to=None):
+        pairs = []
+        for j in range(90):
+            x = [rows[to[j] if q == p else j][f] for q, f in enumerate(H.FEATURES)]
+            if x[4] is not None:
+                pairs.append((round(2 * x[0] + x[1] - 0.5 * x[4], 6), rows[j].label))
+        return slow_auc([(math.floor(s * 10 + 0.5 + 1e-9) / 10 if s >= 0 else -math.floor(-s * 10 + 0.5 + 1e-9) / 10, y) for s, y in pairs])
+
+    for name, value in {"IMPORTANCE_BLOCK": 16, "ROWS_AT_ONCE": 20, "RANGE_SCORES": 7, "CUT_ROWS": 40}.items():
+        monkeypatch.setattr(H, name, value)
+    got = {r.feature: r.importance_mean for r in H.permutation_importance(frame, score, repeats=2, seed=7).collect()}
+    turns = [[r.x for r in spark.range(90).select("id", shuffled(90, f"7/{i}").alias("x")).orderBy("id").collect()] for i in range(2)]
+    for p, f in enumerate(H.FEATURES):
+        want = sum(auc(0) - auc(0, p, to) for to in turns) / 2
+        assert got[f] == pytest.approx(want, abs=1e-12), f
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 97, 2503])
+def test_number_before_undoes_the_permutation(spark, n):
+    import numpy as np
+
+    from rankflow.functions.hashing import number_before
+
+    to = [r.x for r in spark.range(n).select("id", shuffled(n, "a").alias("x")).orderBy("id").collect()]
+    assert number_before(n, "a")(np.array(to)).tolist() == list(range(n))
