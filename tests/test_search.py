@@ -332,3 +332,28 @@ def test_user_vectors_of_the_size_of_text_encoders(spark):
     want = vec["p0"] + math.exp(-0.6) * vec["p3"]
     assert set(got) == {"ann", "bo"} and np.allclose(got["ann"], want / np.linalg.norm(want), atol=1e-12)
     assert np.allclose(got["bo"], vec["p5"] / np.linalg.norm(vec["p5"]), atol=1e-12)
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_probed_cells_share_groups(spark, monkeypatch, metric):
+    """Grouped cells, one of them large, and repeated ids give the lists of a search per cell, from a bounded number of rows."""
+    rng = np.random.default_rng(4)
+    m = rng.integers(-3, 4, (150, 4)).astype(float)
+    m[:70] = m[0]
+    items, queries = vectors(spark, m, "item_id"), vectors(spark, m, "query_key").where("query_key % 3 = 0")
+    repeated = queries.unionByName(queries.where("query_key = 9"))
+    cells = E.sample_centroids(items, 12)
+    monkeypatch.setattr(E, "CATALOG_ELEMENTS", 40 * 4)
+    monkeypatch.setattr(E, "QUERY_ELEMENTS", 16 * 4)
+    for q in (queries, repeated):
+        want = E.ivf_lists(E.ivf_partial(q, items, cells, 5, 6, metric), 5, 6, metric)
+        got = E.ivf_topk(q, items, cells, 5, 6, metric)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    groups = E._cell_groups(E.assign_cells(items, cells, metric=metric)).collect()
+    assert any(g.parts > 1 for g in groups) and len({g.group for g in groups}) < len(groups)
+    ranked, moved = E._best, []
+    monkeypatch.setattr(E, "_best", lambda rows, *a: (moved.append(rows), ranked(rows, *a))[1])
+    E.ivf_topk(queries, items, cells, 5, 6, metric)
+    n_groups = sum(g.parts for g in groups if g.parts > 1) + len({g.group for g in groups if g.parts == 1})
+    most = moved[-1].groupBy("query_key").count().agg(F.max("count")).first()[0]
+    assert n_groups < 6 + 2 and most <= 5 * n_groups
