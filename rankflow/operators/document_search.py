@@ -19,7 +19,7 @@ from rankflow.operators.text_index import QUERY_ROWS, _idf, _normalized, _rank,
 from rankflow.sources.scratch import materialize
 
 # Characters of the documents of a chunk, and of those whose terms make up one range of the key space.
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 6_000_000
 RANGE_CHARS = 24_000_000
 
 
@@ -123,12 +123,14 @@ def _reader():
         words, row = split.flatten(), pc.list_parent_indices(split)
         there = pc.not_equal(words, "")
         words, row = words.filter(there).dictionary_encode(), row.filter(there).to_numpy()
+        del lines, split, there
         digest = digests(words.dictionary.to_pylist())
         order = np.lexsort((digest[1], digest[0]))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         digest, code = digest[:, order], place[words.indices.to_numpy()]
         n = len(order)
+        del words
 
         near = row[1:] == row[:-1]
         pair, at = np.unique(code[:-1][near] * n + code[1:][near], return_inverse=True)
@@ -141,7 +143,10 @@ def _reader():
         place[order] = np.arange(len(order))
         term = place[np.concatenate([code, n + at])]
         doc = row_doc[np.concatenate([row, row[1:][near]])]
-        seen, tf = np.unique(doc * max(1, len(order)) + term, return_counts=True)
+        del pair, at, code, row, near, rest
+        doc = doc * max(1, len(order)) + term
+        del term
+        seen, tf = np.unique(doc, return_counts=True)
         doc, term = np.divmod(seen, max(1, len(order)))
         return ids.dictionary.take(pa.array(by_id)), key[order], checks[order], doc, term, tf
 
