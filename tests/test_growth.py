@@ -169,3 +169,27 @@ def test_blended_vectors_are_not_grouped_again(spark, monkeypatch):
     assert {(r["query_key"], r["alpha"], r["rank"], r["item_id"], r["score"]) for r in got} == want
     # Nothing is grouped above the joins that bring the vectors.
     assert "Aggregate" not in kept["blended-queries"].split("Join")[0]
+
+
+def test_the_click_model_is_fitted_on_all_train_candidates(spark, tables):
+    """The counted rows are those of all train requests, and give the model that the rows themselves give."""
+    V.new_query()
+    counted = V.fit_lists(spark, tables)
+    rows = V.features(spark, tables, "train")
+    requests = V.requests(spark, tables, "train").join(V.candidate_lists(spark, tables), "query_text", "left_semi").count()
+    first = counted.groupBy("query_text", "category").agg(F.first("n").alias("n"))
+    assert first.agg(F.sum("n")).first()[0] == requests > 100
+    assert counted.agg(F.sum(F.col("n") * F.size("candidates"))).first()[0] == rows.count()
+    seen = {}
+    parts = H._counted_parts(H.FEATURES)
+    for x, n, clicks in parts(counted.toArrow().to_batches()):
+        for at, times, y in zip(x.tolist(), n, clicks):
+            key = tuple(round(v, 9) for v in at)
+            a, b = seen.get(key, (0, 0))
+            seen[key] = (a + times, b + y)
+    want = rows.groupBy(*[F.round(f, 9).alias(f) for f in H.FEATURES]).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("y")).collect()
+    assert {k: v for k, v in seen.items() if v != (0, 0)} == {tuple(r[f] for f in H.FEATURES): (r.n, r.y) for r in want}
+    one, other = (H.ClickNetwork.of_model(H.click_model(t, hidden=4, max_iter=8)) for t in (counted, rows))
+    assert one.mean == pytest.approx(other.mean) and one.scale == pytest.approx(other.scale)
+    assert one.out == pytest.approx(other.out, rel=1e-4, abs=1e-4)
+    V.new_query()
