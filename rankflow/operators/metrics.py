@@ -230,9 +230,12 @@ def evaluate_queries(ranked: DataFrame, queries: DataFrame, k: int = 200, split:
     return report(per_query, extra, split)
 
 
-def query_diagnostics(ranked: DataFrame, queries: DataFrame, k: int = 200) -> DataFrame:
-    """Rank of the true product (null if missed), hit@10 and hit@50 per query."""
-    lists = ranked.where(F.col("rank") <= k).groupBy("query_text", F.col("item_id").alias("product_id")).agg(
+def query_diagnostics(ranked: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """Rank of the true product (null if it is not in the list), hit@10 and hit@50 per query.
+
+    The lists are read as far as they were retrieved, or up to rank ``k``.
+    """
+    lists = (ranked if k is None else ranked.where(F.col("rank") <= k)).groupBy("query_text", F.col("item_id").alias("product_id")).agg(
         F.min("rank").alias("rank")
     )
     joined = queries.join(lists, ["query_text", "product_id"], "left")

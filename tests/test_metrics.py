@@ -141,3 +141,11 @@ def test_latency_summary_needs_p95(spark):
         P.latency_summary(df, percentiles=(50,))
     row = P.latency_summary(df, max_p95_ms=2.0).collect()[0]
     assert row["p50_ms"] == 2.0 and row["n_queries"] == 2 and row["pass"] is False
+
+
+def test_diagnostics_read_the_whole_list(spark):
+    ranked = spark.range(1, 301).select(F.lit("ring").alias("query_text"), F.col("id").cast("int").alias("rank"), (1000 + F.col("id")).alias("item_id"))
+    queries = spark.createDataFrame([(f"q{r}", "ring", 1000 + r) for r in (7, 40, 150, 290, 301)], "query_id string, query_text string, product_id long")
+    got = {r["query_id"]: (r["rank"], r["hit@10"], r["hit@50"]) for r in P.query_diagnostics(ranked, queries).collect()}
+    assert got == {"q7": (7, True, True), "q40": (40, False, True), "q150": (150, False, False), "q290": (290, False, False), "q301": (None, False, False)}
+    assert P.query_diagnostics(ranked, queries, 100).where("rank IS NOT NULL").count() == 2
