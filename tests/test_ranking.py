@@ -168,6 +168,29 @@ def test_explore_exploit_equals_step_by_step_store(spark, monkeypatch):
     assert zero == served(rows_out, 3)
 
 
+def test_lists_made_once_per_text_equal_lists_per_query(spark):
+    """Queries that share a text's candidates: the same rows as with a packed list per query; an item may be listed twice."""
+    rng = random.Random(21)
+    lists = {t: [(r % 9, f"cat{r % 3}", r + 1, round(rng.random(), 2)) for r in rng.sample(range(14), 11)] for t in ("a", "b", "c")}
+    texts, rows = [(t, *c) for t, cs in lists.items() for c in cs], []
+    for q in range(90):
+        t, cluster = rng.choice("abc"), rng.choice(["u", "v"])
+        rows.append((q, cluster, {"u": 1.5, "v": 0.2}[cluster], rng.choice(["one", "one two three"]), t, rng.randrange(9)))
+    asked = spark.createDataFrame(rows, "query_idx long, query_cluster_id string, query_cluster_entropy double, query_text string, list_key string, target_product_id long")
+    fields = "candidate_product_id long, candidate_category string, retrieval_rank int, base_score double"
+    scored = spark.createDataFrame(texts, f"list_key string, {fields}")
+    settings = [
+        O.ExploreConfig(epsilon=0.5, alpha=0.9, top_pool_k=5, eval_k=4, max_per_category=1),
+        O.ExploreConfig(epsilon=0.3, alpha=0.4, top_pool_k=7, eval_k=3, max_per_category=2, exposure_decay=0.5),
+        O.ExploreConfig(epsilon=0.0, eval_k=4, max_per_category=1),
+    ]
+    got = O.explore_packed(asked, settings, 3, texts=O.pack_texts(scored, "list_key"))
+    want = O.explore_packed(O.pack_candidates(asked.join(scored, "list_key")), settings, 3)
+    names = ["query_idx", "query_cluster_id", "target_product_id", "setting_id", "did_explore", "shown"]
+    assert sorted(map(str, got.select(*names).collect())) == sorted(map(str, want.select(*names).collect()))
+    assert got.count() == 270 and got.agg(F.sum("did_explore")).first()[0] > 20
+
+
 def test_store_is_carried_over_splits(spark):
     rng = random.Random(2)
     first, second = random_frame(rng, 30, 2, 15, 8), random_frame(rng, 30, 2, 15, 8)
