@@ -193,3 +193,21 @@ def test_the_click_model_is_fitted_on_all_train_candidates(spark, tables):
     assert one.mean == pytest.approx(other.mean) and one.scale == pytest.approx(other.scale)
     assert one.out == pytest.approx(other.out, rel=1e-4, abs=1e-4)
     V.new_query()
+
+
+def test_scores_made_per_text_equal_scores_per_request(spark, tables):
+    """The network asked once per text and affinity, and once per request and candidate, give the same lists."""
+    from rankflow.operators import explore as O
+    from rankflow.plans.ranking import _fixed_network
+
+    V.new_query()
+    net = _fixed_network()
+    asked, texts = V.explore_texts(spark, tables, "val", "test")
+    scored = H.scored_lists(V.packed_explore(spark, tables, "val", "test"), net)
+    packed = O.pack_scored(scored, lambda c: c["p_click"], ["split"])
+    grid = [O.ExploreConfig(epsilon=e, alpha=0.3, top_pool_k=5, eval_k=4, max_per_category=1) for e in (0.0, 0.6)]
+    names = ["split", "query_idx", "query_cluster_id", "target_product_id", "setting_id", "did_explore", "shown"]
+    got = O.explore_packed(asked, grid, 42, ["val", "test"], texts, H.text_scores(net)).select(*names)
+    want = O.explore_packed(packed, grid, 42, ["val", "test"]).select(*names)
+    assert got.count() > 40 and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    V.new_query()
