@@ -144,7 +144,11 @@ def _rank(scores: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def _sparse_topk(key: str, k: int):
-    """Top k documents of one block of queries against one block of postings, as a sparse product."""
+    """Top k documents of one block of queries against one block of postings, as a sparse product.
+
+    Where postings tell of how many products a document is the text (``n``), documents with k products of higher scores
+    before them are not sent on.
+    """
     cells, pairs_at_once, digits = DENSE_CELLS, PAIRS_AT_ONCE, SCORE_DIGITS
 
     def search(queries: pa.Table, postings: pa.Table) -> pa.Table:
@@ -152,7 +156,8 @@ def _sparse_topk(key: str, k: int):
         import pyarrow.compute as pc
 
         q_keys = queries.column(key).combine_chunks().dictionary_encode()
-        items, d_row = np.unique(postings.column("item_id").to_numpy(zero_copy_only=False), return_inverse=True)
+        items, seen, d_row = np.unique(postings.column("item_id").to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+        sizes = postings.column("n").to_numpy()[seen] if "n" in postings.column_names else None
         terms = postings.column("term").combine_chunks().dictionary_encode()
         d_term, d_weight = terms.indices.to_numpy(), postings.column("weight").to_numpy()
         by_term = np.argsort(d_term, kind="stable")
@@ -187,6 +192,9 @@ def _sparse_topk(key: str, k: int):
                     cut = np.partition(scores[i][hit], len(hit) - k)[len(hit) - k]
                     hit = hit[scores[i][hit] >= cut]
                 hit = hit[np.argsort(-scores[i][hit], kind="stable")[:k]]  # items ascend, so ties go to the smaller
+                if sizes is not None:
+                    worse = -scores[i][hit]
+                    hit = hit[np.r_[0, np.cumsum(sizes[hit])][np.searchsorted(worse, worse)] < k]
                 out_q.append(np.full(len(hit), low + i))
                 out_d.append(hit)
                 out_s.append(scores[i][hit])
@@ -211,7 +219,10 @@ def retrieve_by_terms(index: TextIndex, counts: DataFrame, key: str, k: int = 20
     """
     # Both are stored: their numbers of blocks are counted before they are dealt out.
     q = materialize(_weighted(counts, key, index.terms), "query-terms")
-    d = materialize(_postings_of(index, q.select("term").distinct()), "query-postings")
+    d = _postings_of(index, q.select("term").distinct())
+    if index.sizes is not None:
+        d = d.join(index.sizes.withColumnRenamed("product_id", "item_id"), "item_id")
+    d = materialize(d, "query-postings")
     zero = F.lit(0).cast("long")
     blocks = [F.ceil(F.count(F.lit(1)) / n).cast("long").alias("n") for n in (QUERY_ROWS, POSTING_ROWS)]
     qb, db = q.agg(blocks[0]).scalar(), d.agg(blocks[1]).scalar()
@@ -220,7 +231,8 @@ def retrieve_by_terms(index: TextIndex, counts: DataFrame, key: str, k: int = 20
         key, "term", "weight", F.pmod(F.xxhash64(key), F.col("qb")).alias("qblock"), F.explode(F.sequence(zero, F.col("db") - 1)).alias("dblock")
     )
     d = d.select(
-        "item_id", "term", "weight", F.explode(F.sequence(zero, F.col("qb") - 1)).alias("qblock"), F.pmod(F.xxhash64("item_id"), F.col("db")).alias("dblock")
+        "item_id", "term", "weight", *[c for c in d.columns if c == "n"], F.explode(F.sequence(zero, F.col("qb") - 1)).alias("qblock"),
+        F.pmod(F.xxhash64("item_id"), F.col("db")).alias("dblock"),
     )
     fields = [T.StructField(key, counts.schema[key].dataType), T.StructField("item_id", d.schema["item_id"].dataType), T.StructField("score", T.DoubleType())]
     keys = ["qblock", "dblock"]

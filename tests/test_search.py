@@ -357,3 +357,33 @@ def test_probed_cells_share_groups(spark, monkeypatch, metric):
     n_groups = sum(g.parts for g in groups if g.parts > 1) + len({g.group for g in groups if g.parts == 1})
     most = moved[-1].groupBy("query_key").count().agg(F.max("count")).first()[0]
     assert n_groups < 6 + 2 and most <= 5 * n_groups
+
+
+def test_texts_behind_enough_products_are_not_sent_on():
+    """Of a text with many products the search sends on what the first k products can come from, ties included."""
+    import pyarrow as pa
+
+    queries = pa.table({"user_id": [1, 1, 2], "term": ["red", "ring", "red"], "weight": [0.6, 0.8, 1.0]})
+    rows = [(10, "red", 0.9, 4), (11, "red", 0.5, 3), (12, "red", 0.5, 9), (13, "red", 0.1, 2), (14, "ring", 0.1, 5)]
+    postings = pa.table({n: [r[i] for r in rows] for i, n in enumerate(("item_id", "term", "weight", "n"))})
+
+    def sent(k, table=postings):
+        got = D._sparse_topk("user_id", k)(queries, table).to_pylist()
+        return {u: [r["item_id"] for r in got if r["user_id"] == u] for u in (1, 2)}
+
+    assert sent(4) == {1: [10], 2: [10]}
+    assert sent(5) == {1: [10, 11, 12], 2: [10, 11, 12]}
+    assert sent(16) == sent(15) == {1: [10, 11, 12], 2: [10, 11, 12]}
+    assert sent(17) == {1: [10, 11, 12, 14], 2: [10, 11, 12, 13]}
+    assert sent(2, postings.drop_columns(["n"])) == {1: [10, 11], 2: [10, 11]}
+
+
+def test_user_history_of_shared_texts(spark):
+    """Postings once per text and once per product give the same lists."""
+    rows = [(i, ["red steel ring", "blue ring", "red bolt", "steel"][i * 7 % 4]) for i in range(40)]
+    catalog = spark.createDataFrame(rows, "product_id long, cleaned_text string")
+    train = spark.createDataFrame([(u, (u * 5 + j * 3) % 40, j * 1000, f"{u:016d}{j:016d}", 1) for u in range(6) for j in range(4)],
+                                  "user_id long, product_id long, timestamp long, row_key string, label int")
+    for k in (3, 12, 40):
+        got, want = (sorted(map(tuple, D.retrieve_for_users(i, train, catalog, k).collect())) for i in (D.fit_texts(catalog), D.fit(catalog)))
+        assert got == want and len(got) > 0
